@@ -4,10 +4,10 @@ In rank order a key joins the lowest-ranked leader it is similar to, or becomes
 Who leads does not need all similar pairs: it is enough to know, for some keys ("reps"),
 all their neighbours.  A rep whose earlier neighbours are all covered leads; what is
 similar to an earlier leader is covered.  A round takes as reps the keys that rank first
-in every signature band they have: one or few per group of near copies, so each copy is
-compared to the rep of its group and not to all other copies.  The best-ranked open key
-always is a rep, so every round decides something.  When reps are no longer few among
-the open keys, all of them are reps and the round is the last.
+in most of their signature bands: one or few per group of near copies, so each copy is
+compared to the reps of its group and not to all other copies.  The best-ranked open key
+always is a rep, so every round decides something.  Once open keys are no longer crowded
+in their bands, or a round decides little, all of them are reps of the last round.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from gleanery.operators.similarity import THRESHOLD, profile, similar_pairs
 from gleanery.session import Scratch
 
-THIN_ROUNDS = 4
-SPARSE = 0.5  # share of reps above which thinning does not pay
+FEW = 1000  # open keys that are compared to each other without further thinning
+DENSE = 64  # mean size of a key's band above which near copies are thinned out
+STALLED = 0.9  # share of keys left open by a round after which it does not either
 
 
 @dataclass
@@ -43,52 +44,50 @@ def rank_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def _reps(open_keys: DataFrame) -> DataFrame:
-    in_band = open_keys.select("kid", F.explode("bands").alias("band"))
-    first = in_band.groupBy("band").agg(F.min("kid").alias("kid"))
-    firsts = first.groupBy("kid").agg(F.count("*").alias("_first"))
-    wanted = F.size(F.array_distinct("bands"))
+def _bands(open_keys: DataFrame) -> DataFrame:
+    """(band, n, first) of the open keys, combined map-side."""
+    in_band = open_keys.select("kid", F.explode(F.array_distinct("bands")).alias("band"))
+    return in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("kid").alias("first"))
+
+
+def _crowding(bands: DataFrame) -> float:
+    """How many open keys share a band of a key, on average over keys."""
+    n = F.col("n").cast("double")
+    return bands.agg(F.sum(n * n) / F.sum(n)).first()[0]
+
+
+def _reps(open_keys: DataFrame, bands: DataFrame) -> DataFrame:
+    """Keys that rank first in at least half of their bands."""
+    firsts = bands.groupBy(F.col("first").alias("kid")).agg(F.count("*").alias("_first"))
     return (
-        open_keys.select("kid", wanted.alias("_wanted"))
+        open_keys.select("kid", F.size(F.array_distinct("bands")).alias("_bands"))
         .join(firsts, "kid")
-        .where(F.col("_first") == F.col("_wanted"))
+        .where(F.col("_first") * 2 >= F.col("_bands"))
         .select("kid")
     )
 
 
 def _elect(edges: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Leaders among the reps and the keys they cover, from the edges of the reps."""
-    leaders: list[DataFrame] = []
-    covered: list[DataFrame] = []
-    waiting, links = reps, edges
+    """Leaders among the reps and the keys they cover, from the edges of the reps.
+
+    ``links`` are the edges between keys not covered yet; a rep nothing links down to
+    leads.  Each pass covers what the leaders link to, until a pass covers nothing.
+    """
+    links, covered = edges, scratch.save(reps.limit(0), "covered")
     while True:
-        new_leaders = scratch.save(
-            waiting.join(links.select(F.col("hi").alias("kid")).distinct(), "kid", "left_anti"), "leaders"
-        )
-        leaders.append(new_leaders)
-        if links.isEmpty():
-            break
-        new_covered = scratch.save(
-            links.join(new_leaders.select(F.col("kid").alias("lo")), "lo", "left_semi")
-            .select(F.col("hi").alias("kid"))
-            .distinct(),
-            "covered",
-        )
-        if new_covered.isEmpty():
-            break
-        covered.append(new_covered)
-        waiting = scratch.save(
-            waiting.join(new_leaders, "kid", "left_anti").join(new_covered, "kid", "left_anti"), "waiting"
-        )
-        gone = new_covered
+        reached = links.select(F.col("hi").alias("kid")).distinct()
+        leading = reps.join(covered, "kid", "left_anti").join(reached, "kid", "left_anti")
+        newly = links.join(leading.select(F.col("kid").alias("lo")), "lo", "left_semi")
+        step = scratch.save(newly.select(F.col("hi").alias("kid")).distinct(), "step")
+        if step.isEmpty():
+            return scratch.save(leading, "leaders"), covered
+        covered = scratch.save(covered.unionByName(step), "covered")
         links = scratch.save(
-            links.join(gone.select(F.col("kid").alias("hi")), "hi", "left_anti").join(
-                gone.select(F.col("kid").alias("lo")), "lo", "left_anti"
+            links.join(step.select(F.col("kid").alias("hi")), "hi", "left_anti").join(
+                step.select(F.col("kid").alias("lo")), "lo", "left_anti"
             ),
             "links",
         )
-    none = reps.limit(0)
-    return scratch.save(_union(leaders), "leaders"), scratch.save(_union([none, *covered]), "covered")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -102,14 +101,14 @@ def assign_leaders(keys: DataFrame, scratch: Scratch, threshold: float = THRESHO
     """(kid, leader) for every key; a leader is its own."""
     known = scratch.save(profile(keys.select("kid", "key"), threshold), "profile")
     rounds: list[_Round] = []
-    open_keys = known
-    while True:
-        size = open_keys.count()
-        if size == 0:
-            break
-        reps = scratch.save(_reps(open_keys), "reps")
-        if len(rounds) >= THIN_ROUNDS or reps.count() > SPARSE * size:
-            reps = scratch.save(open_keys.select("kid"), "reps")
+    open_keys, before = known, None
+    while size := open_keys.count():
+        finish = size <= FEW or (before is not None and size > STALLED * before)
+        if not finish:
+            bands = scratch.save(_bands(open_keys), "bands")
+            finish = _crowding(bands) <= DENSE
+        reps = open_keys.select("kid") if finish else scratch.save(_reps(open_keys, bands), "reps")
+        before = size
         flagged = open_keys.join(
             reps.withColumn("is_target", F.lit(True)), "kid", "left"
         ).withColumn("is_target", F.coalesce("is_target", F.lit(False)))
@@ -117,6 +116,8 @@ def assign_leaders(keys: DataFrame, scratch: Scratch, threshold: float = THRESHO
         edges = scratch.save(similar_pairs(flagged, targets, threshold), "edges")
         leaders, covered = _elect(edges, reps, scratch)
         rounds.append(_Round(edges, leaders, covered))
+        if finish:
+            break
         open_keys = scratch.save(
             open_keys.join(leaders, "kid", "left_anti").join(covered, "kid", "left_anti"), "open"
         )

@@ -5,7 +5,8 @@ For ratio >= t (t > 0.8) these follow, so they can be tested without losing a pa
 
 * the shorter key has at least t/(2-t) times the length of the longer one;
 * the T-2M unmatched characters leave at most T-2M+1 blocks, and a block of m characters
-  holds m-1 bigrams, so the keys share at least 3M-T-1 bigrams (as multisets);
+  holds m-1 bigrams, so the keys share at least 3M-T-1 bigrams (as multisets); hashed
+  into a bit signature, a key cannot have more bits alone than bigrams it does not share;
 * removing and inserting the unmatched characters turns one key into the other, so
   their edit distance is at most (1-t)T.
 
@@ -29,6 +30,7 @@ THRESHOLD = 0.85
 SLOTS = 1 << 14  # bigrams are hashed to this many slots: bounds the frequency table
 _OCCURRENCES = 1 << 20
 SALT_ROWS = 50_000  # rows of one bigram that share a join key before it is split
+WORDS = 16  # 64-bit words of a key's bigram signature
 BANDS, BAND_SIZE = 6, 3
 _EPSILON = 1e-9
 
@@ -76,9 +78,9 @@ def least_shared(total: Column, threshold: float) -> Column:
 
 
 def profile(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Keys with all that the join needs: (kid, key, n, grams, prefix, salts, bands).
+    """Keys with all that the join needs: (kid, key, n, prefix, salts, bands, bits, w0…).
 
-    ``grams`` are the bigrams as (order, occurrence) numbers, ascending, rare first.
+    ``prefix`` are bigrams as (order, occurrence) numbers, ascending, rare first.
     """
     _check(threshold)
     hashed = keys.withColumns({"slots": _slots(F.col("key")), "n": F.length("key")})
@@ -114,9 +116,33 @@ def profile(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return prefixed.withColumns(
         {
             "salts": split,
+            **signature(F.col("grams")),
             "bands": F.when(F.size("prefix") == 0, alone).otherwise(bands(F.col("grams"))),
         }
-    ).drop("slots")
+    ).drop("slots", "grams")
+
+
+def signature(grams: Column) -> dict[str, Column]:
+    """A bit per bigram, hashed, in WORDS long columns, and the number of bits set."""
+    bits = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(WORDS * 64)).cast("int"))
+    distinct = F.array_distinct(bits)
+    zero = F.lit(0).cast("long")
+
+    def word(w: int) -> Column:
+        mine = F.filter(distinct, lambda b: (b >= w * 64) & (b < w * 64 + 64))
+        one = F.lit(1).cast("long")
+        return F.aggregate(
+            mine, zero, lambda seen, b: seen.bitwiseOR(F.call_function("shiftleft", one, b - w * 64))
+        )
+
+    return {"bits": F.size(distinct), **{f"w{w}": word(w) for w in range(WORDS)}}
+
+
+def _common_bits(a: str, b: str) -> Column:
+    total = F.lit(0)
+    for w in range(WORDS):
+        total = total + F.bit_count(F.col(f"{a}.w{w}").bitwiseAND(F.col(f"{b}.w{w}")))
+    return total
 
 
 def bands(grams: Column) -> Column:
@@ -163,20 +189,23 @@ def candidates(
     split: its probes spread over salts, its targets are repeated per salt.  A pair of
     two targets (``is_target`` on the probe) comes out once.
     """
-    met = F.explode(F.arrays_zip("prefix", "salts"))
-    left = probes.select("*", met.alias("_t")).select(
+    met = F.posexplode(F.arrays_zip("prefix", "salts"))
+    left = probes.select("*", met.alias("_at", "_t")).select(
         *probes.columns,
+        "_at",
         F.col("_t.prefix").alias("_gram"),
         F.pmod(F.xxhash64("kid"), F.col("_t.salts")).cast("int").alias("_salt"),
     )
-    right = targets.select("*", met.alias("_t")).select(
+    right = targets.select("*", met.alias("_at", "_t")).select(
         *targets.columns,
+        "_at",
         F.col("_t.prefix").alias("_gram"),
         F.explode(F.sequence(F.lit(0), F.col("_t.salts") - 1)).alias("_salt"),
     )
     # merge: the exploded side is far larger than the file size a broadcast is decided on
     a, b = left.alias("a"), right.hint("merge").alias("b")
     total = F.col("a.n") + F.col("b.n")
+    shared = least_shared(total, threshold)
     ratio = threshold / (2 - threshold)
     condition = (
         (F.col("a._gram") == F.col("b._gram"))
@@ -184,13 +213,21 @@ def candidates(
         & (F.col("a.kid") != F.col("b.kid"))
         & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * ratio - _EPSILON)
         & (~F.col("a.is_target") | (F.col("a.kid") > F.col("b.kid")))
+        # what can still be shared from here on
+        & (F.least(F.col("a.n") - F.col("a._at"), F.col("b.n") - F.col("b._at")) - 1 >= shared)
+        # the bits a key has alone are at most the bigrams it does not share
+        & (
+            _common_bits("a", "b")
+            >= shared + 1 + F.greatest(F.col("a.bits") - F.col("a.n"), F.col("b.bits") - F.col("b.n"))
+        )
     )
     if extra is not None:
         condition = condition & extra("a", "b")
+    before_a = F.slice("a.prefix", F.lit(1), F.col("a._at"))
+    before_b = F.slice("b.prefix", F.lit(1), F.col("b._at"))
     condition = (
         condition
-        & (F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a._gram"))
-        & (F.size(F.array_intersect("a.grams", "b.grams")) >= least_shared(total, threshold))
+        & ~F.arrays_overlap(before_a, before_b)  # met on an earlier bigram already
         & (_edits(F.col("a.key"), F.col("b.key"), total, threshold) >= 0)
     )
     return a.join(b, condition).select(
@@ -213,6 +250,12 @@ def similar_pairs(
     threshold: float = THRESHOLD,
     extra: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
-    """(lo, hi): verified pairs; the later key is the first argument of the ratio."""
+    """(lo, hi): verified pairs; the later key is the first argument of the ratio.
+
+    Verifying costs far more than moving a pair, so pairs are spread evenly before it:
+    by both ids, because one leader may be in a third of them.
+    """
     found = candidates(probes, targets, threshold, extra)
-    return found.where(_ratio_at_least(threshold)(F.col("later"), F.col("earlier"))).select("lo", "hi")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = found.repartition(parts, "lo", "hi").sortWithinPartitions("lo")
+    return spread.where(_ratio_at_least(threshold)(F.col("later"), F.col("earlier"))).select("lo", "hi")

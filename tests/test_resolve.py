@@ -73,9 +73,10 @@ def test_pairs_equal_all_pairs(spark, threshold):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_leaders_equal_the_loop(spark, monkeypatch, seed, rounds):
-    monkeypatch.setattr(L, "THIN_ROUNDS", rounds)
+@pytest.mark.parametrize("few", [0, 1000])
+def test_leaders_equal_the_loop(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(L, "FEW", few)
+    monkeypatch.setattr(L, "DENSE", few and L.DENSE)  # 0: only thinning rounds until they stall
     keys = near_copies(seed, 12, 150)
     expected = greedy(keys, 0.85)
     got = {r.kid: r.leader for r in L.assign_leaders(frame(spark, keys), Scratch(spark, "test")).collect()}
