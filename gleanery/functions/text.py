@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that count as blank.
 BLANKS = (
@@ -55,7 +56,7 @@ def decoded_description(column: Column) -> Column:
     return cut(strip(F.replace(decode_entities(strip_tags(text(column))), F.lit("\xa0"), F.lit(" "))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
@@ -65,7 +66,7 @@ def decode_entities(column: Column) -> Column:
     return F.coalesce(_unescape(F.when(F.contains(column, F.lit("&")), column)), column)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
     def fold(value: str) -> str:
         parts = unicodedata.normalize("NFKD", value)

@@ -10,6 +10,7 @@ from email.utils import parsedate_to_datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.listing import work_mode_with_site
 from gleanery.functions.text import collapse_blanks, text
@@ -83,7 +84,7 @@ def body_and_date(raw: str) -> tuple[str, str | None]:
     return "\n".join(bodies["text/html"] or bodies["text/plain"]), day
 
 
-@F.pandas_udf("struct<body:string,day:string>")
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("day", T.StringType())]))
 def _read(raws: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([body_and_date(r or "") for r in raws], columns=["body", "day"])
 

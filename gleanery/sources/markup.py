@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
@@ -81,8 +82,12 @@ def tree(page: str) -> Element:
     return builder.root
 
 
-def _cards(schema: str, extract: Callable[[Element], list[tuple]]):
-    @F.pandas_udf(f"array<struct<{schema}>>")
+_LINK = [T.StructField("href", T.StringType()), T.StructField("title", T.StringType())]
+_LINES = T.StructField("lines", T.ArrayType(T.StringType()))
+
+
+def _cards(fields: list[T.StructField], extract: Callable[[Element], list[tuple]]):
+    @F.pandas_udf(T.ArrayType(T.StructType(fields)))
     def cards(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: extract(tree(p)) if p else [])
 
@@ -121,9 +126,9 @@ def _alerts(root: Element) -> list[tuple]:
     return found
 
 
-anchors = _cards("href:string,title:string", _anchors)
-heading_cards = _cards("href:string,title:string,lines:array<string>", _headings)
-alert_cards = _cards("href:string,title:string,lines:array<string>", _alerts)
+anchors = _cards(_LINK, _anchors)
+heading_cards = _cards([*_LINK, _LINES], _headings)
+alert_cards = _cards([*_LINK, _LINES], _alerts)
 
 
 def _hits(value, depth: int = 0) -> Iterator[dict]:
@@ -144,7 +149,7 @@ def _hits(value, depth: int = 0) -> Iterator[dict]:
         yield from _hits(inner, depth + 1)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def hydration_hits(blobs: pd.Series) -> pd.Series:
     def one(blob: str | None) -> list[str]:
         try:

@@ -21,14 +21,13 @@ from gleanery.sources.landing import explode_items
 
 PLACE_ROWS = T.StructType(PLACE.fields + ORDER.fields)
 
-GOOGLE_PLACE = (
-    "place_id string, name string, formatted_address string, "
-    "address_components array<struct<long_name:string,types:array<string>>>, types array<string>, "
-    "rating double, user_ratings_total int, price_level int, formatted_phone_number string, "
-    "website string, opening_hours struct<weekday_text:array<string>,open_now:boolean>, "
-    "photos array<struct<photo_reference:string>>, permanently_closed boolean"
+_GOOGLE = (
+    "struct<place_id:string,name:string,formatted_address:string,"
+    "address_components:array<struct<long_name:string,types:array<string>>>,types:array<string>,"
+    "rating:double,user_ratings_total:int,price_level:int,formatted_phone_number:string,"
+    "website:string,opening_hours:struct<weekday_text:array<string>,open_now:boolean>,"
+    "photos:array<struct<photo_reference:string>>,permanently_closed:boolean>"
 )
-_GOOGLE = T.StructType.fromDDL(GOOGLE_PLACE).simpleString()
 PHOTO_URL = "https://maps.googleapis.com/maps/api/place/photo?maxwidth=400&photoreference="
 MAPS_URL = "https://www.google.com/maps/place/?q=place_id:"
 VENUE_URL = "https://foursquare.com/v/"
