@@ -5,14 +5,16 @@ from __future__ import annotations
 from datetime import date, datetime, time
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(?: ?(Z|[+-]\d{2}:?\d{2}))?\z"
 _MAIL = (
-    r"^(?:[A-Za-z]{3}, ?)?(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}(?::\d{2})?)"
+    r"^(?:[A-Za-z]{3}, ?)?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) (\d{2}:\d{2}(?::\d{2})?)"
     r"(?: (GMT|UTC|Z|[+-]\d{4}))?\z"
 )
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def _offset(mark: Column) -> Column:
@@ -24,16 +26,8 @@ def _offset(mark: Column) -> Column:
     )
 
 
-def _iso(stamp: Column, mark: Column) -> Column:
-    whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(stamp, "SSSSSS")
-    return F.concat(
-        whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), _offset(mark)
-    )
-
-
 def _lenient(default: datetime):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def parse(values: pd.Series) -> pd.Series:
         from dateutil import parser
 
@@ -48,27 +42,46 @@ def _lenient(default: datetime):
     return parse
 
 
-def to_iso(column: Column, run_day: date) -> Column:
-    """ISO 8601 text of a date in nearly any spelling; null when it is not a date.
+def with_iso(df: DataFrame, column: str, to: str, run_day: date) -> DataFrame:
+    """Add ISO 8601 text of a date in nearly any spelling; null when it is not a date.
 
-    Parts a text leaves out are taken from the run day, so the result repeats.
+    Parts a text leaves out are taken from the run day, so the result repeats.  No session
+    time zone takes part.  The steps are projections of their own, because each later step
+    looks at the parts several times.
     """
-    day, clock, mark = (F.regexp_extract(column, _ISO, g) for g in (1, 2, 3))
-    iso = F.when(
-        day != "",
-        _iso(
-            F.concat(day, F.lit(" "), F.when(clock == "", "00:00").otherwise(clock)).try_cast("timestamp_ntz"),
-            mark,
+    raw = F.col(column)
+    parts = df.withColumns(
+        {
+            **{f"_i{g}": F.regexp_extract(raw, _ISO, g) for g in range(1, 4)},
+            **{f"_m{g}": F.regexp_extract(raw, _MAIL, g) for g in range(1, 6)},
+        }
+    ).withColumn("_month", F.instr(F.lit(_MONTHS), F.col("_m2")))
+    clock = F.when(F.col("_i2") == "", "00:00").otherwise(F.col("_i2"))
+    month = F.lpad(F.floor((F.col("_month") + 2) / 3).cast("string"), 2, "0")
+    mail_day = F.concat("_m3", F.lit("-"), month, F.lit("-"), F.lpad("_m1", 2, "0"))
+    written = F.when(F.col("_i1") != "", F.concat("_i1", F.lit(" "), clock)).when(
+        (F.col("_m2") != "") & (F.col("_month") % 3 == 1), F.concat(mail_day, F.lit(" "), "_m4")
+    )
+    stamped = parts.withColumns(
+        {"_stamp": written.try_cast("timestamp_ntz").cast("string"), "_mark": F.concat("_i3", "_m5")}
+    ).withColumn("_micros", F.regexp_extract("_stamp", r"\.(\d+)$", 1))
+    common = stamped.withColumn(
+        "_iso",
+        F.concat(
+            F.replace(F.substring("_stamp", 1, 19), F.lit(" "), F.lit("T")),
+            F.when(F.col("_micros") != "", F.concat(F.lit("."), F.rpad("_micros", 6, "0"))).otherwise(""),
+            _offset(F.col("_mark")),
         ),
     )
-    body, zone = (F.regexp_extract(column, _MAIL, g) for g in (1, 2))
-    stamp = F.coalesce(
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss")),
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm")),
-    ).cast("timestamp_ntz")
-    common = F.coalesce(iso, F.when(body != "", _iso(stamp, zone)))
-    rest = F.when(common.isNull() & (F.length(column) > 0), column)
-    return F.coalesce(common, _lenient(datetime.combine(run_day, time()))(rest))
+    rest = F.when(F.col("_iso").isNull() & (F.length(raw) > 0), raw)
+    lenient = _lenient(datetime.combine(run_day, time()))(rest)
+    done = common.withColumn("_iso", F.coalesce("_iso", lenient))
+    return done.select(*[c for c in df.columns if c != to], F.col("_iso").alias(to))
+
+
+def with_wall_clock(df: DataFrame, column: str, to: str, run_day: date) -> DataFrame:
+    """Add the local time a date text tells, without its offset."""
+    return with_iso(df, column, "_wall", run_day).withColumn(to, wall_clock(F.col("_wall"))).drop("_wall")
 
 
 def wall_clock(iso: Column) -> Column:
@@ -76,10 +89,6 @@ def wall_clock(iso: Column) -> Column:
     return F.regexp_replace(iso, r"(Z|[+-]\d{2}:\d{2}(:\d{2})?)\z", "").try_cast("timestamp_ntz")
 
 
-def parsed(column: Column, run_day: date) -> Column:
-    return wall_clock(to_iso(column, run_day))
-
-
 def age_in_days(moment: Column, now: datetime) -> Column:
     """Whole days from ``moment`` to ``now``, rounded down (negative in the future)."""
     micros = F.timestamp_diff("MICROSECOND", moment, F.lit(now).cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.dates import age_in_days, parsed
+from gleanery.functions.dates import age_in_days, with_wall_clock
 from gleanery.functions.matching import contains_text, contains_word, haystack, joined
 from gleanery.functions.text import text
 from gleanery.settings import Preferences, Run
@@ -36,8 +36,8 @@ def _points(*rules: tuple[Column, int]) -> Column:
 def score(df: DataFrame, prefs: Preferences, run: Run, name: str = "score") -> DataFrame:
     """Add the relevance score.  The search text is built once per row and dropped."""
     if "posted_ts" not in df.columns:
-        df = df.withColumn("posted_ts", parsed(F.col("posted_date"), run.day))
-        return score(df, prefs, run, name).drop("posted_ts")
+        dated = with_wall_clock(df, "posted_date", "posted_ts", run.day)
+        return score(dated, prefs, run, name).drop("posted_ts")
     prepared = df.withColumns(
         {
             "_title": F.lower(text(F.col("title"))),

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gleanery.functions.dates import parsed
+from gleanery.functions.dates import with_wall_clock
 from gleanery.functions.text import text
 
 RETENTION_DAYS = 60
@@ -38,20 +38,21 @@ def retain_counted(
     return counted.where(kept), seen
 
 
-def is_fresh(run_day: date, max_age_days: int, posted_ts: Column | None = None) -> Column:
+def is_fresh(run_day: date, max_age_days: int) -> Column:
     """Posted date, else first seen, not older than the limit.
 
     A posted date nobody can read does not fall back to first seen: the row stays.
     """
-    raw = text(F.col("posted_date"))
-    posted = (parsed(F.col("posted_date"), run_day) if posted_ts is None else posted_ts).cast("date")
-    anchor = F.when(raw != "", posted).otherwise(F.col("first_seen"))
+    dated = text(F.col("posted_date")) != ""
+    anchor = F.when(dated, F.col("posted_ts").cast("date")).otherwise(F.col("first_seen"))
     return anchor.isNull() | (F.datediff(F.lit(run_day), anchor) <= max_age_days)
 
 
 def fresh(df: DataFrame, run_day: date, max_age_days: int = 14) -> DataFrame:
-    known = F.col("posted_ts") if "posted_ts" in df.columns else None
-    return df.where(is_fresh(run_day, max_age_days, known))
+    if "posted_ts" in df.columns:
+        return df.where(is_fresh(run_day, max_age_days))
+    dated = with_wall_clock(df, "posted_date", "posted_ts", run_day)
+    return dated.where(is_fresh(run_day, max_age_days)).drop("posted_ts")
 
 
 def above(df: DataFrame, threshold: int) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.dates import to_iso
+from gleanery.functions.dates import with_iso
 from gleanery.functions.listing import company_colon_title, title_at_company, work_mode
 from gleanery.functions.text import MISSING, cut, or_default, plain_description, strip, text
 from gleanery.settings import Run
@@ -96,11 +96,12 @@ def feed_rows(
         title.alias("title"),
         (company if rules.split == "colon" else or_default(company, rules.company)).alias("company"),
         summary.alias("description"),
-        to_iso(F.nullif(F.col("published"), F.lit("")), run.day).alias("posted_date"),
+        F.nullif(F.col("published"), F.lit("")).alias("_published"),
         (location if location is not None else F.lit(rules.location)).alias("location"),
         (mode if mode is not None else F.lit(rules.mode)).alias("_mode"),
         F.array(*map(F.lit, rules.tags)).cast("array<string>").alias("tags"),
     )
+    rows = with_iso(rows, "_published", "posted_date", run.day).drop("_published")
     low = F.lower(F.col("description"))
     if rules.mode_from_summary:
         remote = F.contains(low, F.lit("remote")) | F.contains(low, F.lit("homeoffice"))

@@ -81,22 +81,32 @@ def ld_items(pages: DataFrame, rules: LdRules) -> DataFrame:
 
 
 def ld_rows(items: DataFrame, rules: LdRules, location: Column | None = None) -> DataFrame:
+    """Canonical fields.  The payload is read in a projection of its own: what several
+    rules look at is extracted once."""
     job = F.col("job")
+    kept = [c for c in items.columns if c != "job"]
     default = location if location is not None else F.lit(rules.location)
-    found = V.address_part(job, rules.address, single=rules.address_single)
-    place = default if rules.fixed_location else or_default(strip(or_default(found, default)), default)
-    marked = text(V.field(job, "jobLocationType")) == "TELECOMMUTE"
-    mode = F.lit(rules.mode) if rules.fixed_mode else F.when(marked, "remote").otherwise(rules.mode)
-    return items.select(
-        *[c for c in items.columns if c != "job"],
+    read = items.select(
+        *kept,
         V.field(job, "url").alias("url"),
-        strip(text(V.field(job, "title"))).alias("title"),
-        or_default(strip(V.company_of(job)), rules.company).alias("company"),
-        place.alias("location"),
-        mode.alias("remote_type"),
-        plain_description(V.field(job, "description")).alias("description"),
+        V.field(job, "title").alias("title"),
+        V.company_of(job).alias("company"),
+        strip(V.address_part(job, rules.address, single=rules.address_single)).alias("_place"),
+        V.field(job, "jobLocationType").alias("_kind"),
+        V.field(job, "description").alias("description"),
         V.field(job, "datePosted").alias("posted_date"),
     )
+    marked = text(F.col("_kind")) == "TELECOMMUTE"
+    return read.select(
+        *kept,
+        "url",
+        strip(text(F.col("title"))).alias("title"),
+        or_default(strip(F.col("company")), rules.company).alias("company"),
+        (default if rules.fixed_location else or_default(F.col("_place"), default)).alias("location"),
+        (F.lit(rules.mode) if rules.fixed_mode else F.when(marked, "remote").otherwise(rules.mode)).alias("remote_type"),
+        plain_description(F.col("description")).alias("description"),
+        "posted_date",
+    )
 
 
 def ld_postings(pages: DataFrame, rules: LdRules, run: Run) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.dates import to_iso, wall_clock
+from gleanery.functions.dates import with_wall_clock
 from gleanery.functions.ids import posting_id
 from gleanery.functions.text import text
 from gleanery.operators.order import first_wins
@@ -28,12 +28,17 @@ def landing(df: DataFrame) -> DataFrame:
 
 
 def explode_items(raw: DataFrame, items: Column, name: str = "item") -> DataFrame:
-    """One row per element; its position in the payload extends the row's order."""
+    """One row per element; its position in the payload extends the row's order.
+
+    The outer form, because before a plain explode Spark filters on the size of the array
+    and would parse every payload once more for that.
+    """
     kept = [c for c in raw.columns if c not in ("payload", "fetched_at", "pos", "_items")]
     start = F.col("pos") if "pos" in raw.columns else F.array().cast("array<int>")
     return (
         raw.withColumns({"_items": items, "_start": start})
-        .select(*kept, "_start", F.posexplode("_items").alias("_at", name))
+        .select(*kept, "_start", F.posexplode_outer("_items").alias("_at", name))
+        .where(F.col("_at").isNotNull())
         .select(*kept, F.concat("_start", F.array("_at")).alias("pos"), name)
     )
 
@@ -62,15 +67,8 @@ def finish_postings(
             "score": F.lit(0),
         }
     )
-    return conform(
-        filled.withColumns(
-            {
-                "id": posting_id(F.col("url"), F.col("title"), F.col("company"), keep_params),
-                "posted_ts": wall_clock(to_iso(F.col("posted_date"), run.day)),
-            }
-        ),
-        POSTING_ROWS,
-    )
+    keyed = filled.withColumn("id", posting_id(F.col("url"), F.col("title"), F.col("company"), keep_params))
+    return conform(with_wall_clock(keyed, "posted_date", "posted_ts", run.day), POSTING_ROWS)
 
 
 def rejects(rows: DataFrame, reason: Column) -> DataFrame:

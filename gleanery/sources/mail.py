@@ -100,7 +100,9 @@ def _is_noise(line: Column) -> Column:
 
 def alert_rows(bodies: DataFrame) -> DataFrame:
     """One row per (message, job): the first anchor of the job that carries a title."""
-    cards = bodies.select("uid", "day", F.posexplode(alert_cards(F.col("body"))).alias("at", "card"))
+    cards = bodies.select(
+        "uid", "day", F.posexplode_outer(alert_cards(F.col("body"))).alias("at", "card")
+    ).where(F.col("at").isNotNull())
     titled = cards.select(
         "uid", "day", "at",
         F.regexp_extract("card.href", JOB_LINK, 1).alias("job_id"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions.dates import age_in_days, to_iso, wall_clock
+from gleanery.functions.dates import age_in_days, wall_clock, with_iso
 from gleanery.functions.ids import place_id, posting_id
 from gleanery.functions.listing import (
     company_colon_title,
@@ -279,8 +281,6 @@ def freshness(spark, sf):
 @query("select event_id from events where cast(ts as date) >= date '2024-01-31' - 7")
 def new_since_days(spark, sf):
     rows = table(spark, sf, "events").withColumn("first_seen", F.col("ts").cast("date"))
-    from datetime import date
-
     return new_since(rows, date(2024, 1, 31), 7).select("event_id")
 
 
@@ -406,17 +406,16 @@ def title_split(spark, sf):
     from events"""
 )
 def date_normalise(spark, sf):
-    from datetime import datetime
-
-    mail = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    long_form = F.date_format("ts", "MMMM d, yyyy")
-    return table(spark, sf, "events").select(
-        "event_id",
-        to_iso(mail, RUN.day).alias("mail_iso"),
-        to_iso(long_form, RUN.day).alias("day_iso"),
-        age_in_days(wall_clock(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), datetime(2024, 2, 1, 6))
-        .cast("bigint").alias("age"),
+    events = table(spark, sf, "events").withColumns(
+        {
+            "_mail": F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
+            "_long": F.date_format("ts", "MMMM d, yyyy"),
+        }
     )
+    read = with_iso(with_iso(events, "_mail", "mail_iso", RUN.day), "_long", "day_iso", RUN.day)
+    moment = wall_clock(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    age = age_in_days(moment, datetime(2024, 2, 1, 6)).cast("bigint")
+    return read.select("event_id", "mail_iso", "day_iso", age.alias("age"))
 
 
 @query(

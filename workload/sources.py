@@ -137,7 +137,14 @@ def _defs(kind: str, **more) -> list[dict]:
 
 
 def _without_at(title: str) -> str:
-    return f"regexp_replace({title}, ' at ', ' AT ', 'g')"
+    once = f"replace({title}, ' at ', ' AT ')"
+    return f"replace({once}, ' at ', ' AT ')"
+
+
+def _no_at(title: str) -> Column:
+    """Twice, because neighbours share a blank."""
+    once = F.replace(title, F.lit(" at "), F.lit(" AT "))
+    return F.replace(once, F.lit(" at "), F.lit(" AT "))
 
 
 @query(
@@ -147,7 +154,7 @@ def _without_at(title: str) -> str:
     )
 )
 def rss_read(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.concat(F.replace("title", F.lit(" at "), F.lit(" AT ")), F.lit(" at "), "company")
+    title = F.concat(_no_at("title"), F.lit(" at "), "company")
     raw = _wrapped(spark, sf, _rss(title))
     defs = _defs("rss", default_location="Everywhere", default_remote="hybrid")
     return _shown(read_defined(raw, defs, RUN))
@@ -164,7 +171,7 @@ def atom_read(spark, sf):
         spark, sf,
         F.concat(
             F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><entry><title>'),
-            _xml(F.replace("title", F.lit(" at "), F.lit(" AT "))),
+            _xml(_no_at("title")),
             F.lit('</title><link rel="self" href="x"/><link href="'), _xml(F.col("url")), F.lit('"/><summary>'),
             _xml(F.col("description")), F.lit("</summary><published>"),
             F.coalesce(F.concat(F.nullif("posted_date", F.lit("")), F.lit("T06:00:00Z")), F.lit("")),
@@ -260,14 +267,11 @@ def freelancermap_read(spark, sf):
     return _preset("freelancermap", spark, sf, _rss(F.col("title")))
 
 
-@query(_one("eustartups", title="'Role'", company=strip_sql("title"), location="'Europe'",
+@query(_one("eustartups", title="'Role'", company=strip_sql(_without_at("title")), location="'Europe'",
             description=_MARKED, posted_date=_ISO_MAIL,
             remote_type=_FEED_MODE.replace("title || ' ' || ", "")))
 def eustartups_read(spark, sf):
-    title = F.replace("title", F.lit(" at "), F.lit(" AT "))
-    return _preset("eustartups", spark, sf, _rss(F.concat(F.trim(title), F.lit(" is hiring Role")))).withColumn(
-        "company", F.replace("company", F.lit(" AT "), F.lit(" at "))
-    )
+    return _preset("eustartups", spark, sf, _rss(F.concat(F.trim(_no_at("title")), F.lit(" is hiring Role"))))
 
 
 @query(_one("remotive", location="'Remote'", remote_type="'remote'",

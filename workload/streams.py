@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from gleanery.streaming.states import read_state, start_state_log
 from workload.tables import PREFS, RUN, table
 
 QUERIES, ORACLE = {}, {}
+EPOCH = datetime(1970, 1, 1)
 
 
 def query(sql: str | None = None):
@@ -33,7 +36,7 @@ def _changes(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").cast("string").alias("space"), F.col("event_type").alias("id"),
         F.col("value").cast("string").alias("status"),
-        F.floor(F.unix_seconds("ts") / 3600).alias("ts"), F.col("event_id").alias("arrival"),
+        F.timestamp_diff("HOUR", F.lit(EPOCH).cast("timestamp_ntz"), "ts").alias("ts"), F.col("event_id").alias("arrival"),
     )
 
 

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.session import Scratch
 from gleanery.settings import Feedback, Preferences, Run
 
 RUN = Run(datetime(2026, 7, 1, 6, 0))
@@ -91,11 +92,12 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def payloads(rows: DataFrame, payload) -> DataFrame:
-    """Landing rows, one payload per input row."""
-    return rows.select(
+    """A landing table, one payload per input row."""
+    landed = rows.select(
         "source", "source_rank", "seq", F.lit(RUN.at).cast("timestamp").alias("fetched_at"),
         payload.alias("payload"),
     )
+    return Scratch(rows.sparkSession, "landing").save(landed, "raw")
 
 
 WORD = r"[\p{L}\p{N}_]"
