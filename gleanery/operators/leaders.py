@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gleanery.operators.similarity import THRESHOLD, profile, similar_pairs
 from gleanery.session import Scratch
 
-FEW = 1000  # open keys that are compared to each other without further thinning
+FEW = 200  # open keys that are compared to each other without further thinning
 DENSE = 64  # mean size of a key's band above which near copies are thinned out
 STALLED = 0.9  # share of keys left open by a round after which it does not either
 
@@ -73,15 +73,18 @@ def _elect(edges: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFra
     ``links`` are the edges between keys not covered yet; a rep nothing links down to
     leads.  Each pass covers what the leaders link to, until a pass covers nothing.
     """
-    links, covered = edges, scratch.save(reps.limit(0), "covered")
+    links, covered = edges, reps.limit(0)
     while True:
+        open_reps = reps.join(covered, "kid", "left_anti")
+        if links.isEmpty():
+            return scratch.save(open_reps, "leaders"), covered
         reached = links.select(F.col("hi").alias("kid")).distinct()
-        leading = reps.join(covered, "kid", "left_anti").join(reached, "kid", "left_anti")
+        leading = open_reps.join(reached, "kid", "left_anti")
         newly = links.join(leading.select(F.col("kid").alias("lo")), "lo", "left_semi")
-        step = scratch.save(newly.select(F.col("hi").alias("kid")).distinct(), "step")
+        step = scratch.save(newly.select(F.col("hi").alias("kid")).distinct(), "covered")
         if step.isEmpty():
             return scratch.save(leading, "leaders"), covered
-        covered = scratch.save(covered.unionByName(step), "covered")
+        covered = covered.unionByName(step)
         links = scratch.save(
             links.join(step.select(F.col("kid").alias("hi")), "hi", "left_anti").join(
                 step.select(F.col("kid").alias("lo")), "lo", "left_anti"
