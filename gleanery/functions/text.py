@@ -35,7 +35,11 @@ def or_default(column: Column, default: str | Column) -> Column:
 
 
 def collapse_blanks(column: Column) -> Column:
-    return strip(F.regexp_replace(column, f"[{BLANKS}]+", " "))
+    """Every run of blanks to one space.  Other blanks become spaces first, so that the
+    pattern starts with a plain character and only runs of several are replaced."""
+    others = BLANKS.replace(" ", "")
+    spaced = F.translate(column, others, " " * len(others))
+    return strip(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def strip_tags(column: Column) -> Column:
@@ -66,13 +70,22 @@ def decode_entities(column: Column) -> Column:
     return F.coalesce(_unescape(F.when(F.contains(column, F.lit("&")), column)), column)
 
 
+class _Folded(dict):
+    """Character code to its compatibility decomposition without combining marks.
+
+    Marks go, so their canonical order does not matter and characters fold one by one.
+    """
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code))
+        self[code] = folded = "".join(c for c in parts if not unicodedata.combining(c))
+        return folded
+
+
 @F.pandas_udf(T.StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
-    def fold(value: str) -> str:
-        parts = unicodedata.normalize("NFKD", value)
-        return "".join(c for c in parts if not unicodedata.combining(c))
-
-    return values.map(fold, na_action="ignore")
+    folded = _Folded()
+    return values.map(lambda v: v.translate(folded), na_action="ignore")
 
 
 def match_key(column: Column) -> Column:
