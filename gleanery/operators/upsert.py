@@ -31,8 +31,16 @@ def _earliest(column: Column, order: Column) -> Column:
     return F.min_by(column, F.when(column.isNotNull(), order))
 
 
-def _side_by_side(snapshot: DataFrame, folded: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """Stored and incoming rows by id, and whether each side has the row."""
+def _side_by_side(
+    snapshot: DataFrame, folded: DataFrame, buckets: int | None
+) -> tuple[DataFrame, Column, Column]:
+    """Stored and incoming rows by id, and whether each side has the row.
+
+    ``buckets`` of a bucketed snapshot: the batch is laid out likewise, else the planner
+    could shuffle the stored side to the batch's number of partitions.
+    """
+    if buckets:
+        folded = folded.repartition(buckets, "id")
     stored = snapshot.withColumn("_here", F.lit(True)).alias("s")
     coming = folded.withColumn("_here", F.lit(True)).alias("b")
     both = stored.join(coming, "id", "full_outer")
@@ -53,16 +61,18 @@ def fold_postings(batch: DataFrame) -> DataFrame:
     return folded.select("id", "_last.*", "first_seen", "status", "_order.*")
 
 
-def upsert_postings(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_postings(snapshot: DataFrame, batch: DataFrame, buckets: int | None = None) -> DataFrame:
     """Incoming rows replace stored ones, which keep ``first_seen`` and a set status.
 
     Adds ``is_new`` and the batch order of the rows that came in.
     """
-    return merge_folded_postings(snapshot, fold_postings(batch))
+    return merge_folded_postings(snapshot, fold_postings(batch), buckets)
 
 
-def merge_folded_postings(snapshot: DataFrame, folded: DataFrame) -> DataFrame:
-    both, came, stored = _side_by_side(snapshot, folded)
+def merge_folded_postings(
+    snapshot: DataFrame, folded: DataFrame, buckets: int | None = None
+) -> DataFrame:
+    both, came, stored = _side_by_side(snapshot, folded, buckets)
     replaced = [
         F.when(came, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
         for c in POSTING.names
@@ -96,9 +106,11 @@ def fold_places(batch: DataFrame, run_day: date) -> DataFrame:
     )
 
 
-def upsert_places(snapshot: DataFrame, batch: DataFrame, run_day: date) -> DataFrame:
+def upsert_places(
+    snapshot: DataFrame, batch: DataFrame, run_day: date, buckets: int | None = None
+) -> DataFrame:
     """Known incoming values overwrite the listed fields, unknown ones do not."""
-    both, came, stored = _side_by_side(snapshot, fold_places(batch, run_day))
+    both, came, stored = _side_by_side(snapshot, fold_places(batch, run_day), buckets)
     fields = [
         F.coalesce(F.col(f"b.{c}"), F.col(f"s.{c}")).alias(c)
         if c in OVERWRITTEN

@@ -36,12 +36,13 @@ def next_snapshot(
     prefs: Preferences,
     run: Run,
     states: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Merge a folded batch, then score every row: ages change every day.
 
     ``states`` (off by default) lets statuses set by users protect rows.
     """
-    merged = merge_folded_postings(stored, folded)
+    merged = merge_folded_postings(stored, folded, buckets)
     if states is not None:
         merged = with_status(merged, states)
     return score(merged.drop("score"), prefs, run)
@@ -79,7 +80,8 @@ def postings_run(
     new = scratch.save(score(new_rows(folded, stored).drop("score"), prefs, run), "new")
     new = new.select(*POSTING.names, *ORDER_COLUMNS)
 
-    kept, seen = retain_counted(next_snapshot(stored, folded, prefs, run, states), run.day)
+    scored = next_snapshot(stored, folded, prefs, run, states, snapshots.buckets)
+    kept, seen = retain_counted(scored, run.day)
     written = snapshots.write(kept, version, clustered=before is not None)
     totals = seen.get
     left = totals["before"] - totals["removed"]

@@ -1,8 +1,8 @@
 """Versioned snapshots, the run log, and the JSON documents at the edges.
 
 A version is a new directory, complete once Spark wrote its ``_SUCCESS`` file; the one
-being read is never overwritten.  Versions are bucketed and sorted by id: an upsert joins
-the stored side bucket by bucket and shuffles the batch only.
+being read is never overwritten.  Versions are bucketed and sorted by id: an upsert that is
+told the number of buckets joins the stored side in place and shuffles the batch only.
 """
 
 from __future__ import annotations

@@ -43,7 +43,7 @@ def start_ingest(
         rows = read(batch, run) if read else read_sources(prefs.sources, batch, run)
         before = snapshots.latest(version)
         stored = snapshots.read(before) if before is not None else snapshots.empty()
-        scored = next_snapshot(stored, fold_postings(rows), prefs, run)
+        scored = next_snapshot(stored, fold_postings(rows), prefs, run, buckets=snapshots.buckets)
         kept = retain(scored, run.day, retention_days) if retention_days is not None else scored
         snapshots.write(kept, version, clustered=before is not None)
 

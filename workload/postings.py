@@ -230,7 +230,7 @@ def upsert_bucketed_snapshot(spark, sf):
     stored, incoming = _orders(spark, sf)
     snapshots = SnapshotTable(spark, Scratch(spark, "upsert").path("snapshot"), POSTING)
     snapshots.write(stored)
-    return _upsert_columns(upsert_postings(snapshots.read(), incoming))
+    return _upsert_columns(upsert_postings(snapshots.read(), incoming, snapshots.buckets))
 
 
 @query(f"select id, title from ({_UPSERTED}) where is_new")
