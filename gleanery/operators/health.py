@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,8 +40,6 @@ def unknown_sources(enabled: DataFrame, registry: DataFrame) -> DataFrame:
     return enabled.join(registry.select("name"), "name", "left_anti")
 
 
-def observed_totals(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Row totals gathered while the rows pass by, without another scan."""
-    seen = Observation(name)
-    new = F.count(F.when(F.col("is_new"), 1)) if "is_new" in df.columns else F.lit(None).cast("long")
-    return df.observe(seen, F.count("*").alias("stored"), new.alias("new")), seen
+def run_totals(merged: DataFrame) -> DataFrame:
+    """One row (stored, new) of an upsert result."""
+    return merged.agg(F.count("*").alias("stored"), F.count(F.when(F.col("is_new"), 1)).alias("new"))

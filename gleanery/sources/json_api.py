@@ -94,14 +94,12 @@ def remotive(raw: DataFrame, run: Run) -> DataFrame:
         strip(text(V.field(item, "company_name"))).alias("company"),
         or_default(strip(V.field(item, "candidate_required_location")), "Remote").alias("location"),
         F.lit("remote").alias("remote_type"),
-        V.field(item, "description").alias("description"),
+        decoded_description(V.field(item, "description")).alias("description"),
         V.field(item, "publication_date").alias("posted_date"),
         strip(text(V.field(item, "salary"))).alias("salary"),
         F.try_variant_get(item, '$["tags"]', "array<string>").alias("tags"),
     )
-    # cleaned after the first-wins step: duplicates never reach the Arrow decoder
-    done = finish_postings(rows, run)
-    return done.withColumn("description", decoded_description(F.col("description")))
+    return finish_postings(rows, run)
 
 
 def workingnomads(raw: DataFrame, run: Run) -> DataFrame:

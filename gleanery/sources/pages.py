@@ -131,12 +131,12 @@ def talent_cz(pages: DataFrame, run: Run) -> DataFrame:
         ORDER_COLUMNS,
     )
     productive = structured.select("source", "seq").distinct()
+    # cards are taken out before the join: they move, the pages do not
     with_cards = pages.where(F.contains("payload", F.lit("view?id=")))
-    cards = explode_items(
-        with_cards.join(productive, ["source", "seq"], "left_anti"),
-        heading_cards(F.col("payload")),
-        "card",
-    ).select("source", "source_rank", "seq", "pos", "card.*")
+    every = explode_items(with_cards, heading_cards(F.col("payload")), "card")
+    cards = every.select("source", "source_rank", "seq", "pos", "card.*").join(
+        productive, ["source", "seq"], "left_anti"
+    )
     line = F.get(F.filter("lines", lambda s: F.contains(s, F.lit("•"))), F.lit(0))
     dot = F.instr(line, "•")
     fallback = cards.where(F.contains("href", F.lit("view?id="))).select(

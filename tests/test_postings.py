@@ -11,6 +11,7 @@ from gleanery.functions.listing import halved_rating, title_at_company
 from gleanery.functions.matching import contains_word
 from gleanery.functions.scoring import score
 from gleanery.functions.text import collapse_blanks, cut, decoded_description, match_key, strip, title_case
+from gleanery.operators.board import PlaceFilter, facet, order_places, place_board, shown_of_total
 from gleanery.operators.report import report_page, top_new
 from gleanery.operators.retention import fresh, retain
 from gleanery.operators.upsert import upsert_places, upsert_postings
@@ -166,3 +167,18 @@ def test_report_limits_before_freshness(spark):
     assert "Sources: a, b" in page.html and "25 on the board" in page.html and "a=1&amp;b=2" in page.html
     none = report_page(top.where("false"), 25, sources, "", RUN).first()
     assert "no new matches" in none.subject and "No new matches" in none.html
+
+
+def test_board(spark):
+    schema = "id string, name string, rating double, review_count int, first_seen date, cuisine array<string>, status string"
+    day = RUN.day
+    rows = [("1", "Éclair", 4.0, 1, day, ["Thai", ""], "new"), ("2", "zebra", None, 5, day - timedelta(days=1), None, "dismissed"),
+            ("3", "Apple", 4.0, None, day - timedelta(days=2), ["Thai"], "new"), ("4", "eclipse", 4.5, 2, day, [], "new")]
+    df = conform(spark.createDataFrame(rows, schema), PLACE)
+    order = {s: [r.id for r in order_places(df, s).collect()] for s in ("rating", "newest", "name", "reviews")}
+    assert order == {"rating": ["4", "1", "3", "2"], "newest": ["1", "4", "2", "3"],
+                     "name": ["3", "1", "4", "2"], "reviews": ["2", "4", "1", "3"]}
+    assert [(r.value, r.n) for r in facet(df, "cuisine").collect()] == [("Thai", 2)]
+    chosen = PlaceFilter(status="hide_dismissed", cuisine="Thai", min_rating=4.0, search=" APP")
+    assert [r.id for r in place_board(df, chosen).collect()] == ["3"]
+    assert tuple(shown_of_total(df, PlaceFilter(min_rating=4.2)).first()) == (1, 4)

@@ -186,12 +186,16 @@ def board_facets_chosen(spark, sf):
     return place_board(_board(spark, sf), chosen, "name").select("id", "name")
 
 
-@query(f"""select id, rn from (select id, row_number() over (order by rating desc, id) as rn from {_PARTS}) where rn <= 100""")
-def board_order_rating(spark, sf):
-    top = order_places(_board(spark, sf), "rating").limit(100)
-    listed = top.select(F.struct((-F.col("rating")).alias("r"), "id").alias("k"))
-    ranks = listed.agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.posexplode("ks").alias("p", "k"))
-    return ranks.select("k.id", (F.col("p") + 1).cast("bigint").alias("rn"))
+@query(f"select 'rating' as sort, id, name from {_PARTS} union all select 'name', id, name from {_PARTS} "
+       f"union all select 'newest', id, name from {_PARTS} union all select 'reviews', id, name from {_PARTS}")
+def board_orders(spark, sf):
+    """Every order over the whole board (tests/test_postings.py checks the sequence)."""
+    board = _board(spark, sf)
+    parts = [
+        order_places(board, sort).select(F.lit(sort).alias("sort"), "id", "name")
+        for sort in ("rating", "name", "newest", "reviews")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(f"select count(*) filter (where status = 'visited' and price_level = 1) as shown, count(*) as total from {_PARTS}")

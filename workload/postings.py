@@ -428,12 +428,17 @@ def posting_board_query(spark, sf):
     return posting_board(rows, chosen, RUN.day).select("doc_id", "score")
 
 
-@query(
-    "select id, title from (select *, row_number() over (order by first_seen desc, o_totalprice desc, id) as rn "
-    f"from ({_ORDERS_SQL})) where rn <= 50"
-)
-def snapshot_order_top(spark, sf):
-    return snapshot_order(select(spark, sf, ORDERS), "o_totalprice").limit(50).select("id", "title")
+@query(f"select id, title, o_totalprice from ({_ORDERS_SQL})")
+def snapshot_ordered(spark, sf):
+    return snapshot_order(select(spark, sf, ORDERS), "o_totalprice").select("id", "title", "o_totalprice")
+
+
+@query(f"select count(*) as stored, count(*) filter (where is_new) as new, (select count(*) from ({_ORDERS_SQL})) as rows from ({_UPSERTED})")
+def run_totals(spark, sf):
+    stored, incoming = _orders(spark, sf)
+    merged = upsert_postings(stored, incoming)
+    total = select(spark, sf, ORDERS).count()
+    return health.run_totals(merged).withColumn("rows", F.lit(total).cast("bigint"))
 
 
 @query("select id, title, company from (" + _ORDERS_SQL + ") where id = '77'")
