@@ -141,7 +141,7 @@ def test_states(spark, tmp_path):
         assert {r.id: (r.status, r.ts) for r in merged.collect()} == want
     source, log = str(tmp_path / "in"), str(tmp_path / "log")
     for _ in range(2):  # the second file repeats every change: nothing may move
-        changes.write.mode("append").parquet(source)
+        changes.coalesce(1).write.mode("append").parquet(source)  # one file: one batch, ties by arrival
         stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
         start_state_log(stream, log, str(tmp_path / "cp")).awaitTermination()
         got = {r.id: (r.status, r.ts) for r in read_state(spark, log).collect()}
