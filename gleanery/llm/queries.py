@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, packing, simhash, toxicity
+from gleanery.llm import exact_dedup, packing, simhash, toxicity, url_filter
 from gleanery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,35 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def _op9_sql() -> str:
+    """The rules in order of length, then the vocabulary as one pattern per term."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r.text))
+
+    def fits(rule: url_filter.Rule) -> str:
+        return f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+
+    def has(term: str) -> str:
+        return rf"regexp_matches(low, '(^|[^\p{{L}}]){term}($|[^\p{{L}}])')"
+
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in rules)
+    verdict = " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in rules)
+    strict = " OR ".join(map(has, url_filter.STRICT))
+    soft = " + ".join(f"CASE WHEN {has(t)} THEN {w} ELSE 0 END" for t, w in url_filter.SOFT.items())
+    return rf"""
+    WITH p AS (
+        SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+               CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    q AS (SELECT *, regexp_extract(rest, '^[^?#]*', 0) AS front FROM p),
+    r AS (SELECT page_id, low, translate(regexp_extract(front, '^[^/]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 CASE WHEN contains(front, '/') THEN substr(front, instr(front, '/')) ELSE '' END AS path FROM q),
+    s AS (SELECT *, CASE {rule} END AS rule, ({strict}) AS strict, {soft} AS soft FROM r)
+    SELECT page_id, host, path, rule,
+           CASE rule {verdict} ELSE CASE WHEN strict OR soft >= {url_filter.ENOUGH} THEN 'block' ELSE 'allow' END END AS verdict FROM s
+    """
+
+
+@_query("op9_url_filter", _op9_sql())
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
