@@ -27,9 +27,9 @@ ENOUGH = 2.0
 # Production vocabulary, one strict hit or soft hits worth ENOUGH.
 STRICT = ("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "escort", "escorts", "nsfw", "sexcam", "warez", "onlinecasino")
 SOFT = {
-    "adult": 1.0, "bet": 1.0, "betting": 1.0, "casino": 1.0, "cheap": 0.5, "click": 0.5, "coupon": 0.5, "dating": 1.0,
-    "free": 0.5, "gambling": 1.0, "girls": 1.0, "hot": 0.5, "jackpot": 1.0, "loan": 1.0, "lottery": 1.0, "nude": 1.0,
-    "pills": 1.0, "poker": 1.0, "promo": 0.5, "sexy": 1.0, "slots": 1.0, "spam": 1.0, "torrent": 1.0, "win": 0.5,
+    "ads": 1.0, "adult": 2.0, "bet": 1.0, "bets": 1.0, "betting": 1.0, "casino": 1.0, "cheap": 1.0, "click": 0.5, "coupon": 0.5,
+    "dating": 1.0, "farm": 1.0, "free": 1.0, "gambling": 1.0, "girls": 1.0, "hot": 0.5, "jackpot": 1.0, "loan": 1.0, "lottery": 1.0,
+    "nude": 1.0, "pills": 1.0, "poker": 1.0, "promo": 0.5, "sexy": 1.0, "slots": 1.0, "spam": 1.0, "torrent": 1.0, "track": 1.0, "win": 1.0,
 }
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
