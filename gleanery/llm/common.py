@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of about ``most`` bytes from here on: what a task holds of long texts or payloads."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def scratch(df: DataFrame, job: str) -> Scratch:
     return Scratch(df.sparkSession, job)
 
@@ -52,10 +58,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
     for batch in batches:
         rows = batch.num_rows
         begin = size = 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist() if rows else ()):
+        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist() if rows else ()):
             size += n or 0
             if size >= most:
                 yield batch.slice(begin, i + 1 - begin)
                 begin, size = i + 1, 0
         if begin < rows:
             yield batch.slice(begin)
+        del batch  # before the next one is read

@@ -8,8 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, exact_dedup, packing, simhash, top_k, toxicity, url_filter, warc
-from gleanery.llm.common import table
+from gleanery.llm import chat, common, exact_dedup, packing, sentence_piece, simhash, top_k, toxicity, url_filter, warc
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.table(spark, sf_dir, name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +168,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_piece.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "parity", "restored"
+    )
