@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, common, exact_dedup, packing, sentence_piece, simhash, top_k, toxicity, url_filter, warc
+from gleanery.llm import chat, common, exact_dedup, line_dedup, packing, sentence_piece, simhash, top_k, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,3 +176,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "parity", "restored"
     )
+
+
+@_query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "removed_lines", "runs", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256")
+    )

@@ -51,6 +51,8 @@ def message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         nonlocal at
         value = shift = 0
         while True:
+            if at >= len(data):
+                raise ValueError("the model file is cut off")
             byte = data[at]
             at += 1
             value |= (byte & 127) << shift
