@@ -24,18 +24,22 @@ def retain(df: DataFrame, run_day: date, days: int = RETENTION_DAYS) -> DataFram
     return df.where(is_retained(run_day, days))
 
 
+def _totals(run_day: date, days: int) -> list[Column]:
+    gone = ~F.coalesce(is_retained(run_day, days), F.lit(False))
+    return [F.count("*").alias("before"), F.count(F.when(gone, 1)).alias("removed")]
+
+
+def retention_totals(df: DataFrame, run_day: date, days: int = RETENTION_DAYS) -> dict[str, int]:
+    """How many rows there are and how many of them go, by a scan of their own."""
+    return df.agg(*_totals(run_day, days)).first().asDict()
+
+
 def retain_counted(
     df: DataFrame, run_day: date, days: int = RETENTION_DAYS
 ) -> tuple[DataFrame, Observation]:
     """Retained rows, and an observation ``removed`` filled when they are written."""
     seen = Observation("retention")
-    kept = is_retained(run_day, days)
-    counted = df.observe(
-        seen,
-        F.count("*").alias("before"),
-        F.count(F.when(~F.coalesce(kept, F.lit(False)), 1)).alias("removed"),
-    )
-    return counted.where(kept), seen
+    return df.observe(seen, *_totals(run_day, days)).where(is_retained(run_day, days)), seen
 
 
 def is_fresh(run_day: date, max_age_days: int) -> Column:

@@ -47,9 +47,12 @@ def _side_by_side(
     return both, F.col("b._here").isNotNull(), F.col("s._here").isNotNull()
 
 
-def fold_postings(batch: DataFrame) -> DataFrame:
-    """One row per id: the last row, the first ``first_seen``, the first set status."""
-    order = batch_order()
+def fold_postings(batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per id: the last row, the first ``first_seen``, the first set status.
+
+    ``order`` is a struct of columns, by default the batch's own; they come out as columns.
+    """
+    order = batch_order() if order is None else order
     plain = [c for c in POSTING.names if c not in ("id", "first_seen", "status")]
     own = F.when(F.col("status") != "new", F.col("status"))
     folded = batch.groupBy("id").agg(

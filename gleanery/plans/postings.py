@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.scoring import score
 from gleanery.operators.health import ranked_names, rows_per_source, source_counts
 from gleanery.operators.report import report_page, top_new
-from gleanery.operators.retention import retain_counted
+from gleanery.operators.retention import retain_counted, retention_totals
 from gleanery.operators.state import with_status
 from gleanery.operators.upsert import fold_postings, merge_folded_postings, new_rows
 from gleanery.plans.snapshot import SnapshotTable, log_run
@@ -80,10 +80,14 @@ def postings_run(
     new = scratch.save(score(new_rows(folded, stored).drop("score"), prefs, run), "new")
     new = new.select(*POSTING.names, *ORDER_COLUMNS)
 
-    scored = next_snapshot(stored, folded, prefs, run, states, snapshots.buckets)
-    kept, seen = retain_counted(scored, run.day)
-    written = snapshots.write(kept, version, clustered=before is not None)
-    totals = seen.get
+    layout = snapshots.buckets_of(before)
+    scored = next_snapshot(stored, folded, prefs, run, states, layout)
+    if version is not None and version in snapshots.versions():  # a repeated run: nothing is written
+        written, totals = version, retention_totals(scored, run.day)
+    else:
+        kept, seen = retain_counted(scored, run.day)
+        written = snapshots.write(kept, version, clustered=layout)
+        totals = seen.get
     left = totals["before"] - totals["removed"]
     top = scratch.save(top_new(new, prefs, run), "top")
     page = report_page(top, left, counts.where(F.col("n") > 0), board_url, run)

@@ -7,6 +7,7 @@ told the number of buckets joins the stored side in place and shuffles the batch
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,75 +22,103 @@ from gleanery.schema import PLACE, POSTING, conform, places_for_export, places_w
 from gleanery.session import file_system
 from gleanery.settings import Run
 
-BUCKETS = 8
 RUN_LOG = "run_ts timestamp_ntz, source string, n long"
+_VERSION = re.compile(r"version=(\d+)\.buckets=(\d+)")
 
 
 class SnapshotTable:
-    """``root/version=<n>``; ``buckets`` should give files of some hundred megabytes."""
+    """``root/version=<n>.buckets=<b>``: each version names its own layout.
+
+    ``buckets`` is for versions written from here on and should give files of some hundred
+    megabytes; without it the layout of the last version is kept.
+    """
 
     def __init__(
-        self, spark: SparkSession, root: str, schema: T.StructType, key: str = "id", buckets: int = BUCKETS
+        self, spark: SparkSession, root: str, schema: T.StructType, key: str = "id", buckets: int | None = None
     ):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.key, self.buckets = key, buckets
+        self.key, self._buckets = key, buckets
 
-    def versions(self) -> list[int]:
+    def _complete(self) -> dict[int, int]:
+        """Buckets of every complete version."""
         fs, root = file_system(self.spark, self.root)
-        if not fs.exists(root):
-            return []
-        jvm = self.spark._jvm
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("version=") and fs.exists(done):
-                found.append(int(name.removeprefix("version=")))
-        return sorted(found)
+        found: dict[int, int] = {}
+        if fs.exists(root):
+            jvm = self.spark._jvm
+            for status in fs.listStatus(root):
+                match = _VERSION.fullmatch(status.getPath().getName())
+                if match and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                    found.setdefault(int(match[1]), int(match[2]))
+        return found
+
+    def versions(self) -> list[int]:
+        return sorted(self._complete())
 
     def latest(self, below: int | None = None) -> int | None:
         found = [v for v in self.versions() if below is None or v < below]
         return found[-1] if found else None
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/version={version:09d}"
+    def buckets_of(self, version: int | None) -> int | None:
+        """The layout a version was written with."""
+        return self._complete().get(version)
+
+    @property
+    def buckets(self) -> int:
+        """The layout of the next version."""
+        found = self._buckets or self.buckets_of(self.latest())
+        if not found:
+            raise ValueError("the first version needs a number of buckets")
+        return found
+
+    def _path(self, version: int, buckets: int) -> str:
+        return f"{self.root}/version={version:09d}.buckets={buckets}"
 
     def read(self, version: int | None = None) -> DataFrame:
-        """A version (the last one) as a bucketed table; empty when there is none."""
+        """A version (the last one) as a bucketed table; empty when there is none.
+
+        The catalog is only asked for the layout: the table's files stay when its name is
+        dropped again, and the plan already knows them.
+        """
         version = self.latest() if version is None else version
         if version is None:
             return self.empty()
+        buckets = self.buckets_of(version)
+        if buckets is None:
+            raise ValueError(f"there is no complete version {version}")
         name = f"snapshot_{uuid.uuid4().hex}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         self.spark.sql(
             f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({self.key}) "
-            f"SORTED BY ({self.key}) INTO {self.buckets} BUCKETS LOCATION '{self._path(version)}'"
+            f"SORTED BY ({self.key}) INTO {buckets} BUCKETS LOCATION '{self._path(version, buckets)}'"
         )
-        return self.spark.table(name)
+        rows = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return rows
 
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame, version: int | None = None, clustered: bool = False) -> int:
+    def write(self, rows: DataFrame, version: int | None = None, clustered: int | None = None) -> int:
         """Write the next (or the named) version.  A complete version is left as it is,
         so a repeated run of one batch changes nothing.
 
-        ``clustered`` rows come from a join with a stored version and already lie bucket
-        by bucket; others are shuffled once, for one file per bucket.
+        ``clustered`` is the number of buckets that the rows already lie in, bucket by
+        bucket, because they come from a join with a stored version.  Rows that lie in
+        none, or in another number than is wanted, are shuffled once.
         """
         if version is None:
             version = (self.latest() or 0) + 1
         if version in self.versions():
             return version
-        name = f"snapshot_{uuid.uuid4().hex}"
+        name, buckets = f"snapshot_{uuid.uuid4().hex}", self.buckets
         canonical = conform(rows, self.schema)
         (
-            (canonical if clustered else canonical.repartition(self.buckets, self.key))
+            (canonical if clustered == buckets else canonical.repartition(buckets, self.key))
             .write.format("parquet")
             .mode("overwrite")
-            .bucketBy(self.buckets, self.key)
+            .bucketBy(buckets, self.key)
             .sortBy(self.key)
-            .option("path", self._path(version))
+            .option("path", self._path(version, buckets))
             .saveAsTable(name)
         )
         self.spark.sql(f"DROP TABLE {name}")  # external: the files stay

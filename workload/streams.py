@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from gleanery.plans.snapshot import SnapshotTable
 from gleanery.schema import POSTING, STATE
 from gleanery.session import Scratch
 from gleanery.sources.landing import finish_postings
-from gleanery.streaming.ingest import start_ingest
-from gleanery.streaming.states import read_state, start_state_log
+from gleanery.streaming.ingest import compact as compact_postings
+from gleanery.streaming.ingest import read_postings, start_ingest
+from gleanery.streaming.states import LOGGED, read_state, start_state_log
+from gleanery.streaming.states import compact as compact_states
 from workload.tables import PREFS, RUN, table
 
 QUERIES, ORACLE = {}, {}
@@ -62,16 +65,38 @@ def lww_merge(spark, sf):
     return merge_state(stored, second)
 
 
-def _stream(spark, sf, name) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+PARTS = 4
+
+
+def _arriving(spark, sf, job: str) -> tuple[DataFrame, Scratch, Callable[[int], None]]:
+    """A stream over a folder, and what puts the n-th part of the events into it, in event order."""
+    scratch = Scratch(spark, job)
+    events = table(spark, sf, "events")
+    folder = scratch.path("events")
+    low, high = (n or 0 for n in events.agg(F.min("event_id"), F.max("event_id")).first())
+    step = (high - low) // PARTS + 1
+
+    def arrive(n: int) -> None:
+        begin = low + n * step
+        events.where(F.col("event_id").between(begin, begin + step - 1)).write.mode("append").parquet(folder)
+
+    arrive(0)
+    return spark.readStream.schema(events.schema).parquet(folder), scratch, arrive
 
 
 @query(_LATEST)
 def lww_stream(spark, sf):
-    scratch = Scratch(spark, "states")
-    log = scratch.path("log")
-    start_state_log(_changes(_stream(spark, sf, "events")), log, scratch.path("checkpoint")).awaitTermination()
+    """One batch per part of the events; the log is compacted on the way, its last batch repeated."""
+    stream, scratch, arrive = _arriving(spark, sf, "states")
+    log, checkpoint = scratch.path("log"), scratch.path("checkpoint")
+    for n in range(PARTS):
+        if n:
+            arrive(n)
+        start_state_log(_changes(stream), log, checkpoint).awaitTermination()
+        if n == 1:
+            compact_states(spark, log)
+    again = spark.read.schema(LOGGED).parquet(f"{log}/batch={1:012d}")
+    again.write.parquet(f"{log}/batch={PARTS:012d}")  # covered by the base, and now once more
     return read_state(spark, log)
 
 
@@ -80,11 +105,11 @@ def lww_stream(spark, sf):
     from (select *, json_extract_string(props, '$.k') as k from events) group by user_id, event_type"""
 )
 def ingest_stream(spark, sf):
-    """Events as landing payloads: each (user, type) is one posting, the last event wins."""
-    scratch = Scratch(spark, "ingest")
-    events = _stream(spark, sf, "events")
+    """Events as landing payloads, one batch per part: each (user, type) is one posting, the
+    last event wins.  Two batches are compacted into a version, two are merged on reading."""
+    stream, scratch, arrive = _arriving(spark, sf, "ingest")
     link = F.concat(F.lit("https://x/"), "user_id", F.lit("/"), "event_type")
-    raw = events.select(
+    raw = stream.select(
         F.lit("feed").alias("source"), F.lit(0).alias("source_rank"), F.col("event_id").alias("seq"),
         F.col("ts").alias("fetched_at"),
         F.to_json(F.struct(link.alias("url"), "props")).alias("payload"),
@@ -99,8 +124,12 @@ def ingest_stream(spark, sf):
         )
         return finish_postings(rows, run, distinct_urls=False)
 
-    snapshots = SnapshotTable(spark, scratch.path("snapshot"), POSTING)
-    start_ingest(
-        raw, snapshots, PREFS, scratch.path("checkpoint"), lambda _: RUN, read, retention_days=None
-    ).awaitTermination()
-    return snapshots.read().select("url", "title", F.lit(True).alias("known"))
+    snapshots = SnapshotTable(spark, scratch.path("snapshot"), POSTING, buckets=8)
+    log, checkpoint = scratch.path("log"), scratch.path("checkpoint")
+    for n in range(PARTS):
+        if n:
+            arrive(n)
+        start_ingest(raw, log, PREFS, checkpoint, lambda _: RUN, read).awaitTermination()
+        if n == 1:
+            compact_postings(snapshots, log, PREFS, RUN, retention_days=None)
+    return read_postings(snapshots, log, PREFS, RUN).select("url", "title", F.lit(True).alias("known"))
