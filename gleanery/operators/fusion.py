@@ -1,17 +1,19 @@
 """Field-level fusion of place rows that stand for one place.
 
 Rank order decides everything: the best-ranked row is the primary, each unknown field
-takes the first known value.  Absorbed rows leave a tracer tag; tracers are kept as a
-relation, because a place with very many copies would need an array without bound.
+takes the first known value.  Absorbed rows leave a tracer tag; tracers are a relation of
+their own at any number, because a place with very many copies would need an array without
+bound.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.text import text
-from gleanery.schema import ORDER_COLUMNS, PLACE, blank_to_null
+from gleanery.schema import ORDER, ORDER_COLUMNS, PLACE, blank_to_null
 
 # Source priority, best first; other sources come after these.
 SOURCE_PRIORITY = ("google_places", "foursquare", "openstreetmap")
@@ -20,7 +22,15 @@ FILLED = (
     "neighborhood", "phone", "website", "google_maps_url", "cuisine", "rating",
     "review_count", "price_level", "opening_hours",
 )
-INLINE_TAGS = 1000
+# What absorbed rows left on a place: first of those with its id (step 0), then of similar ones.
+TRACER = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("tag", T.StringType()),
+        T.StructField("step", T.IntegerType()),
+        T.StructField("rank", T.StructType([T.StructField("priority", T.IntegerType()), *ORDER.fields])),
+    ]
+)
 
 
 def priority_of(source: Column) -> Column:
@@ -65,31 +75,24 @@ def fuse(rows: DataFrame, group: str) -> DataFrame:
 def tracers(rows: DataFrame, group: str, primaries: DataFrame) -> DataFrame:
     """(group, tag, rank): what each absorbed row leaves on its primary, once.
 
-    ``rows`` has group, rank, source, source_id; ``primaries`` group, rank.
+    ``rows`` has group, rank, source, source_id; ``primaries`` group, rank.  Rows are told
+    from primaries by group and rank together, so a large group is no hot key.
     """
-    best = primaries.select(group, F.col("rank").alias("_best"))
-    absorbed = rows.join(best, group).where(F.col("rank") != F.col("_best"))
+    absorbed = rows.join(primaries.select(group, "rank"), [group, "rank"], "left_anti")
     tag = tracer_of(F.col("source"), F.col("source_id"))
     return absorbed.groupBy(group, tag.alias("tag")).agg(F.min("rank").alias("rank"))
 
 
-def attach_tags(places: DataFrame, trace: DataFrame, group: str = "id", inline: int = INLINE_TAGS) -> DataFrame:
-    """Write tracers into ``tags`` after the primary's own.
+def upsert_tracers(stored: DataFrame, found: DataFrame, places: DataFrame) -> DataFrame:
+    """The next tracer relation (id, tag, step, rank): tags that came in replace a place's stored ones.
 
-    Places with more than ``inline`` tracers keep only their own tags in the row and are
-    marked ``more_tags``; all their tracers stay in the tracer relation.
+    ``places`` are the rows that came in; one without own tags and tracers leaves what is stored.
     """
-    sizes = trace.groupBy(group).agg(F.count("*").alias("_n"))
-    few = trace.join(sizes.where(F.col("_n") <= inline).select(group), group, "left_semi")
-    order = F.struct("step", "rank", "tag") if "step" in trace.columns else F.struct("rank", "tag")
-    lists = few.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(order)), lambda t: t["tag"]).alias("_tags")
-    )
-    none = F.array().cast("array<string>")
-    return (
-        places.join(lists, group, "left")
-        .join(sizes, group, "left")
-        .withColumn("tags", F.array_distinct(F.concat(F.coalesce("tags", none), F.coalesce("_tags", none))))
-        .withColumn("more_tags", F.coalesce(F.col("_n") > inline, F.lit(False)))
-        .drop("_tags", "_n")
-    )
+    came = places.where(F.size("tags") > 0).select("id").unionByName(found.select("id")).distinct()
+    return found.select(*TRACER.names).unionByName(stored.join(came, "id", "left_anti").select(*TRACER.names))
+
+
+def all_tags(places: DataFrame, trace: DataFrame) -> DataFrame:
+    """(id, tag) of places: their own tags and their tracers, each once."""
+    own = places.select("id", F.explode("tags").alias("tag"))
+    return own.unionByName(trace.join(places.select("id"), "id", "left_semi").select("id", "tag")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import match_key, text
-from gleanery.operators.fusion import attach_tags, fuse, ranked, tracers
+from gleanery.operators.fusion import all_tags, fuse, ranked, tracers, upsert_tracers
 from gleanery.operators.leaders import assign_leaders, rank_keys
 from gleanery.operators.similarity import THRESHOLD
 from gleanery.operators.upsert import upsert_places
@@ -19,15 +19,15 @@ from gleanery.settings import Run
 
 @dataclass
 class Resolved:
-    """``places`` is one row per place (with its rank), ``tracers`` (id, tag, step, rank),
+    """``places`` is one row per place (with its rank and own tags), ``tracers`` (id, tag, step, rank),
     ``groups`` (id, leader_id) of every row that had a distinct id."""
 
     places: DataFrame
     tracers: DataFrame
     groups: DataFrame
 
-    def with_tags(self) -> DataFrame:
-        return attach_tags(self.places, self.tracers)
+    def tags(self) -> DataFrame:
+        return all_tags(self.places, self.tracers)
 
 
 def place_key(name, address):
@@ -76,10 +76,25 @@ def resolve(rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) ->
     return Resolved(scratch.save(places, "places"), scratch.save(trace, "tracers"), groups)
 
 
+@dataclass
+class PlacesRun:
+    """``places`` is the next snapshot (with ``is_new``), ``tracers`` the next tracer relation."""
+
+    places: DataFrame
+    tracers: DataFrame
+    found: Resolved
+
+
 def places_run(
-    snapshot: DataFrame, rows: DataFrame, run: Run, scratch: Scratch, threshold: float = THRESHOLD
-) -> tuple[DataFrame, Resolved]:
-    """The next snapshot (with ``is_new``) from the stored one and the fetched rows."""
+    snapshot: DataFrame,
+    trace: DataFrame,
+    rows: DataFrame,
+    run: Run,
+    scratch: Scratch,
+    threshold: float = THRESHOLD,
+) -> PlacesRun:
+    """The next snapshot and tracers from the stored ones and the fetched rows."""
     found = resolve(rows, scratch, threshold)
-    incoming = found.with_tags().select(*PLACE.names, *[F.col(f"rank.{c}") for c in ORDER_COLUMNS])
-    return upsert_places(snapshot, incoming, run.day), found
+    incoming = found.places.select(*PLACE.names, *[F.col(f"rank.{c}") for c in ORDER_COLUMNS])
+    places = upsert_places(snapshot, incoming, run.day)
+    return PlacesRun(places, upsert_tracers(trace, found.tracers, incoming), found)

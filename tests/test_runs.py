@@ -5,17 +5,21 @@ import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators.state import latest_state, merge_state
 from gleanery.operators.upsert import upsert_postings
+from gleanery.operators.fusion import TRACER
 from gleanery.plans.places import places_run, resolve
 from gleanery.plans.postings import postings_run
 from gleanery.plans.snapshot import SnapshotTable, export_postings, import_places, import_postings
 from gleanery.schema import PLACE, POSTING, RAW, STATE, conform, places_with_nulls
 from gleanery.session import Scratch
 from gleanery.settings import Preferences, Run
-from gleanery.streaming.states import read_state, start_state_log
+from gleanery.streaming.ingest import compact as compact_postings
+from gleanery.streaming.ingest import pending, read_postings, start_ingest
+from gleanery.streaming.states import compact, read_state, start_state_log
 
 RUN = Run(datetime(2026, 6, 30, 12))
 
@@ -32,7 +36,7 @@ def test_postings_run_twice(spark):
     first = postings_run(snapshots, payload(spark, RUN.at, "Head", "Tail"), prefs, RUN, scratch, log_path=scratch.path("log"))
     assert first.stored == 2 and first.removed == 0
     assert {r.name: r.n for r in first.counts.collect()} == {"remotive": 2, "weworkremotely": 0}
-    assert first.report.first().subject.startswith("Job digest — 1 new role ")
+    assert first.report.first().subject.startswith("1 new posting on ")
     later = Run(RUN.at + timedelta(days=61))
     second = postings_run(snapshots, payload(spark, later.at, "Next", "Tail"), prefs, later, scratch)
     assert {r.title for r in second.new.collect()} == {"Next"}
@@ -125,10 +129,108 @@ def test_resolution_equals_the_loop(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], schema).withColumn("pos", F.array(F.lit(0)))
     places = places_with_nulls(conform(df.repartition(4), PLACE, "source_rank", "seq", "pos"))
     found = resolve(places, Scratch(spark, "resolve"))
-    got = {r.id: (r["name"], r.phone, r.website, r.rating, sorted(r.tags)) for r in found.with_tags().collect()}
+    tags = {}
+    for r in found.tags().collect():
+        tags.setdefault(r.id, []).append(r.tag)
+    got = {r.id: (r["name"], r.phone, r.website, r.rating, sorted(tags[r.id])) for r in found.places.collect()}
     assert got == sequential(rows)
-    stored, _ = places_run(spark.createDataFrame([], PLACE), places, RUN, Scratch(spark, "run"))
-    assert stored.where("is_new").count() == len(got)
+    run = places_run(spark.createDataFrame([], PLACE), spark.createDataFrame([], TRACER), places, RUN, Scratch(spark, "run"))
+    assert run.places.where("is_new").count() == len(got)
+
+
+@pytest.mark.parametrize("copies", [999, 1000, 1001, 5000])
+def test_no_tracer_is_lost(spark, copies):
+    rows = spark.range(copies + 1).select(
+        F.lit("p").alias("id"), F.lit("Inn").alias("name"), F.lit("osm").alias("source"), F.col("id").cast("string").alias("source_id"),
+        F.array(F.lit("own")).alias("tags"), F.lit(0).alias("source_rank"), F.col("id").alias("seq"), F.array(F.lit(0)).alias("pos"),
+    )
+    places = places_with_nulls(conform(rows, PLACE, "source_rank", "seq", "pos"))
+    stored, trace = spark.createDataFrame([], PLACE), spark.createDataFrame([], TRACER)
+    for _ in range(2):
+        scratch = Scratch(spark, "run")
+        run = places_run(stored, trace, places, RUN, scratch)
+        stored, trace = scratch.save(run.places.select(*PLACE.names), "next"), scratch.save(run.tracers, "trace")
+    assert stored.count() == 1 and stored.first().tags == ["own"]
+    assert {r.tag for r in trace.collect()} == {f"osm:{i}" for i in range(1, copies + 1)} and trace.count() == copies
+    # a place that comes in without any tag keeps its tracers
+    bare = places.where("seq = 0").withColumn("tags", F.lit(None).cast("array<string>"))
+    assert places_run(stored, trace, bare, RUN, Scratch(spark, "run")).tracers.count() == copies
+
+
+def test_layout_of_a_version_may_change(spark):
+    root = Scratch(spark, "layout").path("s")
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("new").alias("status"))
+    SnapshotTable(spark, root, POSTING, buckets=8).write(rows)
+    known = conform(rows.where("id < 1002"), POSTING).withColumns({"source_rank": F.lit(0), "seq": F.lit(0).cast("long"), "pos": F.array(F.lit(0))})
+    batch = known.unionByName(known.limit(3).withColumn("id", F.concat(F.lit("n"), "id")))
+    tables = len(spark.catalog.listTables())
+    for version, buckets in ((2, 4), (3, 16), (4, None)):
+        snapshots = SnapshotTable(spark, root, POSTING, buckets=buckets)
+        before = snapshots.buckets_of(snapshots.latest())
+        merged = upsert_postings(snapshots.read(), batch, before)
+        assert snapshots.write(merged, clustered=before) == version
+        assert snapshots.buckets_of(version) == (buckets or 16)
+        got = snapshots.read(version)
+        assert (got.count(), got.select("id").distinct().count()) == (1003, 1003)
+    assert len(spark.catalog.listTables()) == tables
+    with pytest.raises(ValueError):
+        SnapshotTable(spark, root + "x", POSTING).write(rows)
+
+
+def test_a_finished_version_can_be_run_again(spark):
+    scratch = Scratch(spark, "again")
+    snapshots = SnapshotTable(spark, scratch.path("snap"), POSTING, buckets=3)
+    prefs, raw = Preferences(sources=("remotive",)), payload(spark, RUN.at, "A", "B")
+    first = postings_run(snapshots, raw, prefs, RUN, scratch, version=1)
+    again = postings_run(snapshots, raw, prefs, RUN, scratch, version=1)
+    assert (again.version, again.stored, again.removed) == (first.version, first.stored, first.removed) == (1, 2, 0)
+    assert snapshots.versions() == [1]
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    schema = "space string, id string, status string, ts long, arrival long"
+    source, log, checkpoint = (str(tmp_path / x) for x in ("in", "log", "cp"))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        start_state_log(stream, log, checkpoint).awaitTermination()
+
+    def state():
+        return {r.id: (r.status, r.ts) for r in read_state(spark, log).collect()}
+
+    assert compact(spark, log) is None and state() == {}
+    arrive(("s", "a", "x", 1, 0), ("s", "b", "x", 1, 1))
+    assert compact(spark, log) == 0 and compact(spark, log) == 0
+    arrive(("s", "a", "y", 2, 2), ("s", "b", "late", 1, 3))
+    assert state() == {"a": ("y", 2), "b": ("x", 1)}
+    assert compact(spark, log) == 1
+    arrive(("s", "c", "z", 0, 4))
+    assert state() == {"a": ("y", 2), "b": ("x", 1), "c": ("z", 0)}
+
+
+def test_ingest_by_delta(spark, tmp_path):
+    prefs = Preferences(strong=("Head",), sources=("remotive",))
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    snapshots = SnapshotTable(spark, str(tmp_path / "snap"), POSTING, buckets=2)
+
+    def arrive(*titles):
+        payload(spark, RUN.at, *titles).coalesce(1).write.mode("append").parquet(source)
+        raw = spark.readStream.schema(RAW).parquet(source)
+        start_ingest(raw, log, prefs, str(tmp_path / "cp"), lambda _: RUN).awaitTermination()
+
+    def titles():
+        return sorted(r.title for r in read_postings(snapshots, log, prefs, RUN).collect())
+
+    arrive("Head", "Tail")
+    assert titles() == ["Head", "Tail"] and snapshots.versions() == []
+    assert compact_postings(snapshots, log, prefs, RUN) == 1
+    assert titles() == ["Head", "Tail"] and pending(snapshots, log)[0] == []
+    arrive("Head", "More")
+    assert titles() == ["Head", "More", "Tail"] and pending(snapshots, log)[0] == [1]
+    assert pending(snapshots, log)[1].count() == 2  # a batch holds what came in, not what is stored
+    assert compact_postings(snapshots, log, prefs, RUN) == 2 == compact_postings(snapshots, log, prefs, RUN)
+    assert [r.score > 0 for r in snapshots.read().where("title = 'Head'").collect()] == [True]
 
 
 def test_states(spark, tmp_path):

@@ -22,7 +22,7 @@ from gleanery.plans.places import resolve
 from gleanery.schema import PLACE, conform, places_with_nulls
 from gleanery.session import Scratch
 from gleanery.sources.places import finish_places
-from workload.tables import PLACES, RUN, RUN_DAY, plain, select, table
+from workload.tables import PLACES, RUN, RUN_DAY, plain, positions, select, table
 
 QUERIES, ORACLE = {}, {}
 PLACED = plain(PLACES)
@@ -83,6 +83,70 @@ def fusion_tracers(spark, sf):
     return tracers(rows.select("id", "rank", "source", "source_id"), "id", fuse(rows, "id")).select("id", "tag")
 
 
+# Copies of planted places: a place is named by two digests, a copy has two characters of the
+# name changed.  Digests are no more alike than chance, copies of one place nearly equal, so
+# the best-ranked copy leads.  Every third row is a copy of one and the same place.
+PLANTED = f"""
+select source, source_rank, seq, base, source || '/' || cast(seq as string) as id, address,
+  substr(once, 1, q - 1) || 'y' || substr(once, q + 1) as name,
+  case when price_level > 2 then neighborhood end as neighborhood,
+  case when seq % 4 = 1 then 'p' || cast(seq as string) end as phone,
+  case when seq % 5 = 2 then 'w' || cast(seq as string) end as website,
+  case when seq % 7 = 3 then 'm' || cast(seq as string) end as google_maps_url,
+  case when seq % 3 = 2 then 'c' || cast(seq as string) end as dish,
+  case when seq % 2 = 0 and rating <> 0 then rating end as rating,
+  case when seq % 6 = 5 then cast(seq as int) end as review_count,
+  nullif(price_level, 0) as price_level,
+  case when seq % 8 = 7 then 'h' || cast(seq as string) end as hours
+from (select *, substr(digest, 1, p - 1) || 'z' || substr(digest, p + 1) as once
+from (select *, md5('a' || cast(base as string)) as digest, md5('b' || cast(base as string)) as address,
+  cast(seq % 32 as int) + 1 as p, cast(floor(seq / 32) as int) % 32 + 1 as q
+from (select source, source_rank, seq, neighborhood, rating, price_level,
+  case when seq % 3 = 0 then 0 else cast(floor(seq / 4) as int) + 1 end as base from ({PLACES}))))"""
+_PLANTED = f"select *, row_number() over (partition by base order by source_rank, seq) as rn from ({plain(PLANTED)})"
+
+
+def _planted(spark, sf) -> DataFrame:
+    rows = select(spark, sf, PLANTED).withColumns(
+        {
+            "pos": F.array(F.lit(0)), "source_id": F.col("id"),
+            "cuisine": F.when(F.col("dish").isNotNull(), F.array("dish")),
+            "opening_hours": F.when(
+                F.col("hours").isNotNull(),
+                F.struct(
+                    F.lit(None).cast("array<string>").alias("weekday_text"), F.lit(None).cast("boolean").alias("open_now"),
+                    F.col("hours").alias("raw"),
+                ),
+            ),
+        }
+    )
+    return places_with_nulls(conform(rows, PLACE, "source_rank", "seq", "pos"))
+
+
+@query(
+    f"""with r as ({_PLANTED}) select r.id, l.id as leader_id from r join r l on r.base = l.base and l.rn = 1"""
+)
+def fuzzy_planted(spark, sf):
+    """Who leads each row, by similar names and addresses."""
+    return resolve(_planted(spark, sf), Scratch(spark, "planted")).groups
+
+
+_FIELDS = ("neighborhood", "phone", "website", "google_maps_url", "dish", "rating", "review_count", "price_level", "hours")
+
+
+@query(
+    "select arg_min(id, rn) as id, arg_min(name, rn) as name, arg_min(source, rn) as source, count(*) - 1 as tracers, "
+    + ", ".join(f"arg_min({c}, rn) filter (where {c} is not null) as {c}" for c in _FIELDS)
+    + f" from ({_PLANTED}) group by base"
+)
+def fusion_planted(spark, sf):
+    """All nine fields that absorbed rows may fill in, and how many tracers they left."""
+    found = resolve(_planted(spark, sf), Scratch(spark, "planted"))
+    left = found.tracers.groupBy("id").agg(F.count("*").alias("tracers"))
+    shown = found.places.withColumns({"dish": F.get("cuisine", F.lit(0)), "hours": F.col("opening_hours.raw")})
+    return shown.join(left, "id", "left").select("id", "name", "source", F.coalesce("tracers", F.lit(0)).cast("long").alias("tracers"), *_FIELDS)
+
+
 @query()
 def fuzzy_clusters(spark, sf):
     """Customers and suppliers by name and nation: near copies throughout."""
@@ -172,11 +236,11 @@ def _board(spark, sf) -> DataFrame:
 
 
 @query(
-    f"""select id, name, status from {_PARTS} where status <> 'dismissed' and price_level = 2 and rating >= 3
+    f"""select id, name, status from {_PARTS} where status <> 'dismissed' and price_level = 2 and rating >= 2.27
     and contains(lower(name || ' ' || address || ' ' || neighborhood || ' ' || cuisine), 'brand#1')"""
 )
 def board_query(spark, sf):
-    chosen = PlaceFilter(status="hide_dismissed", price=2, min_rating=3.0, search=" Brand#1")
+    chosen = PlaceFilter(status="hide_dismissed", price=2, min_rating=2.27, search=" Brand#1")
     return place_board(_board(spark, sf), chosen).select("id", "name", "status")
 
 
@@ -186,14 +250,21 @@ def board_facets_chosen(spark, sf):
     return place_board(_board(spark, sf), chosen, "name").select("id", "name")
 
 
-@query(f"select 'rating' as sort, id, name from {_PARTS} union all select 'name', id, name from {_PARTS} "
-       f"union all select 'newest', id, name from {_PARTS} union all select 'reviews', id, name from {_PARTS}")
+_SORTS = {"rating": "rating desc", "name": "name", "newest": "p_size desc", "reviews": "p_size desc"}
+
+
+@query(
+    " union all ".join(
+        f"select '{sort}' as sort, id, name, row_number() over (partition by price_level order by {keys}, id) as place from {_PARTS}"
+        for sort, keys in _SORTS.items()
+    )
+)
 def board_orders(spark, sf):
-    """Every order over the whole board (tests/test_postings.py checks the sequence)."""
+    """Every order over the whole board; a row's place in it is told inside its price level."""
     board = _board(spark, sf)
     parts = [
-        order_places(board, sort).select(F.lit(sort).alias("sort"), "id", "name")
-        for sort in ("rating", "name", "newest", "reviews")
+        positions(order_places(board, sort), "price_level", "place").select(F.lit(sort).alias("sort"), "id", "name", "place")
+        for sort in _SORTS
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -216,7 +287,7 @@ def facet_neighborhood(spark, sf):
 @query(
     f"""select id, case when p_size % 2 = 0 then 'http://x/' || id else '#' end as link,
     date '2026-05-01' + p_size >= {RUN_DAY} - 14 as is_new, repeat('E', cast(price_level as int)) as price,
-    format('{{:.1f}}', rating) as rating, 'Today: Wed' as hours, cuisine from {_PARTS}"""
+    format('{{:.1f}}', case when rating * 4 = floor(rating * 4) then rating + 0.001 else rating end) as rating, 'Today: Wed' as hours, cuisine from {_PARTS}"""
 )
 def place_cards(spark, sf):
     shown = cards(_board(spark, sf), RUN.day)

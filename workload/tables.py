@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.session import Scratch
 from gleanery.settings import Feedback, Preferences, Run
@@ -91,6 +92,12 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def positions(ordered: DataFrame, group: str, name: str) -> DataFrame:
+    """Each row's position among its group in the order that ``ordered`` has; no task numbers all rows."""
+    told = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return told.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy("_at")).cast("long")).drop("_at")
+
+
 def payloads(rows: DataFrame, payload) -> DataFrame:
     """A landing table, one payload per input row."""
     landed = rows.select(
@@ -113,7 +120,7 @@ def tags_out_sql(expression: str) -> str:
 
 
 def plain_sql(expression: str) -> str:
-    return strip_sql(f"substr({tags_out_sql(expression)}, 1, 500)")
+    return strip_sql(tags_out_sql(expression))
 
 
 def word_sql(expression: str, needles) -> str:
