@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(?: ?(Z|[+-]\d{2}:?\d{2}))?\z"
+# Day, month by its name, year; month names also come first; a time and an offset may follow.
 _MAIL = (
-    r"^(?:[A-Za-z]{3}, ?)?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) (\d{2}:\d{2}(?::\d{2})?)"
-    r"(?: (GMT|UTC|Z|[+-]\d{4}))?\z"
+    r"^(?:[A-Za-z]{3}, ?)?(?:(\d{1,2}) )?([A-Z][a-z]{2,8}) (?:(\d{1,2}), )?(\d{4})"
+    r"(?: (\d{2}:\d{2}(?::\d{2})?)(?: (GMT|UTC|Z|[+-]\d{4}))?)?\z"
 )
-_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+# Fixed values.
+_MONTHS = "January February March April May June July August September October November December".split()
 
 
 def _offset(mark: Column) -> Column:
@@ -53,17 +55,24 @@ def with_iso(df: DataFrame, column: str, to: str, run_day: date) -> DataFrame:
     parts = df.withColumns(
         {
             **{f"_i{g}": F.regexp_extract(raw, _ISO, g) for g in range(1, 4)},
-            **{f"_m{g}": F.regexp_extract(raw, _MAIL, g) for g in range(1, 6)},
+            **{f"_m{g}": F.regexp_extract(raw, _MAIL, g) for g in range(1, 7)},
         }
-    ).withColumn("_month", F.instr(F.lit(_MONTHS), F.col("_m2")))
-    clock = F.when(F.col("_i2") == "", "00:00").otherwise(F.col("_i2"))
-    month = F.lpad(F.floor((F.col("_month") + 2) / 3).cast("string"), 2, "0")
-    mail_day = F.concat("_m3", F.lit("-"), month, F.lit("-"), F.lpad("_m1", 2, "0"))
-    written = F.when(F.col("_i1") != "", F.concat("_i1", F.lit(" "), clock)).when(
-        (F.col("_m2") != "") & (F.col("_month") % 3 == 1), F.concat(mail_day, F.lit(" "), "_m4")
+    )
+    named = F.array(*[F.lit(m) for m in _MONTHS])
+    found = F.array_position(F.transform(named, lambda m: (m == F.col("_m2")) | (F.left(m, F.lit(3)) == F.col("_m2"))), True)
+    one_day = (F.col("_m1") == "") != (F.col("_m3") == "")
+    parts = parts.withColumn("_month", F.when((F.col("_m2") != "") & one_day, found).otherwise(0))
+
+    def clock(part: str) -> Column:
+        return F.when(F.col(part) == "", "00:00").otherwise(F.col(part))
+
+    month = F.lpad(F.col("_month").cast("string"), 2, "0")
+    mail_day = F.concat("_m4", F.lit("-"), month, F.lit("-"), F.lpad(F.concat("_m1", "_m3"), 2, "0"))
+    written = F.when(F.col("_i1") != "", F.concat("_i1", F.lit(" "), clock("_i2"))).when(
+        F.col("_month") > 0, F.concat(mail_day, F.lit(" "), clock("_m5"))
     )
     stamped = parts.withColumns(
-        {"_stamp": written.try_cast("timestamp_ntz").cast("string"), "_mark": F.concat("_i3", "_m5")}
+        {"_stamp": written.try_cast("timestamp_ntz").cast("string"), "_mark": F.concat("_i3", "_m6")}
     ).withColumn("_micros", F.regexp_extract("_stamp", r"\.(\d+)$", 1))
     common = stamped.withColumn(
         "_iso",

@@ -37,7 +37,7 @@ def link_of(maps_url: Column, website: Column) -> Column:
 
 
 def rating_text(rating: Column) -> Column:
-    return F.when(F.coalesce(rating, F.lit(0.0)) != 0, F.format_string("%.1f", round_tenth(rating))).otherwise("-")
+    return F.when(F.coalesce(rating, F.lit(0.0)) != 0, F.format_string("%.1f", round_tenth(rating, ties_up=True))).otherwise("-")
 
 
 def report_text(description: Column) -> Column:
@@ -49,18 +49,17 @@ def report_text(description: Column) -> Column:
 
 
 def report_entry() -> Column:
-    """One posting as an HTML fragment; every field is escaped, the link too."""
-    return F.format_string(
-        '<div class="job"><h2><a href="%s">%s</a></h2><div class="meta">%s &middot; %s &middot; '
-        '<span class="score">%d pts</span> <span class="source">%s</span></div>'
-        '<div class="desc">%s</div></div>',
-        escape_markup(text(F.col("url"))),
-        escape_markup(text(F.col("title"))),
-        escape_markup(or_default(F.col("company"), "Unknown")),
-        escape_markup(or_default(F.col("location"), "—")),
-        F.col("score"),
-        escape_markup(text(F.col("source"))),
-        escape_markup(report_text(F.col("description"))),
+    """One posting as a list item; every field is escaped, the link too."""
+    facts = F.concat_ws(
+        " | ",
+        or_default(F.col("company"), "company unknown"),
+        or_default(F.col("location"), "anywhere"),
+        F.concat(F.lit("via "), text(F.col("source"))),
+    )
+    title = F.concat(F.lit("<a href=\""), escape_markup(text(F.col("url"))), F.lit("\">"), escape_markup(text(F.col("title"))), F.lit("</a>"))
+    return F.concat(
+        F.lit("<li>"), title, F.lit(" <small>score "), F.col("score").cast("string"), F.lit("</small><br>"),
+        escape_markup(facts), F.lit("<p>"), escape_markup(report_text(F.col("description"))), F.lit("</p></li>"),
     )
 
 
@@ -69,10 +68,6 @@ def day_text(day: date | datetime) -> str:
 
 
 def report_subject(count: Column, day: date) -> Column:
-    shown = day_text(day)
-    return F.when(count == 0, F.lit(f"Job digest — no new matches ({shown})")).otherwise(
-        F.concat(
-            F.lit("Job digest — "), count.cast("string"), F.lit(" new "),
-            F.when(count == 1, "role").otherwise("roles"), F.lit(f" ({shown})"),
-        )
-    )
+    postings = F.when(count == 1, "posting").otherwise("postings")
+    number = F.when(count == 0, "No").otherwise(count.cast("string"))
+    return F.concat(number, F.lit(" new "), postings, F.lit(f" on {day_text(day)}"))

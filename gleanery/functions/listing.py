@@ -89,8 +89,8 @@ def neighborhood_of(components: Column) -> Column:
     return F.get(district, F.lit(0))["long_name"]
 
 
-def round_tenth(value: Column) -> Column:
-    """Round to one decimal on the exact binary value, ties to even.
+def round_tenth(value: Column, ties_up: bool = False) -> Column:
+    """Round to one decimal on the exact binary value, ties to even (or up).
 
     ``round`` and ``bround`` work on the shortest decimal spelling (4.35 would go up
     although the stored double lies below 4.35).  The double next to the midpoint is
@@ -104,7 +104,7 @@ def round_tenth(value: Column) -> Column:
     high = F.floor(middle * (1 << 20)) / F.lit(float(1 << 20))
     error = (high * 20 - odd) + (middle - high) * 20
     up = F.when(value != middle, value > middle).otherwise(
-        F.when(error != 0, error > 0).otherwise(F.pmod(tenths, F.lit(2)) == 1)
+        F.when(error != 0, error > 0).otherwise(F.lit(True) if ties_up else F.pmod(tenths, F.lit(2)) == 1)
     )
     return ((tenths + F.when(up, 1).otherwise(0)) / F.lit(10.0)).cast("double")
 

@@ -16,7 +16,6 @@ BLANKS = (
     "         　"
 )
 
-DESCRIPTION_LENGTH = 500
 MISSING = "—"
 
 
@@ -46,18 +45,19 @@ def strip_tags(column: Column) -> Column:
     return F.regexp_replace(column, "<[^>]+>", " ")
 
 
-def cut(column: Column, length: int = DESCRIPTION_LENGTH) -> Column:
-    return F.substring(column, 1, length)
+def cut(column: Column, length: int | None) -> Column:
+    """The first characters; ``None`` leaves the text whole.  Readers store whole texts."""
+    return column if length is None else F.substring(column, 1, length)
 
 
-def plain_description(column: Column) -> Column:
+def plain_description(column: Column, length: int | None = None) -> Column:
     """Tags out, then cut, then strip: what most readers store."""
-    return strip(cut(strip_tags(text(column))))
+    return strip(cut(strip_tags(text(column)), length))
 
 
-def decoded_description(column: Column) -> Column:
+def decoded_description(column: Column, length: int | None = None) -> Column:
     """Tags out, entities decoded, strip, then cut."""
-    return cut(strip(F.replace(decode_entities(strip_tags(text(column))), F.lit("\xa0"), F.lit(" "))))
+    return cut(strip(F.replace(decode_entities(strip_tags(text(column))), F.lit("\xa0"), F.lit(" "))), length)
 
 
 @F.pandas_udf(T.StringType())

@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.display import day_text, report_entry, report_subject
-from gleanery.functions.text import escape_markup
+from gleanery.functions.text import escape_markup, text
 from gleanery.operators.retention import above, fresh
 from gleanery.schema import ORDER_COLUMNS
 from gleanery.settings import Preferences, Run
 
-NOTHING = (
-    "No new matches above your threshold today. "
-    "The dashboard still shows everything currently on the board."
-)
-
-
 def top_new(new: DataFrame, prefs: Preferences, run: Run) -> DataFrame:
-    """Best ``report_rows`` new rows, then freshness: the report may hold fewer."""
-    best = above(new, prefs.report_threshold).orderBy(F.col("score").desc(), *ORDER_COLUMNS, "id")
-    return fresh(best.limit(prefs.report_rows), run.day, prefs.max_age_days)
+    """Best ``report_rows`` new rows, then threshold and freshness: the report may hold fewer.
+
+    The order is by score, so the threshold after the limit leaves the same rows; before it
+    the optimizer would copy a computed score into the filter and work it out twice.
+    """
+    best = new.orderBy(F.col("score").desc(), *ORDER_COLUMNS, "id").limit(prefs.report_rows)
+    return fresh(above(best, prefs.report_threshold), run.day, prefs.max_age_days)
 
 
 def report_rows(top: DataFrame) -> DataFrame:
@@ -52,17 +50,15 @@ def report_page(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]), ", "
         )
     )
-    n = F.col("n")
-    body = F.when(n == 0, F.lit(f'<div class="job"><div class="desc">{NOTHING}</div></div>')).otherwise(
-        F.col("rows")
+    n, day = F.col("n"), day_text(run.day)
+    listed = F.when(n == 0, F.lit("<p>Nothing above the threshold came in.</p>")).otherwise(
+        F.concat(F.lit("<ol>"), F.col("rows"), F.lit("</ol>"))
     )
+    subject = report_subject(n, run.day)
     html = F.concat(
-        F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"></head><body><h1>Daily roles &mdash; "),
-        F.lit(day_text(run.day)), F.lit('</h1><div class="sub">'), n.cast("string"), F.lit(" new "),
-        F.when(n == 1, "match").otherwise("matches"), F.lit(", "),
-        F.lit(f'{total} on the board</div><a class="cta" href="'),
-        escape_markup(F.lit(board_url)), F.lit('">Open the full dashboard &rarr;</a>'), body,
-        F.lit('<div class="footer">Sources: '), escape_markup(names.scalar()),
-        F.lit("</div></body></html>"),
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), subject, F.lit("</title></head><body>"),
+        F.lit("<h1>"), subject, F.lit(f"</h1><p>{total} stored on {day}. <a href=\""),
+        escape_markup(F.lit(board_url)), F.lit('">All postings</a></p>'), listed,
+        F.lit("<p>Read from "), escape_markup(text(names.scalar())), F.lit("</p></body></html>"),
     )
-    return rows.select(report_subject(n, run.day).alias("subject"), html.alias("html"))
+    return rows.select(subject.alias("subject"), html.alias("html"))

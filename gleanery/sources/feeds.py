@@ -1,4 +1,4 @@
-"""RSS 2 and Atom payloads to feed entries, and the feed-based sources."""
+"""RSS (2 and 1.0, which is RDF) and Atom payloads to feed entries, and the feed-based sources."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.dates import with_iso
+from gleanery.functions.dates import wall_clock, with_iso
 from gleanery.functions.listing import company_colon_title, title_at_company, work_mode
-from gleanery.functions.text import MISSING, cut, or_default, plain_description, strip, text
+from gleanery.functions.text import MISSING, or_default, plain_description, strip, text
 from gleanery.settings import Run
 from gleanery.sources.landing import explode_items, finish_postings
 
-# One schema for both dialects: the root element's name does not matter.
+# One schema for all dialects: the root element's name does not matter.  RDF has its items
+# next to the channel.
 FEED = (
     "channel struct<item:array<struct<title:string,link:string,description:string,pubDate:string>>>,"
+    "item array<struct<title:string,link:string,description:string,`dc:date`:string>>,"
     "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,"
     "summary:string,content:string,published:string>>"
 )
@@ -31,6 +33,13 @@ def _entries(feed: Column) -> Column:
             i["description"].alias("summary"), i["pubDate"].alias("published"),
         ),
     )
+    rdf = F.transform(
+        feed["item"],
+        lambda i: F.struct(
+            i["link"].alias("link"), i["title"].alias("title"),
+            i["description"].alias("summary"), i["dc:date"].alias("published"),
+        ),
+    )
     atom = F.transform(
         feed["entry"],
         lambda e: F.struct(
@@ -42,7 +51,7 @@ def _entries(feed: Column) -> Column:
             e["published"].alias("published"),
         ),
     )
-    return F.concat(F.coalesce(rss.cast(ENTRY), none), F.coalesce(atom.cast(ENTRY), none))
+    return F.concat(*[F.coalesce(found.cast(ENTRY), none) for found in (rss, rdf, atom)])
 
 
 def feed_entries(raw: DataFrame) -> DataFrame:
@@ -55,7 +64,7 @@ def feed_entries(raw: DataFrame) -> DataFrame:
 def bad_feeds(raw: DataFrame) -> Column:
     """Reject reason of a payload in which no feed could be read."""
     feed = F.from_xml("payload", FEED)
-    return F.when(feed["channel"].isNull() & feed["entry"].isNull(), "malformed feed")
+    return F.when(feed["channel"].isNull() & feed["item"].isNull() & feed["entry"].isNull(), "malformed feed")
 
 
 @dataclass(frozen=True)
@@ -89,7 +98,7 @@ def feed_rows(
         title, company = title_at_company(strip(raw_title))
     else:
         title, company = strip(raw_title), F.lit("")
-    summary = plain_description(strip(text(F.col("summary")))) if rules.clean else cut(text(F.col("summary")))
+    summary = plain_description(strip(text(F.col("summary")))) if rules.clean else text(F.col("summary"))
     rows = entries.select(
         "source", "source_rank", "seq", "pos",
         F.col("link").alias("url"),
@@ -102,6 +111,7 @@ def feed_rows(
         F.array(*map(F.lit, rules.tags)).cast("array<string>").alias("tags"),
     )
     rows = with_iso(rows, "_published", "posted_date", run.day).drop("_published")
+    rows = rows.withColumn("posted_ts", wall_clock(F.col("posted_date")))  # ISO text: not parsed again
     low = F.lower(F.col("description"))
     if rules.mode_from_summary:
         remote = F.contains(low, F.lit("remote")) | F.contains(low, F.lit("homeoffice"))

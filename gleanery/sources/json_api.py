@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gleanery.functions import variants as V
 from gleanery.functions.text import (
     MISSING,
-    cut,
     decoded_description,
     or_default,
     plain_description,
@@ -116,7 +115,7 @@ def workingnomads(raw: DataFrame, run: Run) -> DataFrame:
         strip(text(V.field(item, "company_name"))).alias("company"),
         or_default(strip(V.field(item, "location")), "Remote").alias("location"),
         F.lit("remote").alias("remote_type"),
-        cut(text(V.field(item, "description"))).alias("description"),
+        text(V.field(item, "description")).alias("description"),
         V.field(item, "pub_date").alias("posted_date"),
         F.coalesce(tags, words).alias("tags"),
     )

@@ -68,7 +68,14 @@ def finish_postings(
         }
     )
     keyed = filled.withColumn("id", posting_id(F.col("url"), F.col("title"), F.col("company"), keep_params))
-    return conform(with_wall_clock(keyed, "posted_date", "posted_ts", run.day), POSTING_ROWS)
+    if "posted_ts" not in have:
+        keyed = with_wall_clock(keyed, "posted_date", "posted_ts", run.day)
+    return conform(keyed, POSTING_ROWS)
+
+
+def posting_rejects(rows: DataFrame) -> DataFrame:
+    """(source, seq, reason) of unfinished rows that ``finish_postings`` leaves out as not valid."""
+    return rejects(rows, F.when(text(F.col("url")) == "", "no url"))
 
 
 def rejects(rows: DataFrame, reason: Column) -> DataFrame:

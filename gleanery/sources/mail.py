@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import email
-from collections.abc import Sequence
-from email.message import Message
-from email.utils import parsedate_to_datetime
+from collections.abc import Iterator, Sequence
+from email import message_from_string, policy
+from email.message import EmailMessage
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +19,6 @@ from gleanery.sources.landing import finish_postings
 from gleanery.sources.markup import alert_cards
 
 LOOKBACK_DAYS = 30
-MESSAGE_CAP = 100
 
 # Lines of a card that are neither title, company nor location.
 NOISE = (
@@ -39,9 +37,9 @@ def candidate_messages(
     domains: Sequence[str] = ("linkedin.com",),
     phrase: str = "linkedin.com",
     processed: DataFrame | None = None,
-    cap: int | None = MESSAGE_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Unread recent messages by sender or by body, sender matches first, ``cap`` of them.
+    """Unread recent messages by sender or by body; with ``cap`` so many, sender matches first.
 
     ``processed(uid)`` takes the place of marking messages on a mail server.
     """
@@ -60,28 +58,39 @@ def candidate_messages(
     return chosen.drop("_by_sender")
 
 
-def _decoded(part: Message) -> str:
-    body = part.get_payload(decode=True) or b""
+def _leaves(message: EmailMessage) -> Iterator[EmailMessage]:
+    """Parts that hold content, through multiparts and forwarded messages."""
+    pending = [message]
+    while pending:
+        part = pending.pop()
+        if part.is_multipart():
+            pending += [p for p in part.get_payload() if isinstance(p, EmailMessage)][::-1]
+        else:
+            yield part
+
+
+def _content(part: EmailMessage) -> str:
     try:
-        return body.decode(part.get_content_charset() or "utf-8", "replace")
-    except (LookupError, TypeError):
-        return body.decode("utf-8", "replace")
+        return part.get_content(errors="replace")
+    except (LookupError, ValueError):  # a charset nobody knows, or a broken encoding
+        return bytes(part.get_payload(decode=True) or b"").decode("utf-8", "replace")
 
 
 def body_and_date(raw: str) -> tuple[str, str | None]:
     """HTML parts if there are any, else the text parts, and the ISO day of the mail."""
-    message = email.message_from_string(raw)
-    bodies: dict[str, list[str]] = {"text/html": [], "text/plain": []}
-    for part in message.walk():
-        kind = part.get_content_type()
-        attached = str(part.get("Content-Disposition", "")).lower().startswith("attachment")
-        if kind in bodies and not attached and not part.is_multipart():
-            bodies[kind].append(_decoded(part))
+    message = message_from_string(raw, policy=policy.default)
+    shown = [p for p in _leaves(message) if p.get_content_disposition() != "attachment"]
+    bodies = ""
+    for kind in ("text/html", "text/plain"):
+        chosen = [_content(p) for p in shown if p.get_content_type() == kind]
+        if chosen:
+            bodies = "\n".join(chosen)
+            break
     try:
-        day = parsedate_to_datetime(message["Date"]).date().isoformat()
-    except (TypeError, ValueError):
-        day = None
-    return "\n".join(bodies["text/html"] or bodies["text/plain"]), day
+        sent = message["Date"].datetime if message["Date"] else None
+    except (AttributeError, TypeError, ValueError):
+        sent = None
+    return bodies, sent.date().isoformat() if sent else None
 
 
 @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("day", T.StringType())]))

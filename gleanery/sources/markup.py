@@ -131,30 +131,34 @@ heading_cards = _cards([*_LINK, _LINES], _headings)
 alert_cards = _cards([*_LINK, _LINES], _alerts)
 
 
-def _hits(value, depth: int = 0) -> Iterator[dict]:
-    """Objects that look like a posting, in document order, at most eight levels down."""
-    if depth > 8:
-        return
-    if isinstance(value, dict):
-        if (
-            value.keys() & {"name", "title"}
-            and value.keys() & {"slug", "url", "link"}
-            and value.keys() & {"organization", "company_name", "office"}
-        ):
-            yield value
-        children = value.values()
-    else:
-        children = value if isinstance(value, list) else ()
-    for inner in children:
-        yield from _hits(inner, depth + 1)
+# An object is a posting if it has a key of each set.
+_POSTING_KEYS = (
+    frozenset(("name", "title")),
+    frozenset(("slug", "url", "link")),
+    frozenset(("organization", "company_name", "office")),
+)
+
+
+def _postings_in(document) -> list[dict]:
+    """Objects that look like a posting, in document order, at any depth."""
+    found, pending = [], [document]
+    while pending:
+        value = pending.pop()
+        if isinstance(value, dict):
+            if all(not keys.isdisjoint(value) for keys in _POSTING_KEYS):
+                found.append(value)
+            value = list(value.values())
+        if isinstance(value, list):
+            pending += value[::-1]
+    return found
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def hydration_hits(blobs: pd.Series) -> pd.Series:
     def one(blob: str | None) -> list[str]:
         try:
-            return [json.dumps(hit, ensure_ascii=False) for hit in _hits(json.loads(blob or "null"))]
-        except ValueError:
+            return [json.dumps(hit, ensure_ascii=False) for hit in _postings_in(json.loads(blob or "null"))]
+        except (ValueError, RecursionError):
             return []
 
     return blobs.map(one)

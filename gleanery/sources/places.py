@@ -17,7 +17,7 @@ from gleanery.functions.text import or_default, strip, text
 from gleanery.operators.order import first_wins
 from gleanery.schema import HOURS, ORDER, ORDER_COLUMNS, PLACE, conform, places_with_nulls
 from gleanery.settings import Run
-from gleanery.sources.landing import explode_items
+from gleanery.sources.landing import explode_items, rejects
 
 PLACE_ROWS = T.StructType(PLACE.fields + ORDER.fields)
 
@@ -31,7 +31,6 @@ _GOOGLE = (
 PHOTO_URL = "https://maps.googleapis.com/maps/api/place/photo?maxwidth=400&photoreference="
 MAPS_URL = "https://www.google.com/maps/place/?q=place_id:"
 VENUE_URL = "https://foursquare.com/v/"
-PHOTO_CAP = 3
 DEFAULT_CITY = "Praha"
 
 
@@ -48,6 +47,12 @@ def finish_places(rows: DataFrame, run: Run) -> DataFrame:
     return places_with_nulls(conform(filled, PLACE_ROWS))
 
 
+def place_rejects(rows: DataFrame, closed: Column | None = None) -> DataFrame:
+    """(source, seq, reason) of unfinished rows that are left out: closed for good, or without a name."""
+    gone = F.lit(False) if closed is None else F.coalesce(closed, F.lit(False))
+    return rejects(rows, F.when(gone, "closed").when(text(F.col("name")) == "", "no name"))
+
+
 def _hours(weekday: Column | None = None, open_now: Column | None = None, raw: Column | None = None) -> Column:
     given = {"weekday_text": weekday, "open_now": open_now, "raw": raw}
     return F.struct(
@@ -75,9 +80,14 @@ def google_details(raw: DataFrame) -> DataFrame:
 
 def google_places(search: DataFrame, details: DataFrame, run: Run) -> DataFrame:
     """Search results with their details; a found detail record replaces the search one."""
+    rows = google_rows(search, details)
+    return finish_places(rows.where(~F.coalesce("closed", F.lit(False))), run)
+
+
+def google_rows(search: DataFrame, details: DataFrame) -> DataFrame:
+    """Unfinished place rows, with whether a place is closed for good."""
     both = google_search(search).join(google_details(details), "place_id", "left")
-    one = both.withColumn("p", F.coalesce("detail", "found"))
-    rows = one.where(~F.coalesce(F.col("p.permanently_closed"), F.lit(False))).select(
+    return both.withColumn("p", F.coalesce("detail", "found")).select(
         "source", *ORDER_COLUMNS,
         strip(F.col("p.name")).alias("name"),
         F.coalesce("p.formatted_address", "found.formatted_address", F.lit("")).alias("address"),
@@ -99,11 +109,11 @@ def google_places(search: DataFrame, details: DataFrame, run: Run) -> DataFrame:
         ).alias("opening_hours"),
         # the access key stays out of stored links
         F.transform(
-            F.filter(F.slice("p.photos", 1, PHOTO_CAP), lambda x: text(x["photo_reference"]) != ""),
+            F.filter("p.photos", lambda x: text(x["photo_reference"]) != ""),
             lambda x: F.concat(F.lit(PHOTO_URL), x["photo_reference"]),
         ).alias("photos"),
+        F.col("p.permanently_closed").alias("closed"),
     )
-    return finish_places(rows, run)
 
 
 def openstreetmap(raw: DataFrame, run: Run) -> DataFrame:

@@ -17,7 +17,7 @@ from gleanery.settings import Run
 from gleanery.sources import feeds, json_api, json_ld, pages
 from gleanery.sources.feeds import FeedRules, feed_entries, feed_postings, feed_rows
 from gleanery.sources.json_ld import LdRules, ld_items, ld_rows
-from gleanery.sources.landing import POSTING_ROWS, finish_postings, rejects
+from gleanery.sources.landing import POSTING_ROWS, finish_postings, posting_rejects, rejects
 
 Source = Callable[[DataFrame, Run], DataFrame]
 
@@ -104,55 +104,58 @@ def active(defs: DataFrame, mode: str) -> DataFrame:
     return defs.where((F.lit(mode) == "bulk") | ~F.coalesce("bulk_only", F.lit(False)))
 
 
-def read_defined(raw: DataFrame, entries: Sequence[Mapping], run: Run) -> DataFrame:
-    """User-defined sources: one branch per type, definitions joined by source name.
+def _typed(raw: DataFrame, entries: Sequence[Mapping], kind: Callable[[str], bool]) -> DataFrame:
+    """Payloads of the definitions whose type is chosen, with their defaults.
 
-    The definitions are configuration read by the driver, so their join side is a local
-    relation Spark broadcasts by its known size.
+    The names are a filter of their own, so that it reaches the scan; the definitions are
+    configuration read by the driver, their join side a local relation of known size.
     """
-    defs = definitions(raw.sparkSession, entries).select(
-        F.col("name").alias("source"), "type", "default_location", "default_remote"
-    )
-    located = raw.join(defs, "source")
-    place = or_default(F.col("default_location"), MISSING)
-    keep = ("default_location", "default_remote")
+    defs = definitions(raw.sparkSession, [e for e in entries if kind(str(e.get("type") or "").lower())])
+    names = [r.name for r in defs.select("name").collect()]
+    chosen = raw.where(F.col("source").isin(*names)) if names else raw.where(F.lit(False))
+    return chosen.join(F.broadcast(defs.select(F.col("name").alias("source"), "default_location", "default_remote")), "source")
 
-    rss = located.where(F.col("type") == "rss")
-    rss_rows = feed_rows(
-        feed_entries(rss.drop("type")), FeedRules(), run, place, text(F.col("default_remote"))
-    )
+
+def _defined_rows(raw: DataFrame, entries: Sequence[Mapping], run: Run) -> list[DataFrame]:
+    """Unfinished rows of the user-defined sources, one part per type."""
+    place, mode = or_default(F.col("default_location"), MISSING), text(F.col("default_remote"))
+    feed = feed_rows(feed_entries(_typed(raw, entries, lambda k: k == "rss")), FeedRules(), run, place, mode)
     rules = LdRules(company=MISSING)
-    ld = ld_rows(ld_items(located.where(F.col("type") == "jsonld").drop("type"), rules), rules, place)
+    ld = ld_rows(ld_items(_typed(raw, entries, lambda k: k == "jsonld"), rules), rules, place)
     mappings = {
         (e.get("name") or "user_source").strip(): e.get("fields") or e.get("mapping") or {}
         for e in entries
         if (e.get("type") or "").lower() == "json_api"
     }
-    api = located.where(F.col("type") == "json_api").drop("type")
-    api_rows = json_api.api_rows(
-        json_api.api_items(api), mappings or {"": {}},
-        F.col("default_location"), text(F.col("default_remote")),
+    api = json_api.api_rows(
+        json_api.api_items(_typed(raw, entries, lambda k: k == "json_api")), mappings or {"": {}},
+        F.col("default_location"), mode,
     )
-    parts = [p.drop(*keep) for p in (rss_rows.drop("tags"), ld, api_rows)]
-    return finish_postings(union_all(parts), run)
+    keep = ("default_location", "default_remote")
+    return [p.drop(*keep) for p in (feed.drop("tags"), ld, api)]
+
+
+def read_defined(raw: DataFrame, entries: Sequence[Mapping], run: Run) -> DataFrame:
+    """User-defined sources: one branch per type, each over its own sources' payloads.
+
+    A source has one type, so each branch is finished on its own.
+    """
+    return union_all([finish_postings(p, run) for p in _defined_rows(raw, entries, run)])
 
 
 def defined_rejects(raw: DataFrame, entries: Sequence[Mapping]) -> DataFrame:
     """(source, seq, reason) of payloads that could not be read, by any reader."""
-    defs = definitions(raw.sparkSession, entries).select(F.col("name").alias("source"), "type")
-    typed = raw.join(defs, "source")
     known = ("rss", "jsonld", "json_api")
-
-    def of(kind: str) -> DataFrame:
-        return typed.where(F.col("type") == kind).drop("type")
-
     return union_all(
         [
-            rejects(of("rss"), feeds.bad_feeds(raw)),
-            rejects(of("json_api"), json_api.bad_arrays(raw)),
-            json_ld.bad_blocks(of("jsonld")),
-            rejects(typed.where(~F.col("type").isin(*known)), F.lit("unknown source type")),
+            rejects(_typed(raw, entries, lambda k: k == "rss"), feeds.bad_feeds(raw)),
+            rejects(_typed(raw, entries, lambda k: k == "json_api"), json_api.bad_arrays(raw)),
+            json_ld.bad_blocks(_typed(raw, entries, lambda k: k == "jsonld")),
+            rejects(_typed(raw, entries, lambda k: k not in known), F.lit("unknown source type")),
         ]
     )
 
 
+def defined_row_rejects(raw: DataFrame, entries: Sequence[Mapping], run: Run) -> DataFrame:
+    """(source, seq, reason) of rows that were read and are not valid."""
+    return union_all([posting_rejects(p) for p in _defined_rows(raw, entries, run)])

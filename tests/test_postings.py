@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions.dates import with_iso, with_wall_clock
+from gleanery.functions.display import rating_text
 from gleanery.functions.ids import place_id, posting_id
 from gleanery.functions.listing import halved_rating, title_at_company
 from gleanery.functions.matching import contains_word
@@ -89,7 +90,7 @@ def test_ids(spark):
 def test_texts(spark):
     assert one(spark, strip(F.lit("　\xa0 a b\x1f\n"))) == "a b"
     assert one(spark, collapse_blanks(F.lit(" a\t b  c "))) == "a b c"
-    assert one(spark, cut(F.lit("😀" * 600))) == "😀" * 500
+    assert one(spark, cut(F.lit("😀" * 600), 500)) == "😀" * 500
     assert one(spark, decoded_description(F.lit("<p>a &amp; b&nbsp;</p>"))) == "a & b"
     assert one(spark, match_key(F.lit("  Café  ﬁne Ÿ́ "))) == "cafe fine y"
     for word in ("fish-and chips", "o'neil's", "a1b ÉCOLE"):
@@ -163,10 +164,10 @@ def test_report_limits_before_freshness(spark):
     assert [r.id for r in top.orderBy("seq").collect()] == [f"{i:02}" for i in range(0, 20, 2)]
     sources = spark.createDataFrame([("b", 1), ("a", 0)], "name string, rank int")
     page = report_page(top, 25, sources, "https://x/?a=1&b=2", RUN).first()
-    assert page.subject == "Job digest — 10 new roles (Tuesday, June 30)"
-    assert "Sources: a, b" in page.html and "25 on the board" in page.html and "a=1&amp;b=2" in page.html
+    assert page.subject == "10 new postings on Tuesday, June 30"
+    assert "Read from a, b" in page.html and "25 stored" in page.html and page.html.count("<li>") == 10 and "a=1&amp;b=2" in page.html
     none = report_page(top.where("false"), 25, sources, "", RUN).first()
-    assert "no new matches" in none.subject and "No new matches" in none.html
+    assert none.subject.startswith("No new postings") and "Nothing above" in none.html
 
 
 def test_board(spark):
@@ -182,3 +183,8 @@ def test_board(spark):
     chosen = PlaceFilter(status="hide_dismissed", cuisine="Thai", min_rating=4.0, search=" APP")
     assert [r.id for r in place_board(df, chosen).collect()] == ["3"]
     assert tuple(shown_of_total(df, PlaceFilter(min_rating=4.2)).first()) == (1, 4)
+
+
+@pytest.mark.parametrize(("rating", "shown"), [(4.25, "4.3"), (4.75, "4.8"), (4.35, "4.3"), (4.45, "4.5"), (0.25, "0.3"), (4.0, "4.0"), (0.0, "-"), (None, "-")])
+def test_shown_rating(spark, rating, shown):
+    assert one(spark, rating_text(F.lit(rating).cast("double"))) == shown

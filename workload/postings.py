@@ -40,6 +40,7 @@ from workload.tables import (
     RUN_DAY,
     first_sql,
     id_sql,
+    positions,
     plain,
     postings,
     select,
@@ -163,8 +164,8 @@ def report_rows(spark, sf):
 
 
 @query(
-    f"""select 'Job digest — ' || count(*) || case count(*) when 1 then ' new role' else ' new roles' end
-    || ' (Wednesday, July 1)' as subject, (select count(*) from documents) as stored from ({_TOP})"""
+    f"""select case count(*) when 0 then 'No' else cast(count(*) as varchar) end || case count(*) when 1 then ' new posting' else ' new postings' end
+    || ' on Wednesday, July 1' as subject, (select count(*) from documents) as stored from ({_TOP})"""
 )
 def report_page_subject(spark, sf):
     rows = _new_scored(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
@@ -173,7 +174,7 @@ def report_page_subject(spark, sf):
     )
     total = table(spark, sf, "documents").count()
     page = report_page(top_new(rows, PREFS, RUN), total, sources, "https://board.example.com/", RUN)
-    shown = F.regexp_extract("html", r", (\d+) on the board", 1).cast("bigint")
+    shown = F.regexp_extract("html", r"<p>(\d+) stored", 1).cast("bigint")
     return page.select("subject", shown.alias("stored"))
 
 
@@ -228,11 +229,27 @@ def upsert_orders(spark, sf):
 def upsert_bucketed_snapshot(spark, sf):
     """The same upsert against a stored version that is bucketed by id."""
     stored, incoming = _orders(spark, sf)
-    snapshots = SnapshotTable(spark, Scratch(spark, "upsert").path("snapshot"), POSTING)
+    snapshots = SnapshotTable(spark, Scratch(spark, "upsert").path("snapshot"), POSTING, buckets=8)
     snapshots.write(stored)
     return _upsert_columns(upsert_postings(snapshots.read(), incoming, snapshots.buckets))
 
 
+@query(_UPSERTED)
+def upsert_two_versions(spark, sf):
+    """The first half of the batch makes a second version in another layout, the rest meets that one."""
+    stored, incoming = _orders(spark, sf)
+    root = Scratch(spark, "versions").path("snapshot")
+    wide, narrow = (SnapshotTable(spark, root, POSTING, buckets=n) for n in (8, 3))
+    wide.write(stored)
+    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    first = upsert_postings(wide.read(), incoming.where(even), wide.buckets_of(1))
+    fresh = Scratch(spark, "versions").save(first.where("is_new").select("id"), "fresh")
+    narrow.write(first, clustered=wide.buckets_of(1))
+    second = upsert_postings(narrow.read(), incoming.where(~even), narrow.buckets_of(2))
+    came = second.join(fresh.withColumn("_first", F.lit(True)), "id", "left")
+    return _upsert_columns(came.withColumn("is_new", F.col("is_new") | F.col("_first").isNotNull()))
+
+
 @query(f"select id, title from ({_UPSERTED}) where is_new")
 def upsert_new_rows(spark, sf):
     stored, incoming = _orders(spark, sf)
@@ -244,7 +261,7 @@ def upsert_new_rows(spark, sf):
 def snapshot_roundtrip(spark, sf):
     """Write a version, read it back."""
     rows = conform(select(spark, sf, ORDERS), POSTING)
-    snapshots = SnapshotTable(spark, Scratch(spark, "roundtrip").path("snapshot"), POSTING)
+    snapshots = SnapshotTable(spark, Scratch(spark, "roundtrip").path("snapshot"), POSTING, buckets=8)
     snapshots.write(rows)
     return snapshots.read().select("id", "title", "status", F.col("first_seen").cast("string").alias("first_seen"))
 
@@ -428,17 +445,22 @@ def posting_board_query(spark, sf):
     return posting_board(rows, chosen, RUN.day).select("doc_id", "score")
 
 
-@query(f"select id, title, o_totalprice from ({_ORDERS_SQL})")
+@query(
+    f"""select id, title, o_totalprice, row_number() over (partition by first_seen order by o_totalprice desc, id) as place
+    from ({_ORDERS_SQL})"""
+)
 def snapshot_ordered(spark, sf):
-    return snapshot_order(select(spark, sf, ORDERS), "o_totalprice").select("id", "title", "o_totalprice")
+    """The order of the stored document; a row's place in it is told inside its day."""
+    ordered = snapshot_order(select(spark, sf, ORDERS), "o_totalprice")
+    return positions(ordered, "first_seen", "place").select("id", "title", "o_totalprice", "place")
 
 
 @query(f"select count(*) as stored, count(*) filter (where is_new) as new, (select count(*) from ({_ORDERS_SQL})) as rows from ({_UPSERTED})")
 def run_totals(spark, sf):
     stored, incoming = _orders(spark, sf)
     merged = upsert_postings(stored, incoming)
-    total = select(spark, sf, ORDERS).count()
-    return health.run_totals(merged).withColumn("rows", F.lit(total).cast("bigint"))
+    every = select(spark, sf, ORDERS).agg(F.count("*").alias("rows"))
+    return health.run_totals(merged).withColumn("rows", every.scalar())
 
 
 @query("select id, title, company from (" + _ORDERS_SQL + ") where id = '77'")

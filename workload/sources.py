@@ -16,7 +16,8 @@ from gleanery.functions.listing import cuisine_from_list, cuisine_from_types, ha
 from gleanery.sources import mail as M
 from gleanery.sources import pages as P
 from gleanery.sources import places as G
-from gleanery.sources.registry import active, defined_rejects, definitions, read_defined, read_source
+from gleanery.sources.landing import reject_counts
+from gleanery.sources.registry import active, defined_rejects, defined_row_rejects, definitions, read_defined, read_source
 from workload.tables import (
     POSTINGS,
     RUN,
@@ -121,8 +122,8 @@ _ISO_MAIL = "nullif(posted_date, '') || 'T06:00:00+00:00'"
 _MARKED = plain_sql("'<p>' || description || '</p>'")
 _REMOTE = "case when remote_type = 'Remote' then 'remote' else '' end"
 _FEED_MODE = (
-    "case when contains(lower(title || ' ' || substr(description, 1, 500)), 'remote') then 'remote' "
-    "when contains(lower(title || ' ' || substr(description, 1, 500)), 'hybrid') then 'hybrid' else '' end"
+    "case when contains(lower(title || ' ' || description), 'remote') then 'remote' "
+    "when contains(lower(title || ' ' || description), 'hybrid') then 'hybrid' else '' end"
 )
 
 
@@ -181,6 +182,28 @@ def atom_read(spark, sf):
     return _shown(read_defined(raw, _defs("rss"), RUN))
 
 
+@query(
+    _expected(
+        title=strip_sql(_without_at("title")), company="'—'", location="'—'", remote_type=_FEED_MODE,
+        posted_date="nullif(posted_date, '') || 'T06:00:00+00:00'",
+    )
+)
+def rdf_read(spark, sf):
+    """RSS 1.0: the item stands next to the channel."""
+    raw = _wrapped(
+        spark, sf,
+        F.concat(
+            F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+                  'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="c"><title>f</title></channel><item rdf:about="i"><title>'),
+            _xml(_no_at("title")), F.lit("</title><link>"), _xml(F.col("url")), F.lit("</link><description>"),
+            _xml(F.col("description")), F.lit("</description><dc:date>"),
+            F.coalesce(F.concat(F.nullif("posted_date", F.lit("")), F.lit("T06:00:00Z")), F.lit("")),
+            F.lit("</dc:date></item></rdf:RDF>"),
+        ),
+    )
+    return _shown(read_defined(raw, _defs("rss"), RUN))
+
+
 @query(_expected(remote_type=_REMOTE))
 def jsonld_read(spark, sf):
     """Plain postings, graphs and item lists, by the language of the document."""
@@ -234,6 +257,26 @@ def payload_rejects(spark, sf):
     ).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""select source, 'no url' as reason, count(*) as n from ({POSTED}) where n_chars % 3 = 0 group by source
+    union all select 'places', case when p_size % 7 = 0 then 'closed' else 'no name' end, count(*) from part
+    where p_size % 7 = 0 or p_size % 5 = 0 group by 2"""
+)
+def validity_rejects(spark, sf):
+    """Rows that were read well and are left out all the same: no url, no name, closed for good."""
+    link = F.when(F.col("n_chars") % 3 == 0, "").otherwise(F.col("url"))
+    item = F.struct(link.alias("url"), "title")
+    raw = _wrapped(spark, sf, F.to_json(F.array(item)))
+    posted = defined_row_rejects(raw, _defs("json_api"), RUN)
+    record = F.struct(
+        F.concat(F.lit("pid"), "p_partkey").alias("place_id"), F.when(F.col("p_size") % 5 > 0, F.col("p_name")).otherwise(" ").alias("name"),
+        (F.col("p_size") % 7 == 0).alias("permanently_closed"),
+    )
+    search = payloads(_place_rows(spark, sf), F.to_json(F.struct(F.array(record).alias("results"))))
+    placed = G.google_rows(search, search.limit(0))
+    return reject_counts(posted.unionByName(G.place_rejects(placed, F.col("closed"))))
+
+
 @query("select name, rank from (select 'src' || i as name, cast(i as int) as rank from range(20) t(i)) "
        "where rank % 3 <> 0 and name in (select source from documents)")
 def mode_filter(spark, sf):
@@ -255,14 +298,14 @@ def _one(name: str, distinct: bool = True, **columns: str) -> str:
 
 
 @query(_one("weworkremotely", title=strip_sql("title"), location="'Remote'", remote_type="'remote'",
-            description="substr('<p>' || description || '</p>', 1, 500)", posted_date=_ISO_MAIL))
+            description="'<p>' || description || '</p>'", posted_date=_ISO_MAIL))
 def weworkremotely_read(spark, sf):
     return _preset("weworkremotely", spark, sf, _rss(F.concat("company", F.lit(": "), "title")))
 
 
 @query(_one("freelancermap", company="'(freelance contract)'", location="'EU / Remote'",
-            remote_type="case when contains(lower(substr('<p>' || description, 1, 500)), 'remote') then 'remote' else 'hybrid' end",
-            description="substr('<p>' || description || '</p>', 1, 500)", posted_date=_ISO_MAIL))
+            remote_type="case when contains(lower('<p>' || description), 'remote') then 'remote' else 'hybrid' end",
+            description="'<p>' || description || '</p>'", posted_date=_ISO_MAIL))
 def freelancermap_read(spark, sf):
     return _preset("freelancermap", spark, sf, _rss(F.col("title")))
 
@@ -274,8 +317,9 @@ def eustartups_read(spark, sf):
     return _preset("eustartups", spark, sf, _rss(F.concat(F.trim(_no_at("title")), F.lit(" is hiring Role"))))
 
 
+# each line break is a tag and leaves a blank
 @query(_one("remotive", location="'Remote'", remote_type="'remote'",
-            description=f"substr({strip_sql('description')}, 1, 500)"))
+            description=strip_sql("replace(description, chr(10), ' ' || chr(10))")))
 def remotive_read(spark, sf):
     coded = F.replace(F.replace("description", F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br>\n"))
     item = F.struct(
@@ -283,20 +327,11 @@ def remotive_read(spark, sf):
         F.lit(" ").alias("candidate_required_location"), coded.alias("description"),
         F.col("posted_date").alias("publication_date"), F.lit("1").alias("salary"), F.array("lang").alias("tags"),
     )
-    read = _preset("remotive", spark, sf, _json(F.array(item).alias("jobs")))
-    # each line break was a tag and left one blank more
-    return read.withColumn("description", F.expr("replace(description, ' \\n', '\\n')"))
-
-
-ORACLE["remotive_read"] = _one(
-    "remotive", location="'Remote'", remote_type="'remote'",
-    description="replace(substr(" + strip_sql("replace(description, chr(10), ' ' || chr(10))")
-    + ", 1, 500), ' ' || chr(10), chr(10))",
-)
+    return _preset("remotive", spark, sf, _json(F.array(item).alias("jobs")))
 
 
 @query(_expected(False, source="'workingnomads'", location="'Remote'", remote_type="'remote'",
-                 description="substr(description, 1, 500)"))
+                 description="description"))
 def workingnomads_read(spark, sf):
     tags = F.when(F.col("lang") == "en", F.lit("a, b,,c ")).otherwise("x")
     item = F.struct(
@@ -346,7 +381,7 @@ def dynamitejobs_read(spark, sf):
 
 @query(
     "select 'dynamitejobs' as source, doc_id as seq, 'https://dynamitejobs.com/remote-jobs/' || doc_id as url, "
-    "'Open role ' || lang as title from documents where doc_id = (select min(doc_id) from documents)"
+    "'Openrole' || lang as title from documents where doc_id = (select min(doc_id) from documents)"
 )
 def dynamitejobs_cards(spark, sf):
     """No JSON-LD anywhere: the cards of the first page that has any are the result."""
@@ -355,9 +390,7 @@ def dynamitejobs_cards(spark, sf):
     )
     spaced = F.concat(F.lit("<html>"), link, F.lit("</html>"))
     raw = _wrapped(spark, sf, spaced, "dynamitejobs")
-    return read_source("dynamitejobs", raw, RUN).select(
-        "source", "seq", "url", F.regexp_replace("title", "Openrole", "Open role ").alias("title")
-    )
+    return read_source("dynamitejobs", raw, RUN).select("source", "seq", "url", "title")
 
 
 @query(
@@ -475,8 +508,7 @@ def _mails(spark, sf) -> DataFrame:
     )
 
 
-@query("""select uid from (select conv_id * 100 + turn as uid, role from conversations where turn <> 1)
-       order by case role when 'user' then 0 else 1 end, uid limit 100""")
+@query("select distinct conv_id * 100 + turn as uid from conversations where turn <> 1")
 def mail_candidates(spark, sf):
     return M.candidate_messages(_mails(spark, sf), RUN).select("uid")
 
@@ -485,7 +517,7 @@ def mail_candidates(spark, sf):
     'Prague, Czechia (Hybrid)' as location, 'hybrid' as remote_type, '2026-06-30' as posted_date,
     'https://www.linkedin.com/jobs/view/' || (conv_id * 100 + turn) || '/' as url from conversations where turn <> 1""")
 def mail_alerts(spark, sf):
-    rows = M.mail_alerts(_mails(spark, sf), RUN, cap=None)
+    rows = M.mail_alerts(_mails(spark, sf), RUN)
     return rows.select(F.col("seq").alias("uid"), "title", "company", "location", "remote_type", "posted_date", "url")
 
 
