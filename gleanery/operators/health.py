@@ -13,8 +13,8 @@ def ranked_names(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, rank int")
 
 
-def rows_per_source(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("source").agg(F.count("*").alias("n"))
+def rows_per_source(rows: DataFrame, by: str = "source") -> DataFrame:
+    return rows.groupBy(F.col(by).alias("source")).agg(F.count("*").alias("n"))
 
 
 def source_counts(enabled: DataFrame, counts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import match_key, text
 from gleanery.operators.fusion import all_tags, fuse, ranked, tracers, upsert_tracers
+from gleanery.operators.health import ranked_names, rows_per_source, source_counts
 from gleanery.operators.leaders import assign_leaders, rank_keys
 from gleanery.operators.similarity import THRESHOLD
 from gleanery.operators.upsert import upsert_places
+from gleanery.plans.snapshot import SnapshotTable, log_run
 from gleanery.schema import ORDER_COLUMNS, PLACE
 from gleanery.session import Scratch
 from gleanery.settings import Run
+from gleanery.sources.places import PLACE_SOURCES, read_places
 
 
 @dataclass
@@ -92,9 +96,49 @@ def places_run(
     run: Run,
     scratch: Scratch,
     threshold: float = THRESHOLD,
+    buckets: int | None = None,
 ) -> PlacesRun:
     """The next snapshot and tracers from the stored ones and the fetched rows."""
     found = resolve(rows, scratch, threshold)
     incoming = found.places.select(*PLACE.names, *[F.col(f"rank.{c}") for c in ORDER_COLUMNS])
-    places = upsert_places(snapshot, incoming, run.day)
+    places = upsert_places(snapshot, incoming, run.day, buckets)
     return PlacesRun(places, upsert_tracers(trace, found.tracers, incoming), found)
+
+
+@dataclass
+class PlacesJob:
+    version: int
+    counts: DataFrame  # (name, rank, n) of every enabled source somebody can read
+    unknown: list[str]
+
+
+def places_job(
+    snapshots: SnapshotTable,
+    traces: SnapshotTable,
+    raw: DataFrame,
+    names: Sequence[str],
+    run: Run,
+    scratch: Scratch,
+    mode: str = "bulk",
+    log_path: str | None = None,
+    version: int | None = None,
+) -> PlacesJob:
+    """From payloads to written versions of the places and of their tracers.
+
+    The tracers are written first, under the number of the places' version that they
+    belong to, so a version of places always has its tracers.
+    """
+    known = [n for n in names if n in PLACE_SOURCES]
+    rows = scratch.save(read_places(known, raw, run, mode), "rows")
+    counts = scratch.save(source_counts(ranked_names(raw.sparkSession, known), rows_per_source(rows)), "counts")
+    if log_path:
+        log_run(counts, log_path, run)
+    before = snapshots.latest(version)
+    version = (before or 0) + 1 if version is None else version
+    stored = snapshots.read(before) if before is not None else snapshots.empty()
+    trace = traces.read(before) if before is not None else traces.empty()
+    layout = snapshots.buckets_of(before)
+    done = places_run(stored, trace, rows, run, scratch, buckets=layout)
+    traces.write(done.tracers, version)
+    snapshots.write(done.places, version, clustered=layout)
+    return PlacesJob(version, counts, [n for n in names if n not in known])

@@ -17,13 +17,15 @@ from gleanery.plans.snapshot import SnapshotTable, log_run
 from gleanery.schema import ORDER_COLUMNS, POSTING
 from gleanery.session import Scratch
 from gleanery.settings import Preferences, Run
-from gleanery.sources.registry import SOURCES, read_sources, union_all
+from gleanery.sources.registry import MAILED, Inputs, known_names, read_enabled
 
 
 @dataclass
 class PostingsRun:
     version: int
-    counts: DataFrame  # (name, rank, n)
+    counts: DataFrame  # (name, rank, n) of every enabled source somebody can read
+    unknown: list[str]  # enabled names nobody can read
+    mails: DataFrame  # (uid) of the messages that gave a posting
     new: DataFrame  # rows that came in for the first time, scored
     report: DataFrame  # (subject, html)
     stored: int
@@ -50,27 +52,30 @@ def next_snapshot(
 
 def postings_run(
     snapshots: SnapshotTable,
-    raw: DataFrame,
+    inputs: Inputs | DataFrame,
     prefs: Preferences,
     run: Run,
     scratch: Scratch,
-    more: DataFrame | None = None,
     states: DataFrame | None = None,
     log_path: str | None = None,
+    report_path: str | None = None,
+    processed_path: str | None = None,
     board_url: str = "",
     version: int | None = None,
 ) -> PostingsRun:
     """Read, fold, upsert, score, retain, write, report.
 
-    ``more`` holds rows of sources that do not come from payloads (mail, definitions).
-    The stored version is read in full once, for the merge, and its id column once more,
+    ``inputs`` may be the landing rows alone.  The counts go to ``log_path``, the page to
+    ``report_path``, and what stands for marking mails as read to ``processed_path``.  The stored version is read in full once, for the merge, and its id column once more,
     to tell new rows; only the folded batch is shuffled and written aside.
     """
-    spark = raw.sparkSession
-    enabled = ranked_names(spark, [s for s in prefs.sources if s in SOURCES])
-    parts = [read_sources(prefs.sources, raw, run)] + ([more] if more is not None else [])
-    incoming = scratch.save(union_all(parts), "incoming")
-    counts = scratch.save(source_counts(enabled, rows_per_source(incoming)), "counts")
+    inputs = inputs if isinstance(inputs, Inputs) else Inputs(inputs)
+    known = known_names(prefs.sources)
+    unknown = [n for n in prefs.sources if n not in known]
+    incoming = scratch.save(read_enabled(prefs.sources, inputs, run), "incoming")
+    enabled = ranked_names(inputs.raw.sparkSession, known)
+    counts = scratch.save(source_counts(enabled, rows_per_source(incoming, "reader")), "counts")
+    mails = incoming.where(F.col("reader") == MAILED).select(F.col("seq").alias("uid")).distinct()
     if log_path:
         log_run(counts, log_path, run)
 
@@ -91,4 +96,8 @@ def postings_run(
     left = totals["before"] - totals["removed"]
     top = scratch.save(top_new(new, prefs, run), "top")
     page = report_page(top, left, counts.where(F.col("n") > 0), board_url, run)
-    return PostingsRun(written, counts, new, page, left, totals["removed"])
+    if report_path:
+        page.coalesce(1).write.mode("overwrite").json(f"{report_path}/version={written:09d}")
+    if processed_path:  # last: a run that fails before takes its mails again
+        mails.write.mode("append").parquet(processed_path)
+    return PostingsRun(written, counts, unknown, mails, new, page, left, totals["removed"])

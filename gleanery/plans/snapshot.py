@@ -135,6 +135,14 @@ def log_run(counts: DataFrame, path: str, run: Run) -> None:
     row.coalesce(1).write.mode("append").parquet(path)
 
 
+def envelope(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row about a snapshot: when it was last checked, how many rows each source gave
+    then, and how many are stored.  The last run's sources are as many as are enabled."""
+    last = log.groupBy("run_ts").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
+    newest = last.agg(F.max("run_ts").alias("checked_at"), F.max_by("counts", "run_ts").alias("counts"))
+    return newest.withColumn("count", rows.agg(F.count("*")).scalar())
+
+
 def import_postings(spark: SparkSession, path: str, run: Run) -> DataFrame:
     """Rows of a ``{"jobs": […]}`` document or a bare array; the last duplicate wins.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,9 @@ PHOTO_URL = "https://maps.googleapis.com/maps/api/place/photo?maxwidth=400&photo
 MAPS_URL = "https://www.google.com/maps/place/?q=place_id:"
 VENUE_URL = "https://foursquare.com/v/"
 DEFAULT_CITY = "Praha"
+DETAILS = "/details"
+# Fixed value: sources that a run of another mode does not ask.
+BULK_ONLY = frozenset(("openstreetmap",))
 
 
 def finish_places(rows: DataFrame, run: Run) -> DataFrame:
@@ -53,6 +58,22 @@ def place_rejects(rows: DataFrame, closed: Column | None = None) -> DataFrame:
     return rejects(rows, F.when(gone, "closed").when(text(F.col("name")) == "", "no name"))
 
 
+def read_places(names: Sequence[str], raw: DataFrame, run: Run, mode: str = "bulk") -> DataFrame:
+    """All place rows of the enabled sources; some contribute to bulk runs only.
+
+    Detail records lie in the landing table under their source's name and ``DETAILS``.
+    """
+    parts = [
+        PLACE_SOURCES[n](raw, run).select(*PLACE_ROWS.names)
+        for n in names
+        if n in PLACE_SOURCES and (mode == "bulk" or n not in BULK_ONLY)
+    ]
+    out = raw.sparkSession.createDataFrame([], PLACE_ROWS) if not parts else parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _hours(weekday: Column | None = None, open_now: Column | None = None, raw: Column | None = None) -> Column:
     given = {"weekday_text": weekday, "open_now": open_now, "raw": raw}
     return F.struct(
@@ -181,3 +202,16 @@ def foursquare(raw: DataFrame, run: Run) -> DataFrame:
         ),
         run,
     )
+
+
+def _of(name: str, raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("source") == name)
+
+
+PLACE_SOURCES: dict[str, Callable[[DataFrame, Run], DataFrame]] = {
+    "google_places": lambda raw, run: google_places(
+        _of("google_places", raw), _of("google_places" + DETAILS, raw), run
+    ),
+    "openstreetmap": lambda raw, run: openstreetmap(_of("openstreetmap", raw), run),
+    "foursquare": lambda raw, run: foursquare(_of("foursquare", raw), run),
+}

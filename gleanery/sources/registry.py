@@ -7,6 +7,7 @@ sources without code are rows of a definition table (``load_definitions``).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from gleanery.schema import SOURCE_DEF
 from gleanery.settings import Run
 from gleanery.sources import feeds, json_api, json_ld, pages
 from gleanery.sources.feeds import FeedRules, feed_entries, feed_postings, feed_rows
+from gleanery.sources.mail import mail_alerts
 from gleanery.sources.json_ld import LdRules, ld_items, ld_rows
 from gleanery.sources.landing import POSTING_ROWS, finish_postings, posting_rejects, rejects
 
@@ -45,6 +47,21 @@ SOURCES: dict[str, Source] = {
 }
 
 
+# Enabled names that stand for all user-defined sources, and for alert mails.
+DEFINED, MAILED = "generic", "gmail_alerts"
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What a run reads: landing rows, entries of user-defined sources, a mail table with the
+    messages (uid) that earlier runs have taken."""
+
+    raw: DataFrame
+    definitions: Sequence[Mapping] = ()
+    mail: DataFrame | None = None
+    processed: DataFrame | None = None
+
+
 def register(name: str, source: Source) -> None:
     SOURCES[name] = source
 
@@ -63,6 +80,33 @@ def read_sources(names: Sequence[str], raw: DataFrame, run: Run) -> DataFrame:
     return union_all([read_source(n, raw, run) for n in names if n in SOURCES])
 
 
+def known_names(names: Sequence[str]) -> list[str]:
+    """The enabled names that somebody can read, in their order."""
+    return [n for n in names if n in SOURCES or n in (DEFINED, MAILED)]
+
+
+def read_enabled(names: Sequence[str], inputs: Inputs, run: Run) -> DataFrame:
+    """All rows of the enabled sources, with the enabled name they came by as ``reader``.
+
+    Names nobody knows are left out; a known one without input gives no rows.
+    """
+    parts = []
+    for rank, name in enumerate(known_names(names)):
+        if name == DEFINED:
+            rows = read_defined(inputs.raw, inputs.definitions, run)
+        elif name == MAILED:
+            if inputs.mail is None:
+                continue
+            rows = mail_alerts(inputs.mail, run, rank, processed=inputs.processed)
+        else:
+            rows = read_source(name, inputs.raw, run)
+        parts.append(rows.select(*POSTING_ROWS.names, F.lit(name).alias("reader")))
+    if not parts and known_names(names):
+        none = inputs.raw.sparkSession.createDataFrame([], POSTING_ROWS)
+        return none.withColumn("reader", F.lit(None).cast("string"))
+    return union_all(parts)
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     if not parts:
         raise ValueError("no known source is enabled")

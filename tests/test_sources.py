@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from gleanery.schema import MAIL, RAW
 from gleanery.settings import Run
 from gleanery.sources import mail as M
-from gleanery.sources.registry import SOURCES, defined_rejects, read_defined, read_source, read_sources, register
+from gleanery.sources.places import read_places
+from gleanery.sources.registry import (
+    SOURCES,
+    Inputs,
+    defined_rejects,
+    read_defined,
+    read_enabled,
+    read_source,
+    read_sources,
+    register,
+)
 
 RUN = Run(datetime(2026, 6, 30, 12))
 
@@ -143,3 +153,40 @@ def test_registry(spark):
     rows = read_sources(["nobody", "workingnomads"], landed(spark, "workingnomads", body), RUN).orderBy("pos").collect()
     assert [r.tags for r in rows] == [["a", "b"], ["x", "y"]] and rows[0].location == "Remote"
     assert rows[0].first_seen == RUN.day and F is not None
+
+
+def test_enabled_names_without_a_site(spark):
+    own = [{"name": "own", "type": "json_api", "fields": {}}]
+    raw = landed(spark, "own", '[{"url": "u", "title": "t"}]')
+    mail = spark.createDataFrame([(7, "a@linkedin.com", date(2026, 6, 20), False, "Content-Type: text/html\n\n" + ALERT)], MAIL)
+    both = read_enabled(("generic", "who", "gmail_alerts"), Inputs(raw, own, mail), RUN)
+    assert sorted((r.reader, r.source) for r in both.select("reader", "source").collect()) == [
+        ("generic", "own"), ("gmail_alerts", "linkedin"), ("gmail_alerts", "linkedin"),
+    ]
+    taken = spark.createDataFrame([(7,)], "uid long")
+    assert read_enabled(("gmail_alerts",), Inputs(raw, own, mail, taken), RUN).count() == 0
+    assert read_enabled(("gmail_alerts",), Inputs(raw), RUN).count() == 0
+    assert read_enabled(("generic",), Inputs(raw), RUN).count() == 0
+    with pytest.raises(ValueError, match="no known source"):
+        read_enabled(("who",), Inputs(raw), RUN)
+
+
+def test_only_the_sources_of_a_type_are_scanned(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    landed(spark, "own", "[]").write.parquet(path)
+    defs = [{"name": "own", "type": "json_api"}, {"name": "feed", "type": "rss"}]
+    plan = read_defined(spark.read.parquet(path), defs, RUN)._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
+    assert len(pushed) <= 2 and all("own" in p or "feed" in p for p in pushed)  # no definition of a type: no scan
+
+
+def test_modes_and_details_of_places(spark):
+    found = json.dumps({"results": [{"place_id": "a", "name": "A"}, {"place_id": "b", "name": " "}, {"place_id": "c", "name": "C", "permanently_closed": True}]})
+    detail = json.dumps({"result": {"place_id": "a", "name": "A!", "photos": [{"photo_reference": str(i)} for i in range(9)]}})
+    node = json.dumps({"elements": [{"type": "node", "id": 1, "tags": {"name": "N"}}]})
+    raw = landed(spark, "google_places", found).unionByName(landed(spark, "google_places/details", detail)).unionByName(landed(spark, "openstreetmap", node))
+    names = ("openstreetmap", "nobody", "google_places")
+    assert {r.name for r in read_places(names, raw, RUN).collect()} == {"A!", "N"}
+    daily = read_places(names, raw, RUN, "daily").collect()
+    assert [r.name for r in daily] == ["A!"] and len(daily[0].photos) == 9
+    assert read_places(("nobody",), raw, RUN).count() == 0
