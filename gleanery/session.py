@@ -34,17 +34,35 @@ def file_system(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gleanery/{spark.sparkContext.applicationId}"
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; call it when results are stored."""
+    fs, target = file_system(spark, _own_dir(spark))
+    fs.delete(target, True)
+
+
 class Scratch:
     """Intermediate tables of one job below the shared folder.
 
+    Results may read them, so they stay until ``release`` (one job; also at the end of a
+    ``with`` block) or ``release_all`` (the application).
+
     Unlike an RDD checkpoint the plan is computed once, columns can be pruned when the
     table is read back, and its exact size is known to the optimizer.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/gleanery/{job}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self.root = f"{_own_dir(spark)}/{job}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}-{uuid.uuid4().hex[:12]}"
@@ -52,18 +70,8 @@ class Scratch:
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
         df.write.parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(table)] = path
-        return table
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            path = self._paths.pop(id(table), None)
-            if path:
-                fs, target = file_system(self.spark, path)
-                fs.delete(target, True)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
         fs, target = file_system(self.spark, self.root)
         fs.delete(target, True)
-        self._paths.clear()

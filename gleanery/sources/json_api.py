@@ -79,10 +79,6 @@ def api_rows(
     )
 
 
-def api_postings(raw: DataFrame, fields: Mapping[str, str], run: Run, name: str = "") -> DataFrame:
-    return finish_postings(api_rows(api_items(raw), {name: fields}), run)
-
-
 def remotive(raw: DataFrame, run: Run) -> DataFrame:
     """``{jobs: […]}``; entities decoded, salary and tags kept."""
     item = F.col("item")

@@ -1,7 +1,7 @@
 """Source registry, source definitions and dispatch by type.
 
 A source is a function ``(raw, run) -> postings``.  Register more with ``register``;
-sources without code are rows of a definition table (``load_definitions``).
+sources without code are entries of a definition list (``definitions``, ``read_defined``).
 """
 
 from __future__ import annotations
@@ -136,13 +136,6 @@ def definitions(spark: SparkSession, entries: Sequence[Mapping]) -> DataFrame:
     return spark.createDataFrame(rows, SOURCE_DEF)
 
 
-def load_definitions(spark: SparkSession, path: str) -> DataFrame:
-    import yaml
-
-    with open(path, encoding="utf-8") as f:
-        return definitions(spark, (yaml.safe_load(f) or {}).get("sources") or [])
-
-
 def active(defs: DataFrame, mode: str) -> DataFrame:
     """Definitions that take part in a run: some contribute to bulk runs only."""
     return defs.where((F.lit(mode) == "bulk") | ~F.coalesce("bulk_only", F.lit(False)))

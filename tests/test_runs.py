@@ -13,9 +13,9 @@ from gleanery.operators.upsert import upsert_postings
 from gleanery.operators.fusion import TRACER
 from gleanery.plans.places import places_run, resolve
 from gleanery.plans.postings import postings_run
-from gleanery.plans.snapshot import SnapshotTable, export_postings, import_places, import_postings
+from gleanery.plans.snapshot import SnapshotTable, export_places, export_postings, import_places, import_postings
 from gleanery.schema import PLACE, POSTING, RAW, STATE, conform, places_with_nulls
-from gleanery.session import Scratch
+from gleanery.session import Scratch, file_system
 from gleanery.settings import Preferences, Run
 from gleanery.streaming.ingest import compact as compact_postings
 from gleanery.streaming.ingest import pending, read_postings, start_ingest
@@ -72,6 +72,13 @@ def test_documents(spark, tmp_path):
     assert place.rating is None and place.cuisine is None and len(place.id) == 16
     export_postings(import_postings(spark, str(tmp_path / "env.json"), RUN), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().title == "2"
+    many = spark.range(40).selectExpr("cast(id as string) AS id", "date'2026-01-01' + int(id % 4) AS first_seen", "int(id) AS score", "double(id % 7) AS rating")
+    for export, schema, measure in ((export_postings, POSTING, "score"), (export_places, PLACE, "rating")):
+        export(conform(many.repartition(5), schema), str(tmp_path / measure))
+        lines = [json.loads(x) for f in sorted((tmp_path / measure).glob("part-*")) for x in f.read_text().splitlines()]
+        assert len(lines) == 40
+        order = [(r["first_seen"], r[measure]) for r in lines]
+        assert order == sorted(order, reverse=True)
 
 
 PRIORITY = ["google_places", "foursquare", "openstreetmap"]
@@ -187,6 +194,14 @@ def test_a_finished_version_can_be_run_again(spark):
     assert snapshots.versions() == [1]
 
 
+def test_working_tables_can_be_released(spark):
+    with Scratch(spark, "job") as scratch:
+        rows, root = scratch.save(spark.range(3), "rows"), scratch.root
+        assert rows.count() == 3
+    fs, path = file_system(spark, root)
+    assert not fs.exists(path)
+
+
 def test_compaction_keeps_the_state(spark, tmp_path):
     schema = "space string, id string, status string, ts long, arrival long"
     source, log, checkpoint = (str(tmp_path / x) for x in ("in", "log", "cp"))

@@ -19,6 +19,7 @@ from gleanery.operators.leaders import assign_leaders, rank_keys
 from gleanery.operators.state import with_status
 from gleanery.operators.upsert import upsert_places
 from gleanery.plans.places import resolve
+from gleanery.plans.snapshot import export_places
 from gleanery.schema import PLACE, conform, places_with_nulls
 from gleanery.session import Scratch
 from gleanery.sources.places import finish_places
@@ -284,6 +285,16 @@ def facet_neighborhood(spark, sf):
     return facet(_board(spark, sf), "neighborhood")
 
 
+@query(f"""select id, name, rating, case when p_size % 2 = 0 then 'http://x/' || id else '' end as website, '' as phone,
+    0 as photos, cast(date '2026-05-01' + p_size as varchar) as first_seen from {_PARTS}""")
+def places_export_rows(spark, sf):
+    """The stored document as JSON lines: blanks for what is unknown."""
+    path = Scratch(spark, "export").path("places")
+    export_places(_board(spark, sf), path)
+    read = spark.read.schema(PLACE).json(path)
+    return read.select("id", "name", "rating", "website", "phone", F.size("photos").alias("photos"), F.col("first_seen").cast("string").alias("first_seen"))
+
+
 @query(
     f"""select id, case when p_size % 2 = 0 then 'http://x/' || id else '#' end as link,
     date '2026-05-01' + p_size >= {RUN_DAY} - 14 as is_new, repeat('E', cast(price_level as int)) as price,

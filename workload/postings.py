@@ -30,7 +30,7 @@ from gleanery.operators.order import first_wins, last_wins
 from gleanery.operators.report import report_page, top_new
 from gleanery.operators.retention import fresh, is_retained, new_since, retain
 from gleanery.operators.upsert import new_rows, upsert_postings
-from gleanery.plans.snapshot import SnapshotTable
+from gleanery.plans.snapshot import SnapshotTable, export_postings
 from gleanery.schema import POSTING, conform
 from gleanery.session import Scratch
 from workload.tables import (
@@ -165,7 +165,7 @@ def report_rows(spark, sf):
 
 @query(
     f"""select case count(*) when 0 then 'No' else cast(count(*) as varchar) end || case count(*) when 1 then ' new posting' else ' new postings' end
-    || ' on Wednesday, July 1' as subject, (select count(*) from documents) as stored from ({_TOP})"""
+    || ' on Wednesday, July 1' as subject, (select count(*) from documents) as stored, count(*) as listed from ({_TOP})"""
 )
 def report_page_subject(spark, sf):
     rows = _new_scored(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
@@ -175,7 +175,8 @@ def report_page_subject(spark, sf):
     total = table(spark, sf, "documents").count()
     page = report_page(top_new(rows, PREFS, RUN), total, sources, "https://board.example.com/", RUN)
     shown = F.regexp_extract("html", r"<p>(\d+) stored", 1).cast("bigint")
-    return page.select("subject", shown.alias("stored"))
+    listed = F.size(F.split("html", "<li><a href=")) - 1
+    return page.select("subject", shown.alias("stored"), listed.cast("bigint").alias("listed"))
 
 
 # Stored: orders before 1999.  Incoming: later orders, and changed copies of part of the
@@ -440,7 +441,9 @@ def date_normalise(spark, sf):
     and coalesce(cast(nullif(posted_date, '') as date), first_seen) >= {RUN_DAY} - 30"""
 )
 def posting_board_query(spark, sf):
-    rows = score(postings(spark, sf).drop("score"), PREFS, RUN).withColumn("id", F.col("doc_id"))
+    # a board reads scores that a run has stored
+    scored = Scratch(spark, "board").save(score(postings(spark, sf).drop("score"), PREFS, RUN), "scored")
+    rows = scored.withColumn("id", F.col("doc_id"))
     chosen = PostingFilter(min_score=20, location="Remote", within_days=30, status="new")
     return posting_board(rows, chosen, RUN.day).select("doc_id", "score")
 
@@ -455,6 +458,18 @@ def snapshot_ordered(spark, sf):
     return positions(ordered, "first_seen", "place").select("id", "title", "o_totalprice", "place")
 
 
+@query(
+    f"""select id, title, status, cast(first_seen as varchar) as first_seen, '' as location, 0 as score from ({_ORDERS_SQL})"""
+)
+def postings_export_rows(spark, sf):
+    """The stored document as JSON lines (tests/test_runs.py checks its order)."""
+    path = Scratch(spark, "export").path("postings")
+    rows = conform(select(spark, sf, ORDERS), POSTING).withColumns({"score": F.lit(0), "location": F.lit("")})
+    export_postings(rows, path)
+    read = spark.read.schema(POSTING).json(path)
+    return read.select("id", "title", "status", F.col("first_seen").cast("string").alias("first_seen"), "location", "score")
+
+
 @query(f"select count(*) as stored, count(*) filter (where is_new) as new, (select count(*) from ({_ORDERS_SQL})) as rows from ({_UPSERTED})")
 def run_totals(spark, sf):
     stored, incoming = _orders(spark, sf)

@@ -537,7 +537,9 @@ _TITLE = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
     f"""select p_partkey as seq, p_name as name, case when p_size % 2 = 0 then 'D ' || p_brand else p_brand end as address,
     case when p_size % 2 = 0 then p_brand else null end as neighborhood,
     {_TITLE.format('p_type')} as cuisine, cast(p_size as double) as rating,
-    nullif(p_size % 5, 0) as price_level, cast(p_size as varchar) as phone,
+    nullif(p_size % 5, 0) as price_level, cast(p_size as varchar) as phone, 'http://w/' || p_partkey as website,
+    nullif(p_size % 9, 0) as review_count, 'Mon ' || p_size || ',Tue ' || p_size || '/' || (p_size % 2 = 1) as hours,
+    'https://maps.googleapis.com/maps/api/place/photo?maxwidth=400&photoreference=' || p_partkey || 'a' as first_photo, 5 as photos,
     'https://www.google.com/maps/place/?q=place_id:pid' || p_partkey as google_maps_url,
     substr(sha1('pid' || p_partkey), 1, 16) as id from part where p_size % 7 <> 0"""
 )
@@ -556,6 +558,12 @@ def google_places_read(spark, sf):
             F.array(F.lit("restaurant"), F.concat(F.lower("p_type"), F.lit("_restaurant")), F.lit("food")).alias("types"),
             F.col("p_size").cast("double").alias("rating"), (F.col("p_size") % 5).alias("price_level"),
             F.col("p_size").cast("string").alias("formatted_phone_number"),
+            F.concat(F.lit("http://w/"), "p_partkey").alias("website"), (F.col("p_size") % 9).alias("user_ratings_total"),
+            F.struct(
+                F.array(*[F.concat(F.lit(d), "p_size") for d in ("Mon ", "Tue ")]).alias("weekday_text"),
+                (F.col("p_size") % 2 == 1).alias("open_now"),
+            ).alias("opening_hours"),
+            F.array(*[F.struct(F.concat("p_partkey", F.lit(x)).alias("photo_reference")) for x in "abcde"], F.struct(F.lit("").alias("photo_reference"))).alias("photos"),
             (F.col("p_size") % 7 == 0).alias("permanently_closed"),
         )
 
@@ -565,7 +573,9 @@ def google_places_read(spark, sf):
     details = payloads(rows.where("p_size % 2 = 0"), F.to_json(F.struct(detail.alias("result"))))
     return G.google_places(search, details, RUN).select(
         "seq", "name", "address", "neighborhood", F.array_join("cuisine", ",").alias("cuisine"), "rating",
-        "price_level", "phone", "google_maps_url", "id",
+        "price_level", "phone", "google_maps_url", "id", "website", "review_count",
+        F.concat(F.array_join("opening_hours.weekday_text", ","), F.lit("/"), F.col("opening_hours.open_now").cast("string")).alias("hours"),
+        F.get("photos", F.lit(0)).alias("first_photo"), F.size("photos").alias("photos"),
     )
 
 
@@ -603,7 +613,8 @@ def openstreetmap_read(spark, sf):
 
 @query(
     """select p_partkey as seq, p_name as name, p_brand || ', Brno' as address, p_type as neighborhood, p_type as cuisine,
-    case when p_size % 20 = 0 then null else (p_size % 20) / 4.0 end as half,
+    cast(case when p_size % 20 = 0 then null else format('{:.1f}', (p_size % 20) / 4.0::double) end as double) as rating,
+    nullif(p_size % 5, 0) as price_level, 't' || p_size as phone, 'http://v/' || p_partkey as website,
     'https://foursquare.com/v/v' || p_partkey as google_maps_url from part"""
 )
 def foursquare_read(spark, sf):
@@ -618,21 +629,17 @@ def foursquare_read(spark, sf):
             F.lit("@area@").alias("neighborhood"),
         ).alias("location"),
         F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.lit("").alias("name"))).alias("categories"),
-        ((F.col("p_size") % 20) / 2).alias("rating"),
+        ((F.col("p_size") % 20) / 2).alias("rating"), (F.col("p_size") % 5).alias("price"),
+        F.concat(F.lit("t"), "p_size").alias("tel"), F.concat(F.lit("http://v/"), "p_partkey").alias("website"),
     )
     listed = F.when(F.col("p_size") % 2 == 0, area).otherwise(F.concat(F.lit('"'), "p_type", F.lit('"')))
     text = F.replace(F.to_json(F.struct(F.array(venue).alias("results"))), F.lit('"@area@"'), listed)
     return G.foursquare(payloads(_place_rows(spark, sf), text), RUN).select(
         "seq", "name", "address", "neighborhood", F.array_join("cuisine", ",").alias("cuisine"),
-        ((F.col("seq") * 0) + F.col("rating")).alias("half"), "google_maps_url",
+        "rating", "price_level", "phone", "website", "google_maps_url",
     )
 
 
-ORACLE["foursquare_read"] = ORACLE["foursquare_read"].replace(
-    "(p_size % 20) / 4.0 end as half", "cast(format('{:.1f}', (p_size % 20) / 4.0::double) as double) end as half"
-)
-
-
 @query(
     f"""select p_partkey, {_TITLE.format("split_part(p_name, ' ', 1)")} || ' ' || {_TITLE.format("split_part(p_name, ' ', 2)")} as from_types,
     {_TITLE.format('p_type')} || ',' || {_TITLE.format("split_part(p_name, ' ', 1)")} as from_list from part"""
