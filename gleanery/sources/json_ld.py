@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions import variants as V
 from gleanery.functions.text import MISSING, or_default, plain_description, strip, text
@@ -80,6 +81,33 @@ def ld_items(pages: DataFrame, rules: LdRules) -> DataFrame:
     return explode_items(entries, _postings_in(F.col("entry"), rules), "job").drop("entry")
 
 
+def ld_and_cards(pages: DataFrame, rules: LdRules, cards: Column) -> DataFrame:
+    """JSON-LD postings (``kind`` 0) and what else was found on a page (``kind`` 1, ``card``),
+    in one pass over the pages.  A page's postings come before its cards.
+
+    ``cards`` is an array; the fields of a posting are null for a card.
+    """
+    element = pages.select(cards.alias("c")).schema["c"].dataType.elementType
+    none, no_card = F.parse_json(F.lit(None).cast("string")), F.lit(None).cast(element)
+    blocks = F.regexp_extract_all("payload", F.lit(_BLOCK), F.lit(1))
+    found = F.concat(
+        F.transform(blocks, lambda b: F.struct(F.lit(0).alias("kind"), b.alias("block"), no_card.alias("card"))),
+        F.transform(
+            F.coalesce(cards, F.array().cast(T.ArrayType(element))),
+            lambda c: F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("block"), c.alias("card")),
+        ),
+    )
+    card = F.col("kind") == 1
+    parts = explode_items(pages, found, "part").select("*", "part.*").drop("part")
+    parsed = parts.withColumn("block", V.parse(F.col("block")))
+    roots = F.coalesce(V.items(F.col("block")), F.array("block"))
+    entries = explode_items(parsed, F.when(card, F.array(none)).otherwise(roots), "entry").drop("block")
+    entries = entries.where(card | F.col("entry").isNotNull())
+    jobs = F.when(card, F.array(none)).otherwise(_postings_in(F.col("entry"), rules))
+    rows = ld_rows(explode_items(entries, jobs, "job").drop("entry"), rules)
+    return rows.withColumn("pos", F.concat(F.array("kind"), "pos"))
+
+
 def ld_rows(items: DataFrame, rules: LdRules, location: Column | None = None) -> DataFrame:
     """Canonical fields.  The payload is read in a projection of its own: what several
     rules look at is extracted once."""

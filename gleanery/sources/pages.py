@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import variants as V
 from gleanery.functions.text import or_default, plain_description, strip, text
-from gleanery.operators.order import first_wins
 from gleanery.schema import ORDER_COLUMNS
 from gleanery.settings import Run
-from gleanery.sources.json_ld import LdRules, ld_items, ld_postings, ld_rows
+from gleanery.sources.json_ld import LdRules, ld_and_cards, ld_postings
 from gleanery.sources.landing import explode_items, finish_postings
 from gleanery.sources.markup import anchors, heading_cards, hydration_hits
 
@@ -39,11 +38,6 @@ def absolute(link: Column, host: str) -> Column:
     return F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(host), link))
 
 
-def _at_stage(rows: DataFrame, stage: int) -> DataFrame:
-    """Order of two extraction stages inside one page."""
-    return rows.withColumn("pos", F.concat(F.array(F.lit(stage)), "pos"))
-
-
 def himalayas(pages: DataFrame, run: Run) -> DataFrame:
     return ld_postings(pages, HIMALAYAS, run)
 
@@ -66,87 +60,84 @@ def page_anchors(pages: DataFrame) -> DataFrame:
     return rows.select("source", "source_rank", "seq", "pos", "card.*")
 
 
+def _holding(mark: str) -> Column:
+    """The payload if it holds the mark: other pages are not taken apart."""
+    return F.when(F.contains("payload", F.lit(mark)), F.col("payload"))
+
+
+def _filled(rows: DataFrame, card: dict[str, Column]) -> DataFrame:
+    """Canonical fields of cards next to those of postings; a field that a card lacks is blank."""
+    is_card = F.col("kind") == 1
+    fields = ("url", "title", "company", "location", "remote_type", "description", "posted_date")
+    blank = {"posted_date": F.lit(None).cast("string")}
+    values = {c: F.when(is_card, card.get(c, blank.get(c, F.lit("")))).otherwise(F.col(c)) for c in fields}
+    return rows.withColumns(values).drop("card")
+
+
 def dynamitejobs(pages: DataFrame, run: Run) -> DataFrame:
     """Link cards count only on the first page that yields anything, and only if that
     page has no JSON-LD posting: after that there are results to keep."""
-    structured = ld_rows(ld_items(pages, DYNAMITE), DYNAMITE).where(text(F.col("url")) != "")
-    link = F.col("href")
-    cards = (
-        page_anchors(pages.where(F.contains("payload", F.lit("/remote-jobs/"))))
-        .where(F.contains(link, F.lit("/remote-jobs/")) & (F.col("title") != ""))
-        .withColumns(
-            {
-                "url": absolute(link, DYNAMITE_HOST),
-                "company": F.lit(""), "location": F.lit("Remote"), "remote_type": F.lit("remote"),
-                "description": F.lit(""), "posted_date": F.lit(None).cast("string"),
-            }
-        )
+    link = F.col("card.href")
+    found = ld_and_cards(pages, DYNAMITE, anchors(_holding("/remote-jobs/")))
+    is_card = F.col("kind") == 1
+    found = found.where(
+        (is_card & F.contains(link, F.lit("/remote-jobs/")) & (F.col("card.title") != "")) | (~is_card & (text(F.col("url")) != ""))
+    )
+    first = found.groupBy("source").agg(
+        F.min(F.when(is_card, F.col("seq"))).alias("_card_page"), F.min(F.when(~is_card, F.col("seq"))).alias("_ld_page")
     )
-    first_with_cards = cards.groupBy("source").agg(F.min("seq").alias("_card_page"))
-    first_structured = structured.groupBy("source").agg(F.min("seq").alias("_ld_page"))
-    used = (
-        first_with_cards.join(first_structured, "source", "left")
-        .where(F.col("_ld_page").isNull() | (F.col("_card_page") < F.col("_ld_page")))
-        .select("source", F.col("_card_page").alias("seq"))
+    used = first.select(
+        "source", F.when(F.col("_ld_page").isNull() | (F.col("_card_page") < F.col("_ld_page")), F.col("_card_page")).alias("_used")
     )
-    kept = cards.join(used, ["source", "seq"], "left_semi")
-    rows = _at_stage(structured, 0).unionByName(_at_stage(kept.select(*structured.columns), 1))
-    return finish_postings(rows, run)
+    rows = _filled(
+        found, {"url": absolute(link, DYNAMITE_HOST), "title": F.col("card.title"), "location": F.lit("Remote"), "remote_type": F.lit("remote")}
+    )
+    kept = rows.join(used, "source").where(~is_card | (F.col("seq") == F.col("_used")))
+    return finish_postings(kept.drop("kind", "_used"), run)
 
 
 def welcometothejungle(pages: DataFrame, run: Run) -> DataFrame:
-    structured = ld_rows(ld_items(pages, WTTJ), WTTJ)
-    blob = F.nullif(F.regexp_extract("payload", _HYDRATION, 1), F.lit(""))
-    hits = explode_items(
-        pages.withColumn("_blob", blob).where(F.col("_blob").isNotNull()),
-        hydration_hits(F.col("_blob")),
-        "hit",
-    ).withColumn("hit", V.parse(F.col("hit")))
-    hit = F.col("hit")
+    hits = hydration_hits(F.nullif(F.regexp_extract("payload", _HYDRATION, 1), F.lit("")))
+    found = ld_and_cards(pages, WTTJ, hits).withColumn("card", V.parse(F.col("card")))
+    hit = F.col("card")
     link = or_default(V.field(hit, "url"), V.field(hit, "link"))
     remote = V.field(hit, "remote")
-    hydrated = hits.select(
-        "source", "source_rank", "seq", "pos",
-        absolute(F.nullif(link, F.lit("")), WTTJ_HOST).alias("url"),
-        or_default(strip(V.field(hit, "name")), strip(text(V.field(hit, "title")))).alias("title"),
-        strip(
-            text(
-                F.when(V.is_object(V.child(hit, "organization")), V.field(hit, "organization.name"))
-                .otherwise(V.field(hit, "company_name"))
-            )
-        ).alias("company"),
-        or_default(V.field(hit, "office_main_country"), text(V.field(hit, "location"))).alias("location"),
-        F.when(remote == "fulltime", "remote").when(remote == "punctual", "hybrid").otherwise("").alias("remote_type"),
-        plain_description(V.field(hit, "description")).alias("description"),
-        or_default(V.field(hit, "published_at"), V.field(hit, "created_at")).alias("posted_date"),
+    company = F.when(V.is_object(V.child(hit, "organization")), V.field(hit, "organization.name")).otherwise(
+        V.field(hit, "company_name")
     )
-    return finish_postings(_at_stage(structured, 0).unionByName(_at_stage(hydrated, 1)), run)
+    hydrated = {
+        "url": absolute(F.nullif(link, F.lit("")), WTTJ_HOST),
+        "title": or_default(strip(V.field(hit, "name")), strip(text(V.field(hit, "title")))),
+        "company": strip(text(company)),
+        "location": or_default(V.field(hit, "office_main_country"), text(V.field(hit, "location"))),
+        "remote_type": F.when(remote == "fulltime", "remote").when(remote == "punctual", "hybrid").otherwise(""),
+        "description": plain_description(V.field(hit, "description")),
+        "posted_date": or_default(V.field(hit, "published_at"), V.field(hit, "created_at")),
+    }
+    return finish_postings(_filled(found, hydrated).drop("kind"), run)
 
 
 def talent_cz(pages: DataFrame, run: Run) -> DataFrame:
     """A page that adds no JSON-LD posting of its own is read by its heading cards."""
-    structured = first_wins(
-        ld_rows(ld_items(pages, TALENT_CZ), TALENT_CZ).where(text(F.col("url")) != ""),
-        ["source", "url"],
-        ORDER_COLUMNS,
+    found = ld_and_cards(pages, TALENT_CZ, heading_cards(_holding("view?id=")))
+    is_card = F.col("kind") == 1
+    found = found.where(
+        (is_card & F.contains("card.href", F.lit("view?id="))) | (~is_card & (text(F.col("url")) != ""))
     )
-    productive = structured.select("source", "seq").distinct()
-    # cards are taken out before the join: they move, the pages do not
-    with_cards = pages.where(F.contains("payload", F.lit("view?id=")))
-    every = explode_items(with_cards, heading_cards(F.col("payload")), "card")
-    cards = every.select("source", "source_rank", "seq", "pos", "card.*").join(
-        productive, ["source", "seq"], "left_anti"
+    # the pages whose posting is the first one with its link
+    order = F.struct(*ORDER_COLUMNS)
+    productive = (
+        found.where(~is_card).groupBy("source", "url").agg(F.min_by("seq", order).alias("seq")).select("source", "seq").distinct()
     )
-    line = F.get(F.filter("lines", lambda s: F.contains(s, F.lit("•"))), F.lit(0))
+    line = F.get(F.filter("card.lines", lambda s: F.contains(s, F.lit("•"))), F.lit(0))
     dot = F.instr(line, "•")
-    fallback = cards.where(F.contains("href", F.lit("view?id="))).select(
-        "source", "source_rank", "seq", "pos",
-        absolute(F.col("href"), TALENT_HOST).alias("url"),
-        "title",
-        or_default(strip(F.substring(line, F.lit(1), dot - 1)), "(via Talent.com)").alias("company"),
-        or_default(strip(F.substring(line, dot + 1, F.length(line))), "Czech Republic").alias("location"),
-        F.when(F.contains(F.lower("title"), F.lit("remote")), "remote").otherwise("").alias("remote_type"),
-        F.lit("").alias("description"),
-        F.lit(None).cast("string").alias("posted_date"),
-    )
-    return finish_postings(_at_stage(structured, 0).unionByName(_at_stage(fallback, 1)), run)
+    headed = {
+        "url": absolute(F.col("card.href"), TALENT_HOST),
+        "title": F.col("card.title"),
+        "company": or_default(strip(F.substring(line, F.lit(1), dot - 1)), "(via Talent.com)"),
+        "location": or_default(strip(F.substring(line, dot + 1, F.length(line))), "Czech Republic"),
+        "remote_type": F.when(F.contains(F.lower("card.title"), F.lit("remote")), "remote").otherwise(""),
+    }
+    rows = _filled(found, headed)
+    told = rows.join(productive.withColumn("_own", F.lit(True)), ["source", "seq"], "left")
+    return finish_postings(told.where(~is_card | F.col("_own").isNull()).drop("kind", "_own"), run)

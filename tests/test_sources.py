@@ -190,3 +190,11 @@ def test_modes_and_details_of_places(spark):
     daily = read_places(names, raw, RUN, "daily").collect()
     assert [r.name for r in daily] == ["A!"] and len(daily[0].photos) == 9
     assert read_places(("nobody",), raw, RUN).count() == 0
+
+
+@pytest.mark.parametrize(("source", "scans"), [("welcometothejungle", 1), ("dynamitejobs", 2), ("talent_cz", 2)])
+def test_pages_are_not_read_again_and_again(spark, tmp_path, source, scans):
+    path = str(tmp_path / "raw")
+    landed(spark, source, "<p>x</p>").write.parquet(path)
+    plan = read_source(source, spark.read.parquet(path), RUN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == scans
