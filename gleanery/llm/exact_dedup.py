@@ -41,17 +41,14 @@ def _features(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _repeated(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-
-
 def refine(docs: DataFrame, text: str = "text", words: int = FILTER_WORDS) -> DataFrame:
     """Every row with its keys: ``row``, ``body``, ``size``, ``head``, ``full`` (null where no other text can be equal)."""
     store = common.scratch(docs, "exact-dedup")
     features = _features(docs, text)
     thin = store.save(features.select("size", "head"), "features")
-    lengths = _repeated(thin, "size")
-    groups = _repeated(thin.join(lengths, "size", "left_semi"), "size", "head")
+    heads = thin.groupBy("size", "head").agg(F.count(F.lit(1)).alias("rows"))
+    lengths = heads.groupBy("size").agg(F.sum("rows").alias("n")).where("n > 1").drop("n")
+    groups = heads.join(lengths, "size", "left_semi").where("rows > 1")
     survivors = store.save(common.membership_words(groups.select(F.xxhash64("size", "head").alias("key")), "key", words), "survivors")
     key = F.xxhash64("size", "head")
     return (
@@ -63,7 +60,11 @@ def refine(docs: DataFrame, text: str = "text", words: int = FILTER_WORDS) -> Da
 
 
 def groups(keyed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(size, head, full, keep_id, group_size) of every text that occurs more than once."""
+    """(size, head, full, keep_id, group_size) of every text that occurs more than once.
+
+    Stored before it is joined, both sides of the join are scans, and Spark can split the
+    partition of a large group.
+    """
     return (
         keyed.where(F.col("full").isNotNull())
         .groupBy("size", "head", "full")
@@ -89,8 +90,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     keyed = refine(docs, text).select(
         F.col("row")[doc_id].alias("doc_id"), "size", "head", "full", F.sha2("body", 256).alias("text_sha256")
     )
-    keyed = common.scratch(docs, "exact-dedup").save(keyed, "keyed")
-    return decide(keyed, groups(keyed)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    store = common.scratch(docs, "exact-dedup")
+    keyed = store.save(keyed, "keyed")
+    return decide(keyed, store.save(groups(keyed), "groups")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
