@@ -32,8 +32,7 @@ def distinct_prints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     common.small_batches(spark)
     found = simhash.near_duplicates(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    gone = common.scratch(docs, "near-dedup").save(gone, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return common.without(docs, [docs["doc_id"]], gone)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,30 @@ def member_word(key: Column, words: int) -> Column:
     return (F.pmod(key, F.lit(words * 64)) / 64).cast("long")
 
 
+FILTER_WORDS = 1 << 17
+
+
+def without(rows: DataFrame, keys: list[Column], gone: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """``rows`` but those whose keys are in ``gone`` (the same keys, as its columns; null equals null).
+
+    A bit set of fixed size tells the rows that certainly stay: they are passed on where
+    they are. Only the others, those that go and a few more, are moved and compared.
+    """
+    store = scratch(rows, "without")
+    names = [f"key_{n}" for n in range(len(keys))]
+    gone = store.save(gone.toDF(*names).distinct(), "gone")
+    bits = store.save(membership_words(gone.select(F.xxhash64(*names).alias("hash")), "hash", words), "bits")
+    keyed = rows.select(F.struct("*").alias("row"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    keyed = keyed.withColumn("hash", F.xxhash64(*names)).withColumn("word", member_word(F.col("hash"), words))
+    flagged = keyed.join(F.broadcast(bits), "word", "left").withColumn("maybe", probable_member(F.col("hash"), F.col("mask"), words))
+    out = gone.toDF(*(f"gone_{n}" for n in range(len(keys))))
+    same = F.lit(True)
+    for n, name in enumerate(names):
+        same = same & F.col(name).eqNullSafe(F.col(f"gone_{n}"))
+    compared = flagged.where("maybe").join(out, same, "left_anti")
+    return flagged.where("not maybe").select("row").unionByName(compared.select("row")).select("row.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece have about ``most`` bytes together (a longer text stays whole)."""
     for batch in batches:

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from gleanery.llm import common
 
 PREFIX = 64
-FILTER_WORDS = 1 << 17
 
 
 def normalised(text: Column) -> Column:
@@ -41,7 +40,7 @@ def _features(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def refine(docs: DataFrame, text: str = "text", words: int = FILTER_WORDS) -> DataFrame:
+def refine(docs: DataFrame, text: str = "text", words: int = common.FILTER_WORDS) -> DataFrame:
     """Every row with its keys: ``row``, ``body``, ``size``, ``head``, ``full`` (null where no other text can be equal)."""
     store = common.scratch(docs, "exact-dedup")
     features = _features(docs, text)
@@ -96,8 +95,16 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    keyed = refine(docs, text).withColumn("own", F.col("row")[doc_id]).drop("body")
+    """The rows of ``docs`` that stay, with their columns.
+
+    What goes is decided on thin rows, known again by id and hash of the text as it is;
+    texts are moved only where they probably go.
+    """
     store = common.scratch(docs, "exact-dedup")
-    found = store.save(groups(keyed, "own"), "groups")
-    return decide(keyed, found, "own").where("kept").select("row.*")
+    row = F.col("row")
+    thin = refine(docs, text).select(
+        row[doc_id].alias("own"), F.xxhash64(common.whole(row[text])).alias("raw"), "size", "head", "full"
+    )
+    thin = store.save(thin, "thin")
+    gone = decide(thin, store.save(groups(thin, "own"), "groups"), "own").where(~F.col("kept")).select("own", "raw")
+    return common.without(docs, [docs[doc_id], F.xxhash64(common.whole(docs[text]))], gone)

@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from gleanery.llm import common
 
 WORDS = 50
-FILTER_WORDS = 1 << 17
 
 
 def windows(text: bytes, least: int = WORDS) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -86,7 +85,7 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, least: int = WORDS, words: int = FILTER_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, least: int = WORDS, words: int = common.FILTER_WORDS) -> DataFrame:
     """(doc_id, content, runs): the runs of lines (first, last) that repeat earlier ones; ``docs`` as made by ``_keyed``."""
     store = common.scratch(docs, "line-dedup")
     every = store.save(_windows(docs, least), "windows")
