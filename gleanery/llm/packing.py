@@ -32,7 +32,7 @@ from gleanery.llm import common
 
 MOST = 4096
 END = 2
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 # How the vocabulary cuts a word, for lower-case Latin letters, digits and ASCII signs.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")

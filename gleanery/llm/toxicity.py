@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ SHARED = 2.0
 STRONGEST = 2
 SAMPLE = 20_000
 FOLDS = 5
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -240,6 +241,7 @@ def score(docs: DataFrame, model: Ratios, doc_id: str = "doc_id", text: str = "t
         for batch in common.slices(batches, "text"):
             found = pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "score"])
+        own.known.clear()  # the worker goes on to other tasks
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), common.whole(docs[text]).alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
@@ -253,8 +255,10 @@ def keep_ordinary(docs: DataFrame, model: Ratios, text: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score_of(texts):
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        return texts.map(own.score, na_action=None)
+        for texts in batches:
+            yield texts.map(own.score)
+        own.known.clear()  # the worker goes on to other tasks
 
     return docs.where(score_of(common.whole(docs[text])) < 0.5)
