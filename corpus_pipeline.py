@@ -37,7 +37,8 @@ def distinct_prints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    # the workers come from the other stages: less text at once keeps them small
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), at_once=4 << 20)
 
 
 STAGES = [("toxicity", ordinary), ("exact_dedup", distinct_texts), ("near_dedup", distinct_prints), ("packing", sequences)]

@@ -106,16 +106,25 @@ def lengths(n: int, most: int = MOST) -> list[int]:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", most: int = MOST, end: int = END
+    docs: DataFrame,
+    tokenizer: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    most: int = MOST,
+    end: int = END,
+    at_once: int = 8 << 20,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit little-endian), sequence_id, offset."""
+    """One row per piece: doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit little-endian), sequence_id, offset.
+
+    A task looks up ``at_once`` bytes of text together: fewer need less memory and more time.
+    """
     if most < 1 or most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.load(tokenizer)
         last = np.array([end], "<u4").tobytes()
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", at_once):
             flat, bounds = words.ids(batch.column("text"))
             owner, start, length, total, ids = [], [], [], [], []
             for row in range(batch.num_rows):
