@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator, Sequence
-from email import message_from_string, policy
-from email.message import EmailMessage
+from datetime import date
+from email import message_from_string
+from email.message import Message
+from email.utils import parsedate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,27 +61,34 @@ def candidate_messages(
     return chosen.drop("_by_sender")
 
 
-def _leaves(message: EmailMessage) -> Iterator[EmailMessage]:
+def _leaves(message: Message) -> Iterator[Message]:
     """Parts that hold content, through multiparts and forwarded messages."""
     pending = [message]
     while pending:
         part = pending.pop()
-        if part.is_multipart():
-            pending += [p for p in part.get_payload() if isinstance(p, EmailMessage)][::-1]
+        inner = part.get_payload()
+        if isinstance(inner, list):
+            pending += inner[::-1]
         else:
             yield part
 
 
-def _content(part: EmailMessage) -> str:
+def _content(part: Message) -> str:
+    """The text of a part; one that travels as it is has been text all along."""
+    coding = str(part.get("Content-Transfer-Encoding", "")).strip().lower()
+    if coding not in ("base64", "quoted-printable"):
+        return str(part.get_payload())
+    charset = str(part.get_param("charset") or "utf-8")
     try:
-        return part.get_content(errors="replace")
-    except (LookupError, ValueError):  # a charset nobody knows, or a broken encoding
-        return bytes(part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+        codecs.lookup(charset)
+    except LookupError:
+        charset = "utf-8"
+    return bytes(part.get_payload(decode=True)).decode(charset, "replace")
 
 
 def body_and_date(raw: str) -> tuple[str, str | None]:
     """HTML parts if there are any, else the text parts, and the ISO day of the mail."""
-    message = message_from_string(raw, policy=policy.default)
+    message = message_from_string(raw)
     shown = [p for p in _leaves(message) if p.get_content_disposition() != "attachment"]
     bodies = ""
     for kind in ("text/html", "text/plain"):
@@ -86,11 +96,12 @@ def body_and_date(raw: str) -> tuple[str, str | None]:
         if chosen:
             bodies = "\n".join(chosen)
             break
+    sent = parsedate(str(message["Date"] or ""))
     try:
-        sent = message["Date"].datetime if message["Date"] else None
-    except (AttributeError, TypeError, ValueError):
-        sent = None
-    return bodies, sent.date().isoformat() if sent else None
+        day = date(*sent[:3]).isoformat() if sent else None
+    except ValueError:
+        day = None
+    return bodies, day
 
 
 @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("day", T.StringType())]))
