@@ -13,20 +13,27 @@ distances and the triangle inequality holds.
    around one pivot. |d(query, pivot) - d(vector, pivot)| bounds the distance from below and
    so the score from above. Annuli are opened from the most promising one on; a query leaves
    as soon as the bound of what is left is below its k-th best score so far.
-4. The tasks' best lists are merged per query.
+4. Vectors with an integer beyond 2^24 in magnitude ("wide" ones) stay out of the index,
+   whose bounds they would make useless. They meet every query, and wide queries meet every
+   vector, in a scan: floating point with an error bound tells which products may be among
+   the k best, and those are summed as Python integers.
+5. The tasks' best lists are merged per query.
 
 Scores are exact: products are summed in floating point only where that is exact, otherwise
-as 64-bit integers. Bounds get a margin against rounding.
-
-Nulls and odd rows: vectors that are null, hold a null or non-finite component, or one whose
-integer is beyond 2^24 in magnitude take no part, nor do null ids; of rows that repeat an id
-the largest vector counts; shorter vectors count as filled up with zeros; equal scores go to
-the smaller id; a query with fewer than k candidates gets what there is; an empty table
-gives no rows. Other columns are ignored.
+as 64-bit integers, or as Python integers if a vector is wide. Bounds get a margin against
+rounding. ``score`` is null where it does not fit 64 bits; its rank is exact all the same.
+
+Nulls and odd rows: vectors that are null or hold a null or non-finite component take no
+part, nor do null ids; rows that repeat an id are candidates of their own, but not for each
+other, and a repeated query id gets the k best over all its rows (of identical rows, k are
+enough for that and no more are kept); shorter vectors count as filled up with zeros; equal
+scores go to the smaller id; a query with fewer than k candidates gets what there is; an
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +50,36 @@ SAMPLE = 4096
 BLOCK = 16_384
 RING = 512
 LARGEST = 1 << 24
+FOUND = "query_id long, vec_id long, score long, beyond int, exact binary"
 
 
-def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, v): one integer vector per id that takes part."""
+def _finite(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, x): the rows that take part."""
     numbers = F.transform(vectors[embedding], lambda x: x.cast("double"))
-    rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), numbers.alias("x")).where(
-        F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST / scale))
+    return vectors.select(vectors[vec_id].cast("long").alias("vec_id"), numbers.alias("x")).where(
+        F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    return rows.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("int")).alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+
+
+def _narrow(scale: int) -> Column:
+    return F.forall("x", lambda x: F.abs(x) <= LARGEST / scale)
+
+
+def _rows(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v) as given, but k of identical rows: more can't be seen in k best."""
+    copies = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    return copies.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("n")).drop("n")
+
+
+def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int, k: int) -> DataFrame:
+    """(vec_id, v): integer vectors of the rows that take part and are not wide."""
+    rows = _finite(vectors, vec_id, embedding).where(_narrow(scale))
+    return _rows(rows.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("int")).alias("v")), k)
+
+
+def wide(vectors: DataFrame, vec_id: str, embedding: str, scale: int, k: int) -> DataFrame:
+    """(vec_id, v): the other rows that take part, unscaled."""
+    return _rows(_finite(vectors, vec_id, embedding).where(~_narrow(scale)).select("vec_id", F.col("x").alias("v")), k)
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -147,27 +175,47 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best other vectors of every query; ``queries`` is a condition on ``vec_id``."""
     spark, store = vectors.sparkSession, common.scratch(vectors, "top-k")
     asked = F.pmod("vec_id", F.lit(50)) == 0 if queries is None else queries
-    taking = store.save(integers(vectors, vec_id, embedding, scale), "integers")
+    taking = store.save(integers(vectors, vec_id, embedding, scale, k), "integers")
+    beyond = store.save(wide(vectors, vec_id, embedding, scale, k), "wide")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     width, longest = taking.agg(F.max(F.size("v")), F.max(square)).first()
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    out, asking = spark.createDataFrame([], FOUND), taking.where(asked)
     if width is not None:
-        some = taking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+        key = F.xxhash64("vec_id", "v")
+        some = taking.orderBy(key, "vec_id").limit(sample).collect()
         known, known_ids = _matrix([r.v for r in some], width), np.array([r.vec_id for r in some])
         centres = farthest_first(lifted(known, longest), pivots)
         index = store.save(_keyed(taking, centres, width, longest).repartitionByRange("pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id"), "index")
-        # blocks of bounded size, in the order of a hash of the id
-        asking = taking.where(asked)
-        count = -(-asking.count() // (block // 2)) or 1
-        asking = store.save(asking.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(count))), "queries")
+        asking, count = _blocks(asking, block)
+        asking = store.save(asking, "queries")
         for number in range(count):
             rows = asking.where(F.col("block") == number).collect()
             if rows:
-                out = out.unionByName(_searched(index, _block(rows, known, known_ids, centres, width, longest, k), k, ring))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                found = _searched(index, _block(rows, known, known_ids, centres, width, longest, k), k, ring)
+                out = out.unionByName(found.withColumns({"beyond": F.lit(0), "exact": F.lit(None).cast("binary")}))
+    far_width, largest = beyond.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if far_width is not None:
+        plain, far = (df.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.lit(by).alias("by")) for df, by in ((taking, 1), (beyond, scale)))
+        width = max(far_width, width or 0)
+        shift = math.frexp(largest)[1] + scale.bit_length() + 1
+        for asks, against in ((plain.where(asked), far), (far.where(asked), far.unionByName(plain))):
+            asks, count = _blocks(asks, block)
+            asks = store.save(asks, "wide-queries")
+            for number in range(count):
+                rows = asks.where(F.col("block") == number).collect()
+                if rows:
+                    out = out.unionByName(_scanned(against, rows, width, shift, k))
+    order = F.desc("beyond"), F.desc("score"), F.desc("exact"), "vec_id"
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _blocks(asking: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Queries with the number of their block, in the order of a hash of the row, and how many blocks there are."""
+    count = -(-asking.count() // max(1, block // 2)) or 1
+    return asking.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(count))), count
+
+
 def _keyed(taking: DataFrame, centres: np.ndarray, width: int, longest: float) -> DataFrame:
     """(pivot, far, vec_id, v): nearest pivot and the distance to it; v as bytes of 32-bit integers."""
 
@@ -215,3 +263,75 @@ def _searched(index: DataFrame, block: dict, k: int, ring: int) -> DataFrame:
 
     rows = index.select("pivot", "far", "vec_id", "v").mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")]))
     return rows
+
+
+def _whole(v: list, by: int) -> list[int]:
+    """floor(by * x) of every component; beyond the range of a float, x is a whole number itself."""
+    return [math.floor(x * by) if math.isfinite(x * by) else int(x) * by for x in v]
+
+
+def _scaled(rows: list[list[int]], width: int, shift: int) -> np.ndarray:
+    """Integer vectors over 2^shift, as floats of at most 1 in magnitude."""
+    out = np.zeros((len(rows), width))
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = [math.ldexp(x, -shift) if abs(x) < 1 << 1000 else math.ldexp(x >> 100, 100 - shift) for x in v]
+    return out
+
+
+def sortable(score: int) -> bytes:
+    """Bytes in the order of the integers."""
+    size = -(-abs(score).bit_length() // 8)
+    magnitude = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x01" + magnitude if score >= 0 else b"\x00" + bytes(255 - x for x in magnitude)
+
+
+def _scan(ids: np.ndarray, queries: np.ndarray, whole: list[list[int]], batches: Iterator[tuple], width: int, shift: int, k: int) -> list[list[tuple]]:
+    """For each query its k best (-score, id, lower bound) over (ids, integer vectors) of the batches."""
+    best: list[list[tuple]] = [[] for _ in whole]
+    floor = np.full(len(whole), -np.inf)
+    reach = np.abs(queries).max(axis=1, initial=0)
+    for other, vectors in batches:
+        floats = _scaled(vectors, width, shift)
+        about = queries @ floats.T
+        error = 2.0**-50 * (width + 2) ** 2 * reach[:, None] * np.abs(floats).max(axis=1, initial=0)[None, :] + (width + 2) * 2.0**-1060
+        apart = ids[:, None] != other[None, :]
+        low = np.where(apart, about - error, -np.inf)
+        if low.shape[1] >= k:
+            floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
+        for q, c in zip(*np.nonzero(apart & (about + error >= floor[:, None])), strict=True):
+            score = sum(a * b for a, b in zip(whole[q], vectors[c], strict=False))
+            best[q].append((-score, int(other[c]), float(low[q, c])))
+        for q, found in enumerate(best):
+            if len(found) > k:
+                found.sort()
+                del found[k:]
+            if len(found) == k:
+                floor[q] = max(floor[q], min(x[2] for x in found))
+    return best
+
+
+def _scanned(against: DataFrame, rows: list, width: int, shift: int, k: int, at_once: int = 512) -> DataFrame:
+    """The best lists of a block of queries over all of ``against`` (vec_id, v, by)."""
+    shared = against.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows]), [_whole(r.v, r.by) for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, whole = shared.value
+
+        def pieces():
+            for batch in batches:
+                for at in range(0, batch.num_rows, at_once):
+                    some = batch.slice(at, at_once)
+                    v, by = some.column("v").to_pylist(), some.column("by").to_pylist()
+                    yield some.column("vec_id").to_numpy(), [_whole(x, n) for x, n in zip(v, by, strict=True)]
+
+        best = _scan(ids, _scaled(whole, width, shift), whole, pieces(), width, shift, k)
+        out = []
+        for query, found in zip(ids.tolist(), best, strict=True):
+            for minus, ident, _ in found:
+                fits = -(1 << 63) <= -minus < 1 << 63
+                out.append((query, ident, -minus if fits else None, 0 if fits else 1 if minus < 0 else -1, None if fits else sortable(-minus)))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score", "beyond", "exact"])
+
+    return against.mapInArrow(run, FOUND)
