@@ -75,3 +75,12 @@ def test_other_parameters_and_empty_table(spark):
     assert U.judge(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         U.judge(pages, strict=("",))
+
+
+def test_one_soft_term_never_blocks(spark):
+    assert max(U.SOFT.values()) < U.ENOUGH
+    urls = [f"http://a.org/{t}-education/{t}/" for t in U.SOFT] + ["http://a.org/adult/casino"]
+    pages = spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], COLUMNS)
+    want = ["allow"] * len(U.SOFT) + ["block"]
+    for soft in (U.SOFT, dict.fromkeys(U.SOFT, 5.0)):
+        assert [r.verdict for r in U.judge(pages, soft=soft).orderBy("page_id").collect()] == want
