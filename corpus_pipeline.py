@@ -2,8 +2,8 @@
 
 1. toxicity: documents that the class-conditional models find toxic go;
 2. exact_dedup: of equal texts the smallest doc_id stays;
-3. near_dedup: of documents linked by near-equal fingerprints the smallest doc_id stays
-   (rows without an id cannot be told apart and stay);
+3. near_dedup: of documents linked by near-equal fingerprints the smallest doc_id stays, with
+   one of its texts if it has several (rows without an id cannot be told apart and stay);
 4. packing: token sequences.
 
 Every stage but the last returns the columns of ``documents``. Between stages the documents
@@ -13,7 +13,6 @@ are a Parquet table in the shared folder, so a lost executor costs a task, not a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleanery.llm import common, exact_dedup, packing, simhash, toxicity
 from gleanery.llm.queries import vocabulary
@@ -30,9 +29,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_prints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
-    found = simhash.near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return common.without(docs, [docs["doc_id"]], gone)
+    return simhash.dedup(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

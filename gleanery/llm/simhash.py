@@ -71,16 +71,20 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > len(begins), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, raw: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with ``raw`` also the hash of the text as it is."""
+    more = ["raw"] if raw else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             marks = [fingerprint(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            found = pa.array(np.array(marks, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, *map(batch.column, more)], ["doc_id", "fp", *more])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), common.whole(docs[text]).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+    body = common.whole(docs[text])
+    hashed = [F.xxhash64(body).alias(name) for name in more]
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), body.alias("text"), *hashed).mapInArrow(
+        run, ", ".join(f"{name} long" for name in ("doc_id", "fp", *more))
     )
 
 
@@ -320,17 +324,42 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id it is linked to)."""
-    store = common.scratch(docs, "simhash")
-    marked = store.save(fingerprints(docs, doc_id, text), "fingerprints")
+def _named(marked: DataFrame, most: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint in ``marked`` (doc_id, fp)."""
+    store = common.scratch(marked, "simhash")
     nodes = store.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     hung = components(links(nodes, most))
     rooted = store.save(
         nodes.join(hung, nodes.fp == hung.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted"
     )
     named = store.save(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
-    named = store.save(rooted.join(named, "root").select("fp", "component_id"), "components")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """One row per document: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id it is linked to)."""
+    store = common.scratch(docs, "simhash")
+    marked = store.save(fingerprints(docs, doc_id, text), "fingerprints")
+    named = store.save(_named(marked, most).drop("root"), "components")
     return marked.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: one document per component, and rows without an id.
+
+    A document is known by its id and the hash of its text as it is. Of a component the
+    smallest doc_id stays, and of its texts, if the id has several there, the one with the
+    smallest hash. Rows that repeat id and text are one document and stay together.
+    """
+    store = common.scratch(docs, "simhash-dedup")
+    marked = store.save(fingerprints(docs, doc_id, text, raw=True), "fingerprints")
+    named = store.save(_named(marked, most), "components")
+    found = store.save(marked.where("doc_id is not null").join(named, "fp").select("doc_id", "raw", "root", "component_id"), "found")
+    first = found.where("doc_id = component_id")
+    texts = first.groupBy("root").agg(F.min("raw").alias("stays"), F.max("raw").alias("last"))
+    texts = store.save(texts.where("stays <> last").select("root", "stays"), "texts")
+    other = first.join(texts, "root").where("raw <> stays")
+    gone = found.where("doc_id <> component_id").select("doc_id", "raw").unionByName(other.select("doc_id", "raw"))
+    return common.without(docs, [docs[doc_id].cast("long"), F.xxhash64(common.whole(docs[text]))], gone)

@@ -87,3 +87,15 @@ def test_odd_rows(documents, spark):
     empty = documents([])
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_one_document_of_each_group_stays(documents, spark):
+    """An id with two texts, linked or not: what goes is a text of an id, and every group keeps one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(400)) for x in "abc")
+    # 5 leads b's group, but its other text goes to 1; 7 has both near-equal texts of c
+    rows = [(1, a), (5, a + " x"), (5, b), (6, b + " y"), (7, c), (7, c + " z"), (9, c + " w")]
+    marks = [brute_print(t) for _, t in rows]
+    root = brute_roots(set(marks))
+    assert [root[m] for m in marks] == [root[marks[i]] for i in (0, 0, 2, 2, 4, 4, 4)] and len(set(root.values())) == 3
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.distinct_prints(spark, documents(rows), SF).collect()}
+    assert {(1, a), (5, b)} < kept and len(kept) == 3 and kept - {(1, a), (5, b)} < {(7, c), (7, c + " z")}
