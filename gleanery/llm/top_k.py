@@ -8,7 +8,8 @@ distances and the triangle inequality holds.
    id). Every vector is keyed by its nearest pivot and its distance to it, and the index is
    stored in that order, dealt by range, so a crowded pivot spreads over tasks.
 2. Queries go out in blocks of ``BLOCK`` (the size that is broadcast), each with a first
-   bound: its k-th best score in the sample.
+   bound: its k-th best score in the sample. Blocks run one after the other; the best lists
+   of a block are stored and its broadcast is destroyed before the next one.
 3. A task reads the index in Arrow batches and cuts them into annuli of ``RING`` vectors
    around one pivot. |d(query, pivot) - d(vector, pivot)| bounds the distance from below and
    so the score from above. Annuli are opened from the most promising one on; a query leaves
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,7 +181,8 @@ def top_k(
     beyond = store.save(wide(vectors, vec_id, embedding, scale, k), "wide")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     width, longest = taking.agg(F.max(F.size("v")), F.max(square)).first()
-    out, asking = spark.createDataFrame([], FOUND), taking.where(asked)
+    lists, asking = store.path("best"), taking.where(asked)
+    spark.createDataFrame([], FOUND).write.parquet(lists)
     if width is not None:
         key = F.xxhash64("vec_id", "v")
         some = taking.orderBy(key, "vec_id").limit(sample).collect()
@@ -191,8 +194,8 @@ def top_k(
         for number in range(count):
             rows = asking.where(F.col("block") == number).collect()
             if rows:
-                found = _searched(index, _block(rows, known, known_ids, centres, width, longest, k), k, ring)
-                out = out.unionByName(found.withColumns({"beyond": F.lit(0), "exact": F.lit(None).cast("binary")}))
+                found, shared = _searched(index, _block(rows, known, known_ids, centres, width, longest, k), k, ring)
+                _store(found.withColumns({"beyond": F.lit(0), "exact": F.lit(None).cast("binary")}), shared, lists, k)
     far_width, largest = beyond.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if far_width is not None:
         plain, far = (df.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.lit(by).alias("by")) for df, by in ((taking, 1), (beyond, scale)))
@@ -204,10 +207,21 @@ def top_k(
             for number in range(count):
                 rows = asks.where(F.col("block") == number).collect()
                 if rows:
-                    out = out.unionByName(_scanned(against, rows, width, shift, k))
+                    _store(*_scanned(against, rows, width, shift, k), lists, k)
+    return _ranked(spark.read.schema(FOUND).parquet(lists), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their ranks."""
     order = F.desc("beyond"), F.desc("score"), F.desc("exact"), "vec_id"
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _store(found: DataFrame, shared: Broadcast, lists: str, k: int) -> None:
+    """Adds the best lists of a block to those stored and destroys what was broadcast for them."""
+    _ranked(found, k).drop("rank").write.mode("append").parquet(lists)
+    shared.destroy()
 
 
 def _blocks(asking: DataFrame, block: int) -> tuple[DataFrame, int]:
@@ -249,7 +263,8 @@ def _block(rows: list, known: np.ndarray, known_ids: np.ndarray, centres: np.nda
     }
 
 
-def _searched(index: DataFrame, block: dict, k: int, ring: int) -> DataFrame:
+def _searched(index: DataFrame, block: dict, k: int, ring: int) -> tuple[DataFrame, Broadcast]:
+    """The best lists of a block over the index, and what was broadcast for them."""
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +277,7 @@ def _searched(index: DataFrame, block: dict, k: int, ring: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(own["ids"][best.query]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
     rows = index.select("pivot", "far", "vec_id", "v").mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")]))
-    return rows
+    return rows, shared
 
 
 def _whole(v: list, by: int) -> list[int]:
@@ -310,8 +325,8 @@ def _scan(ids: np.ndarray, queries: np.ndarray, whole: list[list[int]], batches:
     return best
 
 
-def _scanned(against: DataFrame, rows: list, width: int, shift: int, k: int, at_once: int = 512) -> DataFrame:
-    """The best lists of a block of queries over all of ``against`` (vec_id, v, by)."""
+def _scanned(against: DataFrame, rows: list, width: int, shift: int, k: int, at_once: int = 512) -> tuple[DataFrame, Broadcast]:
+    """The best lists of a block of queries over all of ``against`` (vec_id, v, by), and what was broadcast for them."""
     shared = against.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows]), [_whole(r.v, r.by) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,4 +349,4 @@ def _scanned(against: DataFrame, rows: list, width: int, shift: int, k: int, at_
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score", "beyond", "exact"])
 
-    return against.mapInArrow(run, FOUND)
+    return against.mapInArrow(run, FOUND), shared

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import Broadcast, SparkContext
 
 from gleanery.llm import top_k
 from tests.llm.test_top_k import clustered, frame
@@ -53,3 +54,26 @@ def test_sortable():
     rng = random.Random(1)
     some = sorted({0, 1, -1, *(rng.choice((1, -1)) * rng.getrandbits(rng.randint(1, 900)) for _ in range(300))})
     assert sorted(some, key=top_k.sortable) == some
+
+
+def test_blocks_run_one_at_a_time(spark, monkeypatch):
+    """Only one block is broadcast at a time, and none is left when the result is there."""
+    live, most = set(), []
+    plain, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        out = plain(self, value)
+        live.add(id(out))
+        most.append(len(live))
+        return out
+
+    def destroyed(self, *args):
+        live.discard(id(self))
+        destroy(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    rows = [*clustered(40, 4, 6), (50, [1e6] * 4)]
+    got = top_k.top_k(frame(spark, rows), queries=top_k.F.col("vec_id") < 60, block=20)
+    assert len(most) > 4 and max(most) == 1 and not live
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute(rows, every=1)
