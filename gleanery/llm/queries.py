@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, common, exact_dedup, line_dedup, packing, sentence_piece, simhash, top_k, toxicity, url_filter, warc
+from gleanery.llm import (
+    centroids, chat, common, exact_dedup, fill_in_middle, line_dedup, packing, sentence_piece, simhash, substring_dedup, top_k, toxicity,
+    url_filter, warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,3 +186,82 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "removed_lines", "runs", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256")
     )
+
+
+def _op11_sql() -> str:
+    """Rounds written out one after another; distances over all pairs of a vector and a centroid."""
+    rounds = []
+    for n in range(centroids.ROUNDS + 1):
+        rounds.append(
+            f"""a{n} AS MATERIALIZED (
+                SELECT r, vec_id, v, arg_min(number, (distance, number)) AS cluster, min(distance) AS distance
+                FROM (SELECT e.r, e.vec_id, e.v, c.number,
+                             list_sum(list_transform(list_zip(e.v, c.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS distance FROM e, c{n} c)
+                GROUP BY r, vec_id, v)"""
+        )
+        if n < centroids.ROUNDS:
+            rounds.append(
+                f"""c{n + 1} AS MATERIALIZED (
+                    SELECT c.number, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN (
+                        SELECT cluster, list(floor(total / n)::BIGINT ORDER BY i) AS c FROM (
+                            SELECT cluster, i, sum(x)::DOUBLE AS total, count(*) AS n
+                            FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY cluster, i)
+                        GROUP BY cluster) m ON m.cluster = c.number)"""
+            )
+    last = centroids.ROUNDS
+    return f"""
+    WITH e AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+        SELECT (row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), v) - 1)::INT AS number, v AS c
+        FROM e ORDER BY number LIMIT {centroids.CLUSTERS}),
+    {", ".join(rounds)}
+    SELECT a.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+           (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+    FROM a{last} a JOIN c{last} c ON a.cluster = c.number
+    """
+
+
+@_query("op11_centroids", _op11_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+@_query(
+    "op12_fill_in_middle",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || doc_id) AS h FROM documents),
+    t AS (SELECT *, regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+                 ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                 CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+    p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(body) AS restored_sha256
+    FROM p
+    """,
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return fill_in_middle.restore(rows).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("text_sha256").alias("restored_sha256")
+    )
+
+
+@_query(
+    "op13_substring_dedup",
+    r"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS run FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+    again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY run) AS n FROM s) WHERE n > 1),
+    gone AS (SELECT DISTINCT r, i + k AS i FROM again, range(35) t(k)),
+    kept AS (SELECT r, i, word FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN gone USING (r, i)),
+    k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM kept GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+    """,
+)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
