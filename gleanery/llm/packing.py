@@ -3,15 +3,16 @@
 A document's tokens (its ids and one end id) are cut into pieces whose lengths are powers of
 two: as many pieces of ``most`` tokens as fit, then the binary digits of the rest, largest
 first. A piece is a sequence of its own, so no sequence crosses documents and none has
-padding; pieces of equal length form a bucket (``write_buckets`` stores them so), from which
-batches of equal length are drawn. No row ever meets another one: there is no shuffle and no
-group, and a task holds a few MB of text.
+padding; pieces of equal length form a bucket (``write_buckets`` stores them so, each task its
+own files), from which batches of equal length are drawn. No row ever meets another one: there
+is no shuffle and no group, and a task holds a few MB of text.
 
-Tokens are looked up by word. The vocabulary's words never contain white space, so a text's
-ids are those of its blank-separated chunks in order. Each batch is split and its distinct
-chunks found by Arrow; chunks of plain Latin letters, digits and signs are cut into the
-vocabulary's pieces and tokenised piece by piece, any other chunk goes through the whole
-tokenizer. Both are remembered up to ``REMEMBERED`` entries.
+Tokens are looked up by piece. The vocabulary's words never contain white space, and in a text
+of plain Latin letters, digits and signs they lie within the pieces that the vocabulary cuts a
+text into. So each distinct piece is tokenised once and texts are put together from pieces. In
+any other text the blank-separated chunks that are not plain go through the whole tokenizer.
+Pieces are remembered up to ``REMEMBERED_BYTES`` in two halves: what is used again moves to the
+recent half, the older one is forgotten as a whole; very long pieces are not remembered.
 
 Nulls: a null text is empty and has the end id alone; a null doc_id is passed on. Repeated
 rows are packed once per row. An empty table gives no rows. Other columns are ignored.
@@ -24,23 +25,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.llm import common
 
 MOST = 4096
 END = 2
-REMEMBERED = 250_000
+REMEMBERED_BYTES = 64 << 20  # what a worker remembers of pieces and their ids
+LONGEST = 256  # characters; a longer piece is not remembered
+ENTRY_BYTES = 180  # what is taken for a remembered piece besides its text and ids
 
 # How the vocabulary cuts a word, for lower-case Latin letters, digits and ASCII signs.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x00-\x20a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_CHUNKS = re.compile(r"[^\t-\r ]+")
+
+
+class _Known:
+    """Ids of pieces one after another, and where each piece's begin."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.pool, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.bytes = 0
+
+    def add(self, pieces: list[str], ids: list[np.ndarray]) -> None:
+        first = len(self.sizes)
+        self.codes.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.pool = np.concatenate([self.pool, *ids])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.bytes += sum(map(len, pieces)) + 4 * sum(map(len, ids)) + ENTRY_BYTES * len(pieces)
+
+    def of(self, pieces: list[str]) -> list[np.ndarray]:
+        ends = np.cumsum(self.sizes)
+        return [self.pool[ends[c] - self.sizes[c] : ends[c]] for c in map(self.codes.__getitem__, pieces)]
 
 
 class WordIds:
-    """Token ids of blank-separated chunks, as bytes of little-endian unsigned 32-bit ids."""
+    """Token ids of texts, as unsigned 32-bit integers."""
 
     _loaded: dict[str, WordIds] = {}
 
@@ -50,8 +74,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.spelling = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.recent, self.older = _Known(), _Known()
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -59,44 +82,50 @@ class WordIds:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelled = piece if piece.isascii() else self.spelling.pre_tokenize_str(piece)[0][0]
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            return b"".join(map(self._piece, _PIECES.findall(chunk.lower())))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _tokenized(self, piece: str) -> np.ndarray:
+        if piece[0] == "\0":  # a chunk that is not plain
+            return np.array(self.tokenizer.encode(piece[1:], add_special_tokens=False).ids, "<u4")
+        spelled = piece if piece.isascii() else self.spelling.pre_tokenize_str(piece)[0][0]
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4")
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    def _pieces(self, text: str) -> list[str]:
+        if self._plain(text):
+            return _PIECES.findall(text.lower())
+        out = []
+        for chunk in _CHUNKS.findall(text):
+            out += _PIECES.findall(chunk.lower()) if self._plain(chunk) else ["\0" + chunk]
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and the number of ids before each text (one more than texts)."""
-        words = pc.ascii_split_whitespace(texts)
-        coded = words.flatten().dictionary_encode()
-        chunks = self.chunks
-        found = []
-        for chunk in coded.dictionary.to_pylist():
-            ids = chunks.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk) if chunk else b""
-                if len(chunks) >= REMEMBERED:
-                    chunks.clear()
-                chunks[chunk] = ids
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool = np.frombuffer(b"".join(found), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        after = np.cumsum(each)
-        flat = pool[np.repeat(begins[codes] - (after - each), each) + np.arange(after[-1] if len(after) else 0)] if len(codes) else pool
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return flat, np.concatenate([[0], after])[bounds]
+        pieces: list[str] = []
+        bounds = [0]
+        for text in texts.to_pylist():
+            pieces += self._pieces(text)
+            bounds.append(len(pieces))
+        if self.recent.bytes > REMEMBERED_BYTES // 2:
+            self.older, self.recent = self.recent, _Known()
+        now = self.recent
+        new = list(dict.fromkeys([p for p in pieces if p not in now.codes]))
+        again = [p for p in new if p in self.older.codes]
+        now.add(again, self.older.of(again))
+        unknown = [p for p in new if p not in now.codes]
+        now.add(short := [p for p in unknown if len(p) <= LONGEST], list(map(self._tokenized, short)))
+        if len(short) < len(unknown):  # for this batch alone
+            passing = _Known()
+            passing.codes, passing.pool, passing.sizes = dict(now.codes), now.pool, now.sizes
+            passing.add(long := [p for p in unknown if len(p) > LONGEST], list(map(self._tokenized, long)))
+            now = passing
+        codes = np.fromiter(map(now.codes.__getitem__, pieces), np.int64, len(pieces))
+        begins = np.cumsum(now.sizes) - now.sizes
+        each = now.sizes[codes]
+        after = np.concatenate([[0], np.cumsum(each)])
+        flat = now.pool[np.repeat(begins[codes] - after[:-1], each) + np.arange(after[-1])]
+        return flat, after[np.array(bounds)]
 
 
 def lengths(n: int, most: int = MOST) -> list[int]:
@@ -149,6 +178,8 @@ def pack(
     return cut_rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def write_buckets(packed: DataFrame, path: str) -> None:
-    """Sequences of equal length next to each other."""
+def write_buckets(packed: DataFrame, path: str) -> DataFrame:
+    """Store sequences of equal length next to each other, in a folder per length, and read them back."""
     packed.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    stored = T.StructType([*packed.schema.fields, T.StructField("bucket", T.LongType())])
+    return packed.sparkSession.read.schema(stored).parquet(path)

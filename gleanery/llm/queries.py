@@ -54,8 +54,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    return packed.select(
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.write_buckets(packed, common.scratch(docs, "packing").path("sequences")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -30,7 +31,8 @@ def test_ids_equal_the_whole_tokenizer(spark):
 
 
 def test_a_small_memory_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 2000)
+    monkeypatch.setattr(packing, "LONGEST", 20)
     import pyarrow as pa
 
     words = packing.WordIds(PATH)
@@ -41,6 +43,38 @@ def test_a_small_memory_gives_the_same(spark, monkeypatch):
         assert flat[bounds[i] : bounds[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 1 << 20)
+    words = packing.WordIds(PATH)
+    whole = Tokenizer.from_file(PATH)
+    for i in range(12):
+        texts = [f"{i}" + "x" * 1_000_000, "\u3000" * 1_000_000, " ".join(f"w{i}k{k} word{k % 7}é{'abcdefghij'[i % 10]}" + chr(97 + k % 26) * (k % 40) for k in range(4000))]
+        flat, bounds = words.ids(pa.array(texts))
+        assert flat[bounds[2] :].tolist() == whole.encode(texts[2], add_special_tokens=False).ids
+        for half in (words.recent, words.older):
+            assert half.bytes >= sum(len(p) for p in half.codes) + half.pool.nbytes
+            assert half.bytes <= (1 << 19) + 4000 * 260
+    assert words.older.codes and words.recent.codes
+
+
+def test_random_texts_equal_the_whole_tokenizer():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    plain = list("abzZ019'.,-!<|>") + ["'s", "'LL", "É", "ß", "ÿ", " ", "\n", "don't", "I'VE"]
+    odd = ["e\u0301", "\u0301", "½", "\u00a0", "\u3000", "<|endoftext|>", "日", "😀", "ﬁ", "İ", "\u200d", "\x85", "\x1c", "\ufeff", "\x7f", "\x00", "×", "º"]
+    whole = Tokenizer.from_file(PATH)
+    texts = ["".join(rng.choices(plain, k=rng.randint(0, 30))) for _ in range(2000)]
+    texts += ["".join(rng.choices(plain * 2 + odd, k=rng.randint(0, 30))) for _ in range(2000)]
+    words = packing.WordIds(PATH)
+    for begin in range(0, len(texts), 500):
+        flat, bounds = words.ids(pa.array(texts[begin : begin + 500]))
+        for i, text in enumerate(texts[begin : begin + 500]):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 10_000])
 def test_lengths(n):
     cut = packing.lengths(n)
@@ -57,8 +91,11 @@ def test_sequences_and_buckets(spark, tmp_path):
     assert sorted((str(r.doc_id), r.start, r.length, r.doc_tokens) for r in rows) == [
         ("1", 0, 4, 4), ("1", 0, 4, 4), ("None", 0, 2, 2),
     ]
-    packing.write_buckets(packed, str(tmp_path / "out"))
-    assert {r.bucket for r in spark.read.parquet(str(tmp_path / "out")).select("bucket").distinct().collect()} == {2, 4}
+    back = packing.write_buckets(packed, str(tmp_path / "out"))
+    assert sorted(map(str, back.drop("bucket").collect())) == sorted(map(str, rows))
+    assert {(r.bucket, r.length) for r in back.collect()} == {(2, 2), (4, 4)}
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"bucket=2", "bucket=4"}
+    assert packing.write_buckets(packed.limit(0), str(tmp_path / "none")).count() == 0
 
 
 def test_digest_and_empty_table(spark):
