@@ -24,12 +24,28 @@ from gleanery.sources.registry import (
 
 RUN = Run(datetime(2026, 6, 30, 12))
 
-ALERT = """<div><table><tbody>
-<tr><td><p><a href='https://www.linkedin.com/comm/jobs/view/41007/?ref=mail'>Chef de projet données</a></p>
-<div>Ateliers Morvan</div><div>Lyon, France (On-site)</div><div>Promoted</div><div>3 days ago</div>
-<a href='https://www.linkedin.com/comm/jobs/view/41007/?ref=logo'><img alt=''></a><a href='https://www.linkedin.com/comm/jobs/view/41007/'>See job</a></td></tr>
-<tr><td><a href='https://www.linkedin.com/comm/jobs/view/52990/'>Datový analytik</a><br>Vltava Data<br>Brno, Česko (Hybrid)</td></tr>
-</tbody></table></div>"""
+# A digest as lists in lists: what counts of an entry is told by the rules, not by its layout.
+# (number, title, lines below it, expected company, place and mode; None: no posting)
+ENTRIES = [
+    (7, "Pastelero", ["12 applicants", "Horno Sur"], ("Horno Sur", "", "")),
+    (7, "Pastelero otra vez", ["Horno Norte"], None),  # the number came before
+    (8, "Qa", ["Kanzlei Nord"], None),  # too short a title
+    (9, "APPLY", ["Kanzlei Nord"], None),  # noise in place of a title
+    (640, "Glass  blower", ["Oulu, Suomi (remote)", "4 weeks ago", "Lasi Oy"], ("Lasi Oy", "Oulu, Suomi (remote)", "remote")),
+    (12, "Vedoucí skladu", ["Vedoucí skladu", "saved"], ("", "", "")),  # its own title is no company
+]
+
+
+def digest(entries):
+    shown = []
+    for number, title, lines, _ in entries:
+        link = f"http://mail.linkedin.com/x?to=/jobs/view/{number}&n={number}"
+        shown.append(f"<li><ul>{''.join(f'<li>{x}</li>' for x in [f'<b><a href={json.dumps(link)}>{title}</a></b>', *lines])}</ul></li>")
+    return "<h3>Neu heute</h3><ol><li><a href='https://www.linkedin.com/jobs/search'>Everything</a></li>" + "".join(shown) + "</ol>"
+
+
+ALERT = digest(ENTRIES)
+EXPECTED = {number: want for number, _, _, want in ENTRIES if want}
 
 
 def landed(spark, source, *texts):
@@ -49,20 +65,24 @@ def bodies(spark, *texts):
     return spark.createDataFrame([(i, t, "2026-06-03") for i, t in enumerate(texts)], "uid long, body string, day string")
 
 
-def test_alert_cards(spark):
-    got = {r.url.rstrip("/").rpartition("/")[2]: r for r in M.linkedin(bodies(spark, ALERT), RUN).collect()}
-    assert set(got) == {"41007", "52990"}
-    lyon, brno = got["41007"], got["52990"]
-    assert (lyon.title, lyon.company, lyon.location) == ("Chef de projet données", "Ateliers Morvan", "Lyon, France (On-site)")
-    assert (brno.title, brno.company, brno.remote_type) == ("Datový analytik", "Vltava Data", "hybrid")
-    for r in got.values():
-        assert r.source == "linkedin" and "email-alert" in r.tags and r.posted_ts == datetime(2026, 6, 3)
+def test_entries_of_a_digest(spark):
+    rows = M.linkedin(bodies(spark, ALERT), RUN).collect()
+    assert {r.url: (r.company, r.location, r.remote_type) for r in rows} == {f"{M.JOB_URL}{n}/": want for n, want in EXPECTED.items()}
+    assert sorted(r.title for r in rows) == ["Glass blower", "Pastelero", "Vedoucí skladu"]
+    assert {(r.posted_ts, r.tags[0]) for r in rows} == {(datetime(2026, 6, 3), "email-alert")}
 
 
-def test_bodies_without_and_around_cards(spark):
-    quoted = "<p>Weitergeleitet von k@example.org</p><blockquote>" + ALERT + "</blockquote>"
-    rows = M.linkedin(bodies(spark, None, quoted, ""), RUN).collect()
-    assert sorted((r.seq, r.company) for r in rows) == [(1, "Ateliers Morvan"), (1, "Vltava Data")]
+@pytest.mark.parametrize("order", [(5, 4, 3, 2, 1, 0), (1, 0), (3,), ()])
+def test_entries_in_any_order_and_place(spark, order):
+    """The first titled link of a number tells its posting; nothing around the list matters."""
+    some = [ENTRIES[i] for i in order]
+    first = {}
+    for number, title, _, _ in some:
+        if len(title) > 2 and title != "APPLY":
+            first.setdefault(number, title.replace("  ", " "))
+    page = f"<div><i>Fwd</i><blockquote>{digest(some)}</blockquote></div>"
+    rows = M.linkedin(bodies(spark, "", page, None), RUN).collect()
+    assert {(r.seq, r.url, r.title) for r in rows} == {(1, f"{M.JOB_URL}{n}/", t) for n, t in first.items()}
 
 
 def test_mail_bodies(spark):
@@ -73,11 +93,11 @@ def test_mail_bodies(spark):
     mail.add_alternative(ALERT, subtype="html")
     mail.add_attachment("<p>attached</p>", subtype="html", filename="a.html")
     body, day = M.body_and_date(mail.as_string())
-    assert "view/41007" in body and "Datový" in body and "nur Text" not in body and "attached" not in body and day == "2026-06-09"
+    assert "view/640" in body and "Vedoucí" in body and "nur Text" not in body and "attached" not in body and day == "2026-06-09"
     outer = EmailMessage()
     outer.set_content("see below")
     outer.add_attachment(mail)
-    assert "view/52990" in M.body_and_date(outer.as_string())[0]
+    assert "view/12&" in M.body_and_date(outer.as_string())[0]
     assert M.body_and_date("Date: someday\n\nx") == ("x", None)
     assert M.body_and_date("Content-Type: text/plain; charset=klingon\n\nx")[0] == "x"
     assert M.body_and_date("") == ("", None)
