@@ -160,7 +160,7 @@ def bands(grams: Column) -> Column:
 
 
 def _ratio_at_least(threshold: float):
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("boolean")  # not deterministic: else the filter would be taken below the spreading of its pairs
     def similar(later: pd.Series, earlier: pd.Series) -> pd.Series:
         matcher, known = SequenceMatcher(None), None
 
@@ -174,7 +174,7 @@ def _ratio_at_least(threshold: float):
 
         return pd.Series([one(a, b) for a, b in zip(later, earlier, strict=True)], dtype=bool)
 
-    return similar
+    return similar.asNondeterministic()
 
 
 def candidates(

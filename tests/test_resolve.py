@@ -98,3 +98,9 @@ def test_hot_bigrams_are_split(spark, monkeypatch):
 def test_low_threshold_is_refused(spark):
     with pytest.raises(ValueError):
         profile(frame(spark, ["ab"]), 0.7)
+
+
+def test_pairs_are_spread_before_they_are_verified(spark):
+    table = Scratch(spark, "test").save(profile(frame(spark, ["abcdefgh", "abcdefgi", "zzz"])), "p").withColumn("is_target", F.lit(True))
+    plan = similar_pairs(table, table.drop("is_target"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
