@@ -1,7 +1,14 @@
-"""Relevance score: additive rules as one column expression, no Python on the way."""
+"""Relevance score: additive rules as one column expression, no Python on the way.
+
+All rules but the one on age depend on the row and the preferences alone. Their sum is the
+*base score*; stored next to a key of the preferences it was made with, it lets a later run
+add the points for age and leave the texts alone.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,26 +40,65 @@ def _points(*rules: tuple[Column, int]) -> Column:
     return chain.otherwise(0)
 
 
+def preference_key(prefs: Preferences) -> str:
+    """Equal for preferences that give every row the same base score."""
+    rules = (
+        prefs.strong, prefs.good, prefs.avoid, prefs.priority_places, prefs.acceptable_places, prefs.preferred_modes,
+        prefs.contract_types, prefs.feedback, CONTRACT_WORDS, STRONG_TITLE, STRONG_TEXT, GOOD_TITLE, GOOD_TEXT, AVOID,
+        PLACE_PRIORITY, PLACE_ACCEPTABLE, MODE_PREFERRED, MODE_MENTIONED, CONTRACT,
+    )
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+def _searched(df: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Add the texts that rules look into, only where they are ``needed``."""
+    texts = {
+        "_title": F.lower(text(F.col("title"))),
+        "_text": haystack(
+            F.col("title"), F.col("company"), F.col("description"), F.col("location"),
+            joined(F.col("tags")),
+        ),
+    }
+    return df.withColumns(texts if needed is None else {k: F.when(needed, v) for k, v in texts.items()})
+
+
 def score(df: DataFrame, prefs: Preferences, run: Run, name: str = "score") -> DataFrame:
     """Add the relevance score.  The search text is built once per row and dropped."""
     if "posted_ts" not in df.columns:
         dated = with_wall_clock(df, "posted_date", "posted_ts", run.day)
         return score(dated, prefs, run, name).drop("posted_ts")
-    prepared = df.withColumns(
-        {
-            "_title": F.lower(text(F.col("title"))),
-            "_text": haystack(
-                F.col("title"), F.col("company"), F.col("description"), F.col("location"),
-                joined(F.col("tags")),
-            ),
-            "_age": age_in_days(F.col("posted_ts"), run.at),
-        }
-    )
-    return prepared.withColumn(name, points(prefs).cast("int")).drop("_title", "_text", "_age")
-
-
-def points(prefs: Preferences) -> Column:
-    title, body, age = F.col("_title"), F.col("_text"), F.col("_age")
+    total = base_points(prefs) + age_points(run)
+    return _searched(df).withColumn(name, total.cast("int")).drop("_title", "_text")
+
+
+def score_base(df: DataFrame, prefs: Preferences) -> DataFrame:
+    """Add ``base_score`` and ``scored_by``, the key of the preferences it was made with."""
+    based = _searched(df).withColumn("base_score", base_points(prefs).cast("int")).drop("_title", "_text")
+    return based.withColumn("scored_by", F.lit(preference_key(prefs)))
+
+
+def score_stored(df: DataFrame, prefs: Preferences, run: Run, current: bool = False) -> DataFrame:
+    """Replace ``score`` by the stored base score and today's points for age.
+
+    Rows with a base score of other preferences, or none, get a new one; only their texts are
+    looked into. ``current`` says that there are no such rows: then no rule on texts is planned.
+    """
+    if not current:
+        key = preference_key(prefs)
+        stale = ~F.col("scored_by").eqNullSafe(F.lit(key))
+        anew = F.when(stale, base_points(prefs).cast("int")).otherwise(F.col("base_score"))
+        df = _searched(df, stale).withColumn("base_score", anew).drop("_title", "_text").withColumn("scored_by", F.lit(key))
+    return df.withColumn("score", (F.col("base_score") + age_points(run)).cast("int"))
+
+
+def age_points(run: Run) -> Column:
+    age = age_in_days(F.col("posted_ts"), run.at)
+    return _points(*[(age <= days, value) for days, value in AGE_POINTS], (age > STALE_AFTER, STALE))
+
+
+def base_points(prefs: Preferences) -> Column:
+    """All points but those for age, from the columns of ``_searched``."""
+    title, body = F.col("_title"), F.col("_text")
     mode = F.lower(text(F.col("remote_type")))
     modes = [m.lower() for m in prefs.preferred_modes]
     terms = [
@@ -69,7 +115,6 @@ def points(prefs: Preferences) -> Column:
             (contains_word(body, prefs.priority_places), PLACE_PRIORITY),
             (contains_word(body, prefs.acceptable_places), PLACE_ACCEPTABLE),
         ),
-        _points(*[(age <= days, value) for days, value in AGE_POINTS], (age > STALE_AFTER, STALE)),
     ]
     if modes:
         rules = [((mode != "") & mode.isin(*modes), MODE_PREFERRED)]

@@ -31,7 +31,7 @@ def _earliest(column: Column, order: Column) -> Column:
     return F.min_by(column, F.when(column.isNotNull(), order))
 
 
-def _side_by_side(
+def side_by_side(
     snapshot: DataFrame, folded: DataFrame, buckets: int | None
 ) -> tuple[DataFrame, Column, Column]:
     """Stored and incoming rows by id, and whether each side has the row.
@@ -75,7 +75,7 @@ def upsert_postings(snapshot: DataFrame, batch: DataFrame, buckets: int | None =
 def merge_folded_postings(
     snapshot: DataFrame, folded: DataFrame, buckets: int | None = None
 ) -> DataFrame:
-    both, came, stored = _side_by_side(snapshot, folded, buckets)
+    both, came, stored = side_by_side(snapshot, folded, buckets)
     replaced = [
         F.when(came, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
         for c in POSTING.names
@@ -113,7 +113,7 @@ def upsert_places(
     snapshot: DataFrame, batch: DataFrame, run_day: date, buckets: int | None = None
 ) -> DataFrame:
     """Known incoming values overwrite the listed fields, unknown ones do not."""
-    both, came, stored = _side_by_side(snapshot, fold_places(batch, run_day), buckets)
+    both, came, stored = side_by_side(snapshot, fold_places(batch, run_day), buckets)
     fields = [
         F.coalesce(F.col(f"b.{c}"), F.col(f"s.{c}")).alias(c)
         if c in OVERWRITTEN

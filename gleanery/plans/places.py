@@ -126,19 +126,21 @@ def places_job(
     """From payloads to written versions of the places and of their tracers.
 
     The tracers are written first, under the number of the places' version that they
-    belong to, so a version of places always has its tracers.
+    belong to, so a version of places always has its tracers.  A run that failed between the two
+    leaves tracers without places: its number is not used again, and if it is asked for, the
+    tracers are written anew.
     """
     known = [n for n in names if n in PLACE_SOURCES]
     rows = scratch.save(read_places(known, raw, run, mode), "rows")
     counts = scratch.save(source_counts(ranked_names(raw.sparkSession, known), rows_per_source(rows)), "counts")
-    if log_path:
-        log_run(counts, log_path, run)
     before = snapshots.latest(version)
-    version = (before or 0) + 1 if version is None else version
+    version = max(before or 0, traces.latest() or 0) + 1 if version is None else version
     stored = snapshots.read(before) if before is not None else snapshots.empty()
     trace = traces.read(before) if before is not None else traces.empty()
     layout = snapshots.buckets_of(before)
     done = places_run(stored, trace, rows, run, scratch, buckets=layout)
-    traces.write(done.tracers, version)
+    traces.write(done.tracers, version, again=version not in snapshots.versions())
     snapshots.write(done.places, version, clustered=layout)
+    if log_path:
+        log_run(counts, log_path, run, version)
     return PlacesJob(version, counts, [n for n in names if n not in known])

@@ -98,9 +98,11 @@ class SnapshotTable:
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame, version: int | None = None, clustered: int | None = None) -> int:
+    def write(
+        self, rows: DataFrame, version: int | None = None, clustered: int | None = None, again: bool = False
+    ) -> int:
         """Write the next (or the named) version.  A complete version is left as it is,
-        so a repeated run of one batch changes nothing.
+        so a repeated run of one batch changes nothing; ``again`` writes it anew all the same.
 
         ``clustered`` is the number of buckets that the rows already lie in, bucket by
         bucket, because they come from a join with a stored version.  Rows that lie in
@@ -108,7 +110,7 @@ class SnapshotTable:
         """
         if version is None:
             version = (self.latest() or 0) + 1
-        if version in self.versions():
+        if not again and version in self.versions():
             return version
         name, buckets = f"snapshot_{uuid.uuid4().hex}", self.buckets
         canonical = conform(rows, self.schema)
@@ -125,20 +127,24 @@ class SnapshotTable:
         return version
 
 
-def log_run(counts: DataFrame, path: str, run: Run) -> None:
-    """Append (run_ts, source, n); the envelope of a snapshot is derived from it."""
+def log_run(counts: DataFrame, path: str, run: Run, version: int) -> None:
+    """Log (run_ts, source, n) of the run that wrote a version, once however often it is repeated;
+    the envelope of a snapshot is derived from it."""
     row = counts.select(
         F.lit(run.at).cast("timestamp_ntz").alias("run_ts"),
         F.col("name").alias("source"),
         F.col("n").cast("long").alias("n"),
     )
-    row.coalesce(1).write.mode("append").parquet(path)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version:09d}")
 
 
 def envelope(log: DataFrame, rows: DataFrame) -> DataFrame:
     """One row about a snapshot: when it was last checked, how many rows each source gave
-    then, and how many are stored.  The last run's sources are as many as are enabled."""
-    last = log.groupBy("run_ts").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
+    then, and how many are stored.  The last run's sources are as many as are enabled; of two runs
+    of one instant the later version counts."""
+    at = F.col("version") if "version" in log.columns else F.lit(0)
+    last = log.groupBy("run_ts", "source").agg(F.max_by("n", at).alias("n"))
+    last = last.groupBy("run_ts").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
     newest = last.agg(F.max("run_ts").alias("checked_at"), F.max_by("counts", "run_ts").alias("counts"))
     return newest.withColumn("count", rows.agg(F.count("*")).scalar())
 
