@@ -4,7 +4,12 @@
 2. exact_dedup: of equal texts the smallest doc_id stays;
 3. near_dedup: of documents linked by near-equal fingerprints the smallest doc_id stays, with
    one of its texts if it has several (rows without an id cannot be told apart and stay);
-4. packing: token sequences.
+4. packing: token sequences, stored and read back by length.
+
+Null texts are empty: toxicity scores them, exact_dedup keeps one, packing gives the end token
+alone. Rows without an id cannot be told apart: they go if they are toxic or equal to a text that
+has an id, and stay otherwise. Rows that repeat id and text share their fate. Empty tables pass
+through as such.
 
 Every stage but the last returns the columns of ``documents``. Between stages the documents
 are a Parquet table in the shared folder, so a lost executor costs a task, not a stage.
@@ -35,7 +40,8 @@ def distinct_prints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     # the workers come from the other stages: less text at once keeps them small
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), at_once=4 << 20)
+    packed = packing.pack(docs, vocabulary("word_bpe_49k.json"), at_once=4 << 20)
+    return packing.write_buckets(packed, common.scratch(docs, "packing").path("sequences"))
 
 
 STAGES = [("toxicity", ordinary), ("exact_dedup", distinct_texts), ("near_dedup", distinct_prints), ("packing", sequences)]
