@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.fusion import TRACER
+from gleanery.plans.deltas import DeltaSnapshots
 from gleanery.plans.places import places_job
 from gleanery.plans.postings import postings_run
 from gleanery.plans.snapshot import SnapshotTable, envelope
@@ -20,10 +21,11 @@ from workload.tables import RUN, table
 
 QUERIES, ORACLE = {}, {}
 
-# Days of the runs and which documents come in; a third each as payloads of a registered
+# Days of the runs and which documents come in: every document on one day at least. A third each as payloads of a registered
 # source, of a user-defined one, and as alert mails.
-DAYS = ((0, "doc_id % 2 = 0"), (30, "doc_id % 5 <> 0"), (61, "doc_id % 7 = 0"))
+DAYS = ((0, "doc_id % 2 = 0"), (30, "doc_id % 5 <> 0"), (61, "doc_id % 7 = 0 or (doc_id % 2 <> 0 and doc_id % 5 = 0)"))
 SOURCES = ("remotive", "generic", "nobody", "gmail_alerts", "himalayas")
+PREFS = Preferences(strong=("Role",), sources=SOURCES)
 _KIND = "doc_id % 3"
 
 
@@ -44,8 +46,8 @@ def _day(ago: int) -> Run:
 def _payloads(docs: DataFrame, run: Run, ago: int) -> DataFrame:
     title = F.concat(F.lit("Role "), "doc_id", F.lit(f" day {ago}"))
     link = F.concat(F.lit("https://x.example/"), "doc_id")
-    site = F.to_json(F.struct(F.array(F.struct(link.alias("url"), title.alias("title"), F.lit("C").alias("company_name"))).alias("jobs")))
-    own = F.to_json(F.array(F.struct(link.alias("href"), title.alias("name"))))
+    site = F.to_json(F.struct(F.array(F.struct(link.alias("url"), title.alias("title"), F.lit("C").alias("company_name"), F.col("text").alias("description"))).alias("jobs")))
+    own = F.to_json(F.array(F.struct(link.alias("href"), title.alias("name"), F.col("text").alias("body"))))
     kind = F.expr(_KIND)
     rows = docs.where(kind < 2).select(
         F.when(kind == 0, "remotive").otherwise("own").alias("source"), kind.cast("int").alias("source_rank"), F.col("doc_id").alias("seq"),
@@ -65,13 +67,14 @@ def _mails(docs: DataFrame, run: Run, ago: int) -> DataFrame:
     )
 
 
-def _posted(spark: SparkSession, sf: str) -> tuple[SnapshotTable, DataFrame, DataFrame]:
+def _posted(spark: SparkSession, sf: str, by_delta: bool = False) -> tuple[SnapshotTable | DeltaSnapshots, DataFrame, DataFrame]:
     """The snapshot, the run log and the processed mails after all runs."""
     scratch = Scratch(spark, "days")
-    snapshots = SnapshotTable(spark, scratch.path("snapshot"), POSTING, buckets=8)
+    root = scratch.path("snapshot")
+    snapshots = DeltaSnapshots(spark, root, buckets=8, fold_ratio=4.0) if by_delta else SnapshotTable(spark, root, POSTING, buckets=8)
     log, processed = scratch.path("log"), scratch.path("processed")
     docs = table(spark, sf, "documents")
-    definitions = [{"name": "own", "type": "json_api", "fields": {"url": "href", "title": "name"}}]
+    definitions = [{"name": "own", "type": "json_api", "fields": {"url": "href", "title": "name", "description": "body"}}]
     mails, taken = None, None
     for ago, which in DAYS:
         run, some = _day(ago), docs.where(which)
@@ -79,7 +82,7 @@ def _posted(spark: SparkSession, sf: str) -> tuple[SnapshotTable, DataFrame, Dat
         mails = came if mails is None else mails.unionByName(came)  # the mailbox keeps older messages
         inputs = Inputs(scratch.save(_payloads(some, run, ago), "raw"), definitions, scratch.save(mails, "mail"), taken)
         postings_run(
-            snapshots, inputs, Preferences(strong=("Role",), sources=SOURCES), run, scratch, log_path=log,
+            snapshots, inputs, PREFS, run, scratch, log_path=log,
             report_path=scratch.path("report"), processed_path=processed,
         )
         taken = spark.read.schema("uid long").parquet(processed)
@@ -108,6 +111,14 @@ def postings_run_rows(spark, sf):
     return snapshots.read().select("url", "title", "source", F.col("first_seen").cast("string").alias("first_seen"))
 
 
+@query(ORACLE["postings_run_rows"])
+def postings_delta_rows(spark, sf):
+    """The same runs, each of which appends its batch: the second and third are merged on reading."""
+    snapshots, *_ = _posted(spark, sf, by_delta=True)
+    rows = snapshots.read(PREFS, _day(DAYS[-1][0]))
+    return rows.select("url", "title", "source", F.col("first_seen").cast("string").alias("first_seen"))
+
+
 _COUNTS = " union all ".join(
     f"select '{_day(ago).day}' as day, '{name}' as source, count(*) filter ({_KIND} = {kind} and ({which})) as n from documents"
     for ago, which in DAYS
@@ -136,6 +147,9 @@ def postings_run_envelope(spark, sf):
     )
 
 
+_VENUE = "(p_partkey % 5 = 0 or (p_partkey % 2 <> 0 and p_partkey % 3 <> 0))"  # also what no other service has
+
+
 def _place_payloads(spark, sf) -> DataFrame:
     """Parts as search results with details, map elements and venues of three services."""
     part = table(spark, sf, "part")
@@ -151,7 +165,7 @@ def _place_payloads(spark, sf) -> DataFrame:
                                                 F.struct(F.lit("road").alias("address")).alias("location"), F.lit(8.5).alias("rating"))).alias("results")))
     parts = (
         ("google_places", search, "p_partkey % 2 = 0"), ("google_places" + DETAILS, detail, "p_partkey % 4 = 0"),
-        ("openstreetmap", element, "p_partkey % 3 = 0"), ("foursquare", venue, "p_partkey % 5 = 0"),
+        ("openstreetmap", element, "p_partkey % 3 = 0"), ("foursquare", venue, _VENUE),
     )
     out = None
     for rank, (source, payload, which) in enumerate(parts):
@@ -162,12 +176,12 @@ def _place_payloads(spark, sf) -> DataFrame:
     return conform(out, RAW)
 
 
-_PLACED = """
+_PLACED = f"""
 with g as (select p_partkey, case when p_partkey % 4 = 0 then 'w' || p_partkey end as website,
     case when p_partkey % 3 = 0 then 'p' || p_partkey end as phone, case when p_partkey % 3 = 0 then 1 else 0 end as tracers
   from part where p_partkey % 2 = 0),
 o as (select p_partkey from part where p_partkey % 3 = 0 and p_partkey % 2 <> 0),
-f as (select p_partkey from part where p_partkey % 5 = 0)
+f as (select p_partkey from part where {_VENUE})
 select 'google_places' as source, 'g' || p_partkey as source_id, website, phone, cast(null as double) as rating, tracers::bigint as tracers from g
 union all select 'openstreetmap', 'node/' || p_partkey, null, 'p' || p_partkey, null, 0 from o
 union all select 'foursquare', 'f' || p_partkey, null, null, 4.2, 0 from f"""
