@@ -1,20 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two character models, one of labelled toxic and one of labelled ordinary texts, read a text
-word by word (``ORDER`` characters of context with word marks). Both use absolute
-discounting; what they have not seen enough of falls back to the shorter context and to
-``SHARED`` pseudo-counts of the pooled counts of both classes, so a rare expression costs
-both models the same. Seen sequences keep the log ratio toxic : ordinary, seen contexts the
-log ratio of their back-off weights, as in an ARPA table.
+word by word (``ORDER`` characters with word marks). Sequences of full length, and those from
+the beginning of a word, count as often as they occur; shorter ones, used to back off, count the
+different characters they follow. A third model of the same kind is pooled over all documents,
+labelled or not: ``SHARED`` pseudo-counts of it go into both classes at every length, so a rare
+expression costs both the same. Seen sequences keep the log ratio toxic : ordinary, seen
+contexts the log ratio of their back-off weights, as in an ARPA table.
 
 The score compares length-normalised log-likelihoods: the mean log ratio per character over
 the whole text, and the mean over its ``STRONGEST`` most telling words (a long ordinary text
 does not drown a short insult). A logistic function of the two, fitted on labelled texts
 that the models have not counted, gives the score from 0 to 1.
 
-The models are fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of the id; that
-bounds what the driver and the broadcast hold. Every text is scored whole, in Arrow batches,
-with no shuffle. Words are remembered up to ``REMEMBERED`` entries a task.
+The class models are fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of the id, one
+text of a repeated id. The pooled counts cover every text and are made in Spark; the driver takes
+them for the sequences of the sample alone, so the sample bounds what it and the broadcast hold.
+Every text is scored whole, in Arrow batches, with no shuffle. Words are remembered up to
+``REMEMBERED`` characters a task, in two halves of which the older is dropped.
 
 Nulls and odd rows: a null or empty text, or one without letters, gets the score of a text
 without evidence; a null doc_id is passed on (held_out is null-safe: false); repeated rows
@@ -45,7 +48,7 @@ SHARED = 2.0
 STRONGEST = 2
 SAMPLE = 20_000
 FOLDS = 5
-REMEMBERED = 200_000
+REMEMBERED = 8 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,11 +58,10 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, order: int) -> Iterator[str]:
-    """All character sequences of a marked word that end in one of its characters or its end."""
+    """For each character of a word, and its end, the longest sequence it ends: ``order`` characters, or from the word's mark."""
     marked = f"^{word}$"
     for end in range(1, len(marked)):
-        for begin in range(max(0, end - order + 1), end + 1):
-            yield marked[begin : end + 1]
+        yield marked[max(0, end - order + 1) : end + 1]
 
 
 @dataclass
@@ -71,11 +73,26 @@ class Ratios:
     back: dict[str, float]
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    older: dict[str, float] = field(default_factory=dict, repr=False)
+    held: int = 0
+
+    def forget(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
 
     def word(self, word: str) -> float:
         found = self.known.get(word)
-        if found is not None:
-            return found
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                found = self._ratio(word)
+            self.held += len(word)
+            if self.held > REMEMBERED // 2:
+                self.known, self.older, self.held = {}, self.known, len(word)
+            if len(word) <= REMEMBERED // 2:
+                self.known[word] = found
+        return found
+
+    def _ratio(self, word: str) -> float:
         marked, total = f"^{word}$", 0.0
         for end in range(1, len(marked)):
             for begin in range(max(0, end - self.order + 1), end + 1):
@@ -84,9 +101,6 @@ class Ratios:
                     total += ratio
                     break
                 total += self.back.get(marked[begin:end], 0.0)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = total
         return total
 
     def evidence(self, text: str | None, strongest: int = STRONGEST) -> tuple[float, float]:
@@ -104,34 +118,29 @@ class Ratios:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, bias + by_mean * mean + by_top * top))))
 
 
-def ratios(counts: Iterable[tuple[str, int, int]], order: int = ORDER) -> Ratios:
-    """The two models' log ratios from (sequence, count in ordinary, count in toxic texts)."""
-    count = {g: (a, b) for g, a, b in counts}
+def ratios(counts: Iterable[tuple[str, int, int, int, int, int]], order: int = ORDER) -> Ratios:
+    """The two models' log ratios from the rows of ``sequences`` that occur in a class."""
+    rows = sorted(counts, key=lambda r: len(r[0]))
     totals = defaultdict(lambda: [0, 0])
-    kinds = defaultdict(lambda: [0, 0, 0])
-    for gram, both in count.items():
+    kinds = defaultdict(lambda: [0, 0])
+    for gram, *both, _, _, _ in rows:
         for y in (0, 1):
             totals[gram[:-1]][y] += both[y]
             kinds[gram[:-1]][y] += both[y] > 0
-        kinds[gram[:-1]][2] += 1
     pooled: dict[str, float] = {}
     own: dict[str, tuple[float, float]] = {}
     seen: dict[str, float] = {}
-    for gram in sorted(count, key=len):
-        context, (a, b) = gram[:-1], count[gram]
-        total = totals[context]
-        both = sum(total)
-        if not context:
-            pooled[gram] = (a + b) / both
-            pair = tuple((n + SHARED * pooled[gram]) / (total[y] + SHARED) for y, n in enumerate((a, b)))
+    for gram, ordinary, toxic, n, total, different in rows:
+        context, shorter = gram[:-1], gram[1:]
+        if context:
+            pooled[gram] = (max(n - DISCOUNT, 0) + DISCOUNT * different * pooled[shorter]) / total
         else:
-            shorter = gram[1:]
-            pooled[gram] = (max(a + b - DISCOUNT, 0) + DISCOUNT * kinds[context][2] * pooled[shorter]) / both
-            pair = tuple(
-                (max(n - DISCOUNT, 0) + DISCOUNT * kinds[context][y] * own[shorter][y] + SHARED * pooled[gram]) / (total[y] + SHARED)
-                for y, n in enumerate((a, b))
-            )
-        own[gram] = pair
+            pooled[gram] = n / total
+        pair = []
+        for y, count in enumerate((ordinary, toxic)):
+            mass = max(count - DISCOUNT, 0) + DISCOUNT * kinds[context][y] * own[shorter][y] if context else count
+            pair.append((mass + SHARED * pooled[gram]) / (totals[context][y] + SHARED))
+        own[gram] = (pair[0], pair[1])
         seen[gram] = math.log(pair[1] / pair[0])
     back = {}
     for context, total in totals.items():
@@ -161,7 +170,7 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int, folds: int) -> DataFrame:
-    """(doc_id, text, toxic, fits) of at most ``most`` labelled texts outside the held-out fold."""
+    """(doc_id, text, toxic, fits) of at most ``most`` labelled texts outside the held-out fold, one per id."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -171,47 +180,76 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int, folds: int) -> DataFr
         .limit(most)
     )
     fits = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(folds)) != 0
-    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic", fits.alias("fits"))
+    texts = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return texts.select("doc_id", "text", "toxic", fits.alias("fits"))
+
+
+_KINDS = ("ordinary", "toxic", "pooled")
+
+
+def _counted(key: str, counts: dict[str, list[int]]) -> pa.RecordBatch:
+    columns = [pa.array([n[k] for n in counts.values()], pa.int64()) for k in range(len(_KINDS))]
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *columns], [key, *_KINDS])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts by kind: 0 ordinary, 1 toxic, 2 pooled."""
     for batch in common.slices(batches, "text"):
-        counts = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[bool(toxic)].update(words_of(text))
-        both = sorted(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(both, pa.string()), *(pa.array([c[w] for w in both], pa.int64()) for c in counts)], ["word", "ordinary", "toxic"]
-        )
+        counts: dict[str, list[int]] = {}
+        found = tuple(Counter() for _ in _KINDS)
+        for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+            found[kind].update(words_of(text))
+        for kind, own in enumerate(found):
+            for word, n in own.items():
+                counts.setdefault(word, [0] * len(_KINDS))[kind] = n
+        yield _counted("word", counts)
 
 
 def _gram_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for word, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(_KINDS))
+            for word, *each in zip(*(batch.column(k).to_pylist() for k in ("word", *_KINDS)), strict=True):
                 for gram in grams_of(word, order):
                     n = counts[gram]
-                    n[0] += a
-                    n[1] += b
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in (0, 1))],
-                ["gram", "ordinary", "toxic"],
-            )
+                    for k, more in enumerate(each):
+                        n[k] += more
+            yield _counted("gram", counts)
 
     return run
 
 
+def sequences(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, ordinary, toxic, pooled, total, different): Kneser-Ney counts of texts (text, kind as in ``_word_counts``).
+
+    A sequence of ``order`` characters or from a word's mark counts its occurrences, any shorter
+    one the different characters that it follows, per class and over all. ``total`` and
+    ``different`` are the sum of ``pooled`` and the number of sequences with the same context.
+    """
+    if order < 2:
+        raise ValueError("a context needs a character")
+    longs = ", ".join(f"{k} long" for k in _KINDS)
+    sums = [F.sum(k).alias(k) for k in _KINDS]
+    words = texts.mapInArrow(_word_counts, f"word string, {longs}").groupBy("word").agg(*sums)
+    longest = words.mapInArrow(_gram_counts(order), f"gram string, {longs}").groupBy("gram").agg(*sums)
+    longest = common.scratch(texts, "toxicity").save(longest, "longest")
+    ends = F.transform(F.sequence(F.lit(2), F.length("gram")), lambda n: F.right(F.col("gram"), n))
+    met = longest.select(F.explode(ends).alias("end"), *((F.col(k) > 0).cast("long").alias(k) for k in _KINDS))
+    met = met.groupBy("end").agg(*(F.max(k).alias(k) for k in _KINDS))
+    shorter = met.groupBy(F.expr("substring(end, 2)").alias("gram")).agg(*sums)
+    both = longest.unionByName(shorter).withColumn("context", F.expr("left(gram, length(gram) - 1)"))
+    contexts = both.groupBy("context").agg(F.sum("pooled").alias("total"), F.count("*").alias("different"))
+    return both.join(contexts, "context").select("gram", *_KINDS, "total", "different")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, order: int = ORDER, folds: int = FOLDS) -> Ratios:
     """Models and weights from documents (doc_id, text) and labels (doc_id, toxic)."""
     docs = docs.select(docs["doc_id"], common.whole(docs["text"]).alias("text"))
     labels = labels.select(labels["doc_id"], labels["toxic"])
     sample = common.scratch(docs, "toxicity").save(_sample(docs, labels, most, folds), "sample")
-    words = sample.where("fits").mapInArrow(_word_counts, "word string, ordinary long, toxic long")
-    words = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    grams = words.mapInArrow(_gram_counts(order), "gram string, ordinary long, toxic long")
-    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    model = ratios(((r.gram, r.ordinary, r.toxic) for r in grams.toLocalIterator()), order)
+    kinds = sample.where("fits").select("text", (F.col("toxic") > 0).cast("int").alias("kind"))
+    counts = sequences(kinds.unionByName(docs.select("text", F.lit(2).alias("kind"))), order)
+    model = ratios(map(tuple, counts.where("ordinary + toxic > 0").toLocalIterator()), order)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -241,7 +279,7 @@ def score(docs: DataFrame, model: Ratios, doc_id: str = "doc_id", text: str = "t
         for batch in common.slices(batches, "text"):
             found = pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "score"])
-        own.known.clear()  # the worker goes on to other tasks
+        own.forget()  # the worker goes on to other tasks
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), common.whole(docs[text]).alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
@@ -259,6 +297,6 @@ def keep_ordinary(docs: DataFrame, model: Ratios, text: str = "text") -> DataFra
         own = shared.value
         for texts in batches:
             yield texts.map(own.score)
-        own.known.clear()  # the worker goes on to other tasks
+        own.forget()  # the worker goes on to other tasks
 
     return docs.where(score_of(common.whole(docs[text])) < 0.5)

@@ -27,56 +27,92 @@ def corpus(n=400, seed=3):
 
 
 def counts(rows, order):
-    out = {}
+    """Kneser-Ney counts by the definition; every row is in the pool, and in its class if it has one."""
+    occurs, before = {}, {}
     for _, text, toxic in rows:
         for word in toxicity.words_of(text):
-            for gram in toxicity.grams_of(word, order):
-                out.setdefault(gram, [0, 0])[toxic] += 1
-    return [(g, a, b) for g, (a, b) in out.items()]
+            marked = f"^{word}$"
+            for end in range(1, len(marked)):
+                for begin in range(max(0, end - order + 1), end + 1):
+                    for kind in {2} if toxic is None else {2, toxic}:
+                        occurs.setdefault(marked[begin : end + 1], [0, 0, 0])[kind] += 1
+                        before.setdefault(marked[begin : end + 1], [set(), set(), set()])[kind].add(marked[begin - 1] if begin else None)
+    table = {g: n if len(g) == order or g[0] == "^" else [len(chars) for chars in before[g]] for g, n in occurs.items()}
+    out = []
+    for gram, each in table.items():
+        same = [n[2] for g, n in table.items() if g[:-1] == gram[:-1]]
+        out.append((gram, *each, sum(same), len(same)))
+    return out
+
+
+def in_a_class(rows):
+    return [r for r in rows if r[1] + r[2]]
 
 
 def test_ratios_equal_the_two_models_worked_out_plainly():
-    rows = corpus(60)
+    rows = corpus(40)
+    rows += [(-i, text + " zzyx", None) for i, text, _ in corpus(10, seed=4)]  # texts without a label
     order = 3
-    table = {g: (a, b) for g, a, b in counts(rows, order)}
+    table = {g: tuple(n) for g, *n, _, _ in counts(rows, order)}
     d, k = toxicity.DISCOUNT, toxicity.SHARED
 
-    def after(context):
-        return [g for g in table if len(g) == len(context) + 1 and g.startswith(context)]
-
-    def pooled(gram):
-        follow = after(gram[:-1])
-        total = sum(sum(table[g]) for g in follow)
-        n = sum(table.get(gram, (0, 0)))
+    def after(context, y):
+        return [n[y] for g, n in table.items() if g[:-1] == context and n[y]]
+
+    def plain(gram, y, pool=None):
+        """Probability of the last character after the others in one class, or pooled (no pseudo-counts)."""
+        follow, extra = after(gram[:-1], y), k if pool else 0
+        if pool and not (table.get(gram, (0, 0, 0))[0] or table.get(gram, (0, 0, 0))[1]):
+            if not (after(gram[:-1], 0) or after(gram[:-1], 1)):
+                return plain(gram[1:], y, pool)  # a context that no class has
+            return (d * len(follow) + extra) / (sum(follow) + extra) * plain(gram[1:], y, pool)
+        n = table[gram][y]
         if len(gram) == 1:
-            return n / total
-        return (max(n - d, 0) + d * len(follow) * pooled(gram[1:])) / total
+            mass = n
+        else:
+            mass = max(n - d, 0) + d * len(follow) * plain(gram[1:], y, pool)
+        return (mass + (extra * plain(gram, 2) if pool else 0)) / (sum(follow) + extra)
 
-    def p(gram, y):
-        """Probability of the last character after the others, backing off where the sequence is unknown."""
-        context = gram[:-1]
-        total = sum(table[g][y] for g in after(context))
-        if len(gram) == 1:
-            return (table[gram][y] + k * pooled(gram)) / (total + k)
-        kinds = sum(table[g][y] > 0 for g in after(context))
-        if gram in table:
-            return (max(table[gram][y] - d, 0) + d * kinds * p(gram[1:], y) + k * pooled(gram)) / (total + k)
-        weight = (d * kinds + k) / (total + k) if after(context) else 1.0
-        return weight * p(gram[1:], y)
-
-    model = toxicity.ratios(counts(rows, order), order)
+    model = toxicity.ratios(in_a_class(counts(rows, order)), order)
     for word in ("the", "grubbleish", "snirk", "tiohean", "reo"):
         marked = f"^{word}$"
-        want = sum(math.log(p(marked[max(0, e - order + 1) : e + 1], 1) / p(marked[max(0, e - order + 1) : e + 1], 0)) for e in range(1, len(marked)))
+        ends = [marked[max(0, e - order + 1) : e + 1] for e in range(1, len(marked))]
+        want = sum(math.log(plain(g, 1, True) / plain(g, 0, True)) for g in ends)
         assert model.word(word) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_sequences_equal_the_definition(spark, order):
+    rows = [*corpus(30), (1, "", 0), (2, "7 _", 1), (3, "é ÄB ψ grubble", None)]
+    kinds = [(t, y) for _, t, y in rows if y is not None] + [(t, 2) for _, t, _ in rows]
+    got = toxicity.sequences(spark.createDataFrame(kinds, "text string, kind int"), order)
+    assert sorted(map(tuple, got.collect())) == sorted(counts(rows, order))
+
+
+def test_lower_orders_count_contexts_not_occurrences(spark):
+    often = " ".join(["qu"] * 100)
+    kinds = [(often + " au eu iu", 0), ("qu", 1), (often + " au eu iu qu", 2)]
+    got = {r.gram: tuple(r)[1:4] for r in toxicity.sequences(spark.createDataFrame(kinds, "text string, kind int"), 3).collect()}
+    assert got["qu$"] == (100, 1, 101) and got["^q"] == (100, 1, 101)
+    assert got["q"] == (1, 1, 1) and got["u"] == (4, 1, 4) and got["u$"] == (4, 1, 4)
+
+
 def test_unknown_characters_are_no_evidence():
-    model = toxicity.ratios(counts(corpus(60), 5))
+    model = toxicity.ratios(in_a_class(counts(corpus(60), 5)), 5)
     assert model.evidence(None) == model.evidence("") == model.evidence("12 !? _") == (0.0, 0.0)
     assert abs(model.word("ψψψ")) < 2
 
 
+def test_remembered_words_are_bounded_in_characters(monkeypatch):
+    model = toxicity.ratios(in_a_class(counts(corpus(20), 3)), 3)
+    plain = toxicity.ratios(in_a_class(counts(corpus(20), 3)), 3)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 4000)
+    for i in range(300):
+        word = "ab" * (i * 7 % 1500 + 1)
+        assert model.word(word) == plain._ratio(word)
+        assert sum(map(len, model.known)) <= 2000 and sum(map(len, model.older)) <= 2000
+
+
 def tables(spark, rows):
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, y, "l") for i, _, y in rows], "doc_id long, toxic int, text string")
@@ -135,3 +171,4 @@ def test_the_sample_is_bounded(spark):
     docs, labels = tables(spark, corpus())
     docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     assert toxicity._sample(docs, labels, 50, 5).count() == 50
+    assert toxicity._sample(docs.unionByName(docs), labels, 50, 5).count() == 50
