@@ -16,6 +16,7 @@ from gleanery.session import Scratch
 from gleanery.sources.landing import finish_postings
 from gleanery.streaming.ingest import compact as compact_postings
 from gleanery.streaming.ingest import read_postings, start_ingest
+from gleanery.streaming.keyed import read_keyed_state, start_keyed_state
 from gleanery.streaming.states import LOGGED, read_state, start_state_log
 from gleanery.streaming.states import compact as compact_states
 from workload.tables import PREFS, RUN, table
@@ -100,6 +101,18 @@ def lww_stream(spark, sf):
     return read_state(spark, log)
 
 
+@query(_LATEST)
+def lww_operator_state(spark, sf):
+    """The same batches folded into the state of one aggregation; every part is a restart from its checkpoint."""
+    stream, scratch, arrive = _arriving(spark, sf, "keyed")
+    checkpoint = scratch.path("checkpoint")
+    for n in range(PARTS):
+        if n:
+            arrive(n)
+        start_keyed_state(_changes(stream), checkpoint).awaitTermination()
+    return read_keyed_state(spark, checkpoint)
+
+
 @query(
     """select 'https://x/' || user_id || '/' || event_type as url, arg_max(k, event_id) as title, count(*) > 0 as known
     from (select *, json_extract_string(props, '$.k') as k from events) group by user_id, event_type"""
