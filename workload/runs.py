@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from gleanery.operators.fusion import TRACER
 from gleanery.plans.deltas import DeltaSnapshots
 from gleanery.plans.places import places_job
 from gleanery.plans.postings import postings_run
-from gleanery.plans.snapshot import SnapshotTable, envelope
+from gleanery.plans.snapshot import SnapshotTable, envelope, import_places, import_postings
 from gleanery.schema import PLACE, POSTING, RAW, conform
 from gleanery.session import Scratch
 from gleanery.settings import Preferences, Run
@@ -204,3 +207,67 @@ def places_run_rows(spark, sf):
     return places.read(2).join(left, "id", "left").select(
         "source", "source_id", "website", "phone", "rating", F.coalesce("tracers", F.lit(0)).cast("long").alias("tracers")
     )
+
+
+def _json_documents(items: DataFrame, path: str, key: str | None) -> str:
+    """One JSON document per partition below ``path``: an array of the items, under ``key`` if there is one."""
+    opening, closing = (f"{{{json.dumps(key)}: [", "]}") if key else ("[", "]")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = opening
+        for batch in batches:
+            out = []
+            for item in batch.column("item").to_pylist():
+                out.append(before + item)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([closing if before == "," else before + closing])], ["value"])
+
+    items.select(F.to_json(F.struct("*")).alias("item")).mapInArrow(lines, "value string").write.text(path)
+    return path
+
+
+_IMPORTED = f"""select 'x' || doc_id as id, 'Role ' || doc_id || ' again' as title, coalesce(text, '') as description, 'new' as status,
+    0::bigint as score, '{RUN.day}' as first_seen, case when doc_id % 2 = 0 then coalesce(lang, '') else '' end as location from documents"""
+
+
+def _imported(spark, sf, key):
+    """Every document twice in a stored JSON snapshot; the later one of an id wins, what it lacks is filled in."""
+    scratch = Scratch(spark, "import")
+    both = table(spark, sf, "documents").withColumn("again", F.explode(F.array(F.lit(""), F.lit(" again"))))
+    items = both.select(
+        F.concat(F.lit("x"), "doc_id").alias("id"), F.concat(F.lit("Role "), "doc_id", "again").alias("title"), F.lit("C").alias("company"),
+        F.concat(F.lit("https://x.example/"), "doc_id").alias("url"), F.lit("own").alias("source"), F.col("text").alias("description"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("location"), F.when(F.col("again") == "", "saved").otherwise("").alias("status"),
+    )
+    rows = import_postings(spark, _json_documents(items, scratch.path("snapshot"), key), RUN)
+    return rows.select(
+        "id", "title", "description", "status", F.col("score").cast("long").alias("score"), F.col("first_seen").cast("string").alias("first_seen"), "location"
+    )
+
+
+@query(_IMPORTED)
+def postings_import_envelope(spark, sf):
+    return _imported(spark, sf, "jobs")
+
+
+@query(_IMPORTED)
+def postings_import_array(spark, sf):
+    return _imported(spark, sf, None)
+
+
+@query(
+    f"""select 'p' || p_partkey as id, p_name as name, case when p_partkey % 3 = 0 then 'visited' else 'new' end as status,
+    '{RUN.day}' as first_seen, '{RUN.day}' as last_updated, case when p_partkey % 2 = 0 then p_retailprice::double end as rating from part"""
+)
+def places_import(spark, sf):
+    """Parts as a stored JSON snapshot of places; status and rating are given for some."""
+    key = F.col("p_partkey")
+    items = table(spark, sf, "part").select(
+        F.concat(F.lit("p"), key).alias("id"), F.col("p_name").alias("name"), F.lit("own").alias("source"),
+        F.when(key % 3 == 0, "visited").alias("status"), F.when(key % 2 == 0, F.col("p_retailprice").cast("double")).alias("rating"),
+    )
+    rows = import_places(spark, _json_documents(items, Scratch(spark, "import").path("snapshot"), "restaurants"), RUN)
+    return rows.select(
+        "id", "name", "status", F.col("first_seen").cast("string").alias("first_seen"), F.col("last_updated").cast("string").alias("last_updated"), "rating"
+    )
