@@ -17,7 +17,8 @@ The class models are fitted on at most ``SAMPLE`` labelled texts, chosen by a ha
 text of a repeated id. The pooled counts cover every text and are made in Spark; the driver takes
 them for the sequences of the sample alone, so the sample bounds what it and the broadcast hold.
 Every text is scored whole, in Arrow batches, with no shuffle. Words are remembered up to
-``REMEMBERED`` characters a task, in two halves of which the older is dropped.
+``REMEMBERED`` characters a task, in two halves of which the older is dropped, and so are the
+ratios of ``ENDINGS`` sequences.
 
 Nulls and odd rows: a null or empty text, or one without letters, gets the score of a text
 without evidence; a null doc_id is passed on (held_out is null-safe: false); repeated rows
@@ -31,7 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,7 +49,8 @@ SHARED = 2.0
 STRONGEST = 2
 SAMPLE = 20_000
 FOLDS = 5
-REMEMBERED = 8 << 20
+REMEMBERED = 2 << 20
+ENDINGS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -74,10 +76,11 @@ class Ratios:
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     known: dict[str, float] = field(default_factory=dict, repr=False)
     older: dict[str, float] = field(default_factory=dict, repr=False)
+    endings: dict[str, float] = field(default_factory=dict, repr=False)
     held: int = 0
 
     def forget(self) -> None:
-        self.known, self.older, self.held = {}, {}, 0
+        self.known, self.older, self.endings, self.held = {}, {}, {}, 0
 
     def word(self, word: str) -> float:
         found = self.known.get(word)
@@ -93,14 +96,26 @@ class Ratios:
         return found
 
     def _ratio(self, word: str) -> float:
-        marked, total = f"^{word}$", 0.0
-        for end in range(1, len(marked)):
-            for begin in range(max(0, end - self.order + 1), end + 1):
-                ratio = self.seen.get(marked[begin : end + 1])
-                if ratio is not None:
-                    total += ratio
-                    break
-                total += self.back.get(marked[begin:end], 0.0)
+        marked, order, endings = f"^{word}$", self.order, self.endings
+        total = 0.0
+        for end in range(2, len(marked) + 1):
+            gram = marked[end - order if end > order else 0 : end]
+            ratio = endings.get(gram)
+            total += self._ending(gram) if ratio is None else ratio
+        return total
+
+    def _ending(self, gram: str) -> float:
+        """Log ratio of a sequence's last character after the others: the longest seen ending, and the back-off to it."""
+        total = 0.0
+        for begin in range(len(gram)):
+            ratio = self.seen.get(gram[begin:])
+            if ratio is not None:
+                total += ratio
+                break
+            total += self.back.get(gram[begin:-1], 0.0)
+        if len(self.endings) >= ENDINGS:
+            self.endings.clear()
+        self.endings[gram] = total
         return total
 
     def evidence(self, text: str | None, strongest: int = STRONGEST) -> tuple[float, float]:
@@ -108,7 +123,10 @@ class Ratios:
         words = words_of(text or "")
         if not words:
             return 0.0, 0.0
-        each = np.fromiter(map(self.word, words), float, len(words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self.word(w) if r is None else r for w, r in zip(words, found, strict=True)]
+        each = np.array(found)
         top = np.partition(each, len(each) - strongest)[-strongest:] if len(each) > strongest else each
         return float(each.sum() / sum(map(len, words))), float(top.sum() / strongest)
 
@@ -187,34 +205,36 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int, folds: int) -> DataFr
 _KINDS = ("ordinary", "toxic", "pooled")
 
 
-def _counted(key: str, counts: dict[str, list[int]]) -> pa.RecordBatch:
-    columns = [pa.array([n[k] for n in counts.values()], pa.int64()) for k in range(len(_KINDS))]
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *columns], [key, *_KINDS])
+def _counted(key: str, kind: int, counts: Mapping[str, int]) -> pa.RecordBatch:
+    """Rows of one kind."""
+    n, none = pa.array(counts.values(), pa.int64(), size=len(counts)), pa.array(np.zeros(len(counts), np.int64))
+    columns = [n if k == kind else none for k in range(len(_KINDS))]
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string(), size=len(counts)), *columns], [key, *_KINDS])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of texts by kind: 0 ordinary, 1 toxic, 2 pooled."""
     for batch in common.slices(batches, "text"):
-        counts: dict[str, list[int]] = {}
         found = tuple(Counter() for _ in _KINDS)
         for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
             found[kind].update(words_of(text))
-        for kind, own in enumerate(found):
-            for word, n in own.items():
-                counts.setdefault(word, [0] * len(_KINDS))[kind] = n
-        yield _counted("word", counts)
+        for kind, counts in enumerate(found):
+            if counts:
+                yield _counted("word", kind, counts)
 
 
 def _gram_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(_KINDS))
-            for word, *each in zip(*(batch.column(k).to_pylist() for k in ("word", *_KINDS)), strict=True):
-                for gram in grams_of(word, order):
-                    n = counts[gram]
-                    for k, more in enumerate(each):
-                        n[k] += more
-            yield _counted("gram", counts)
+            words = batch.column("word").to_pylist()
+            for kind, name in enumerate(_KINDS):
+                counts: dict[str, int] = defaultdict(int)
+                for word, n in zip(words, batch.column(name).to_pylist(), strict=True):
+                    if n:
+                        for gram in grams_of(word, order):
+                            counts[gram] += n
+                if counts:
+                    yield _counted("gram", kind, counts)
 
     return run
 
