@@ -21,6 +21,7 @@ from gleanery.operators.order import last_wins
 from gleanery.schema import PLACE, POSTING, conform, places_for_export, places_with_nulls
 from gleanery.session import file_system
 from gleanery.settings import Run
+from gleanery.sources.documents import read_items
 
 RUN_LOG = "run_ts timestamp_ntz, source string, n long"
 _VERSION = re.compile(r"version=(\d+)\.buckets=(\d+)")
@@ -152,7 +153,7 @@ def envelope(log: DataFrame, rows: DataFrame) -> DataFrame:
 def import_postings(spark: SparkSession, path: str, run: Run) -> DataFrame:
     """Rows of a ``{"jobs": […]}`` document or a bare array; the last duplicate wins.
 
-    One document is one task, so this is for moving in once.  A broken document fails
+    A document is read in ranges by many tasks, however large it is.  A broken document fails
     the read; it is never taken for an empty snapshot.
     """
     item = T.StructType([f for f in POSTING.fields if f.name != "posted_ts"])
@@ -192,17 +193,18 @@ def import_places(spark: SparkSession, path: str, run: Run) -> DataFrame:
 
 def _document(spark: SparkSession, path: str, item: T.StructType, key: str) -> DataFrame:
     fs, target = file_system(spark, path)
-    order = T.StructField("_at", T.LongType())
+    place = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("seq", T.LongType())])
+    order = T.StructField("_at", place)
     if not fs.exists(target):
         return spark.createDataFrame([], T.StructType([*item.fields, order]))
-    # an envelope is one row with the array, a bare array is one row per element
-    schema = T.StructType([*item.fields, T.StructField(key, T.ArrayType(item))])
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = read.withColumn("_row", F.monotonically_increasing_id())
-    own = F.array(F.struct(*item.names))
-    opened = rows.select("_row", F.posexplode(F.coalesce(key, own)).alias("_i", "_e"))
-    numbered = opened.select("_e.*", (F.col("_row") + F.col("_i")).alias("_at"))
-    return numbered.where(F.coalesce(*[F.col(c).cast("string") for c in ("id", "source")]).isNotNull())
+    items, single = read_items(spark, path, key)
+    parsed = F.from_json("text", item, {"mode": "FAILFAST"})
+    rows = items.select(parsed.alias("_e"), F.struct("file", "start", "seq").alias("_at")).select("_e.*", "_at")
+    if single:  # an object without the array is one row, or none
+        alone = spark.read.schema(item).option("multiLine", True).option("mode", "FAILFAST").json(single)
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("seq"))
+        rows = rows.unionByName(alone.select(*item.names, at.alias("_at")))
+    return rows.where(F.coalesce(*[F.col(c).cast("string") for c in ("id", "source")]).isNotNull())
 
 
 def export_postings(df: DataFrame, path: str) -> None:
