@@ -1,35 +1,26 @@
-"""Greedy leader clustering of keys, in rounds, with the result of the one-by-one loop.
+"""Greedy leader clustering of keys, in blocks, with the result of the one-by-one loop.
 
 In rank order a key joins the lowest-ranked leader it is similar to, or becomes a leader.
-Who leads does not need all similar pairs: it is enough to know, for some keys ("reps"),
-all their neighbours.  A rep whose earlier neighbours are all covered leads; what is
-similar to an earlier leader is covered.  A round takes as reps the keys that rank first
-in most of their signature bands: one or few per group of near copies, so each copy is
-compared to the reps of its group and not to all other copies.  The best-ranked open key
-always is a rep, so every round decides something.  Once open keys are no longer crowded
-in their bands, or a round decides little, all of them are reps of the last round.
+A block is the next open keys in rank order: nothing before it covers them, so one task
+goes through that loop with them alone.  Later open keys then look for their lowest leader among
+the new ones.  What finds one is assigned for good, because all leaders before those were
+looked at already, and is compared no more.  So a key meets the leaders up to its own and no
+other key, as in the loop.  Blocks grow up to a bound, slowly while their leaders cover many
+keys each: there open keys are soon few.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.similarity import THRESHOLD, profile, similar_pairs
+from gleanery.operators.similarity import THRESHOLD, nearest, one_by_one, profile
 from gleanery.session import Scratch
 
-FEW = 200  # open keys that are compared to each other without further thinning
-DENSE = 64  # mean size of a key's band above which near copies are thinned out
-STALLED = 0.9  # share of keys left open by a round after which it does not either
-
-
-@dataclass
-class _Round:
-    edges: DataFrame
-    leaders: DataFrame
-    covered: DataFrame
+FEW = 1024  # keys of the first block
+MOST = 50_000  # keys of a block at most: one task holds them, whatever the number of keys
+DENSE = 8  # mean number of a block's keys that follow one leader from which on the next block grows slowly
+SLOW, FAST = 2, 8  # growth of blocks
 
 
 def rank_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -44,53 +35,29 @@ def rank_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def _bands(open_keys: DataFrame) -> DataFrame:
-    """(band, n, first) of the open keys, combined map-side."""
-    in_band = open_keys.select("kid", F.explode(F.array_distinct("bands")).alias("band"))
-    return in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("kid").alias("first"))
-
-
-def _crowding(bands: DataFrame) -> float:
-    """How many open keys share a band of a key, on average over keys."""
-    n = F.col("n").cast("double")
-    return bands.agg(F.sum(n * n) / F.sum(n)).first()[0]
-
-
-def _reps(open_keys: DataFrame, bands: DataFrame) -> DataFrame:
-    """Keys that rank first in at least half of their bands."""
-    firsts = bands.groupBy(F.col("first").alias("kid")).agg(F.count("*").alias("_first"))
-    return (
-        open_keys.select("kid", F.size(F.array_distinct("bands")).alias("_bands"))
-        .join(firsts, "kid")
-        .where(F.col("_first") * 2 >= F.col("_bands"))
-        .select("kid")
-    )
-
-
-def _elect(edges: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Leaders among the reps and the keys they cover, from the edges of the reps.
-
-    ``links`` are the edges between keys not covered yet; a rep nothing links down to
-    leads.  Each pass covers what the leaders link to, until a pass covers nothing.
-    """
-    links, covered = edges, reps.limit(0)
-    while True:
-        open_reps = reps.join(covered, "kid", "left_anti")
-        if links.isEmpty():
-            return scratch.save(open_reps, "leaders"), covered
-        reached = links.select(F.col("hi").alias("kid")).distinct()
-        leading = open_reps.join(reached, "kid", "left_anti")
-        newly = links.join(leading.select(F.col("kid").alias("lo")), "lo", "left_semi")
-        step = scratch.save(newly.select(F.col("hi").alias("kid")).distinct(), "covered")
-        if step.isEmpty():
-            return scratch.save(leading, "leaders"), covered
-        covered = covered.unionByName(step)
-        links = scratch.save(
-            links.join(step.select(F.col("kid").alias("hi")), "hi", "left_anti").join(
-                step.select(F.col("kid").alias("lo")), "lo", "left_anti"
-            ),
-            "links",
-        )
+def assign_leaders(keys: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """(kid, leader) for every key; a leader is its own."""
+    open_keys = scratch.save(profile(keys.select("kid", "key"), threshold), "profile")
+    parts = [open_keys.limit(0).select("kid", F.col("kid").alias("leader"))]
+    size, wanted = open_keys.count(), max(FEW, 1)
+    while size:
+        block, later = open_keys, None
+        if size > wanted:
+            last = open_keys.select("kid").orderBy("kid").limit(wanted).agg(F.max("kid")).first()[0]
+            block, later = open_keys.where(F.col("kid") <= last), open_keys.where(F.col("kid") > last)
+        decided = scratch.save(one_by_one(block, threshold), "block")
+        parts.append(decided)
+        if later is None:
+            break
+        leading = decided.where(F.col("kid") == F.col("leader")).select("kid")
+        leaders = scratch.save(block.join(leading, "kid", "left_semi"), "leaders")
+        covered = scratch.save(nearest(later, leaders, threshold), "covered")
+        parts.append(covered)
+        open_keys = scratch.save(later.join(covered, "kid", "left_anti"), "open")
+        growth = SLOW if wanted >= DENSE * leaders.count() else FAST
+        wanted = max(min(wanted * growth, MOST), 1)
+        size = open_keys.count()
+    return scratch.save(_union(parts), "assignment")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -98,64 +65,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def assign_leaders(keys: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """(kid, leader) for every key; a leader is its own."""
-    known = scratch.save(profile(keys.select("kid", "key"), threshold), "profile")
-    rounds: list[_Round] = []
-    open_keys, before = known, None
-    while size := open_keys.count():
-        finish = size <= FEW or (before is not None and size > STALLED * before)
-        if not finish:
-            bands = scratch.save(_bands(open_keys), "bands")
-            finish = _crowding(bands) <= DENSE
-        reps = open_keys.select("kid") if finish else scratch.save(_reps(open_keys, bands), "reps")
-        before = size
-        flagged = open_keys.join(
-            reps.withColumn("is_target", F.lit(True)), "kid", "left"
-        ).withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-        targets = open_keys.join(reps, "kid", "left_semi")
-        edges = scratch.save(similar_pairs(flagged, targets, threshold), "edges")
-        leaders, covered = _elect(edges, reps, scratch)
-        rounds.append(_Round(edges, leaders, covered))
-        if finish:
-            break
-        open_keys = scratch.save(
-            open_keys.join(leaders, "kid", "left_anti").join(covered, "kid", "left_anti"), "open"
-        )
-    return _lowest_leader(known, rounds, scratch, threshold)
-
-
-def _lowest_leader(
-    known: DataFrame, rounds: list[_Round], scratch: Scratch, threshold: float
-) -> DataFrame:
-    none = known.limit(0).select("kid", F.col("kid").alias("leader"))
-    if not rounds:
-        return none
-    leaders = _union([r.leaders.withColumn("round", F.lit(i)) for i, r in enumerate(rounds)])
-    members = _union([r.covered.withColumn("round", F.lit(i)) for i, r in enumerate(rounds)])
-    seen = _union(
-        [r.edges.join(r.leaders.select(F.col("kid").alias("lo")), "lo", "left_semi") for r in rounds]
-    )
-    first = seen.groupBy(F.col("hi").alias("kid")).agg(F.min("lo").alias("leader"))
-    if len(rounds) > 1:
-        # a key covered early was not compared to leaders found later; only such a leader
-        # that ranks before the present one can still take the key over
-        first = scratch.save(first, "first")
-        probes = (
-            known.join(members.where(F.col("round") < len(rounds) - 1), "kid")
-            .join(first.withColumnRenamed("leader", "bound"), "kid")
-            .withColumn("is_target", F.lit(False))
-        )
-        targets = known.join(leaders.where(F.col("round") > 0), "kid")
-        late = similar_pairs(
-            probes,
-            targets,
-            threshold,
-            lambda a, b: (F.col(f"{b}.kid") < F.col(f"{a}.bound")) & (F.col(f"{b}.round") > F.col(f"{a}.round")),
-        )
-        both = first.unionByName(late.select(F.col("hi").alias("kid"), F.col("lo").alias("leader")))
-        first = both.groupBy("kid").agg(F.min("leader").alias("leader"))
-    own = leaders.select("kid", F.col("kid").alias("leader"))
-    return scratch.save(own.unionByName(first), "assignment")

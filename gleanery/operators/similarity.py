@@ -1,37 +1,49 @@
 """Lossless similarity join on Ratcliff/Obershelp ratio.
 
 The ratio of two keys of total length T is 2M/T, M the characters in matching blocks.
-For ratio >= t (t > 0.8) these follow, so they can be tested without losing a pair:
-
-* the shorter key has at least t/(2-t) times the length of the longer one;
-* the T-2M unmatched characters leave at most T-2M+1 blocks, and a block of m characters
-  holds m-1 bigrams, so the keys share at least 3M-T-1 bigrams (as multisets); hashed
-  into a bit signature, a key cannot have more bits alone than bigrams it does not share;
-* removing and inserting the unmatched characters turns one key into the other, so
-  their edit distance is at most (1-t)T.
-
-Candidates meet on a bigram of their prefixes (the rarest bigrams of a key, as many as a
-similar key cannot avoid sharing).  The tests above are the residual condition of that
-equi-join, so a pair leaves the join once, and only if it passed all of them.  The ratio
-itself is computed by an Arrow function on what is left.
+For ratio >= t at most u = T - 2 * ceil(t * T / 2) characters are left unmatched, so these
+follow and can be tested without losing a pair:
+
+* the lengths differ by at most u;
+* the multisets of characters differ by at most u;
+* at most u + 1 blocks hold the M characters and a block of m has m - 1 bigrams, so the
+  multisets of bigrams differ by at most 3u;
+* the blocks are a common subsequence, so the longest one has at least M characters.
+
+A key carries bits "holds this character (this bigram) at least so many times".  Two keys differ
+in no more bits than their multisets differ by, whichever bits are taken; those that
+about half of some keys have are taken, because they tell most keys apart.
+
+Keys are dealt to parts, and a cell of the grid compares one part with another: bits by vector
+operations, one target against all probes of the cell at a time.  A cell needs the memory of
+its two parts.  All pairs meet, as an exact join at this threshold needs for keys that
+resemble nothing, at about a nanosecond each; common subsequences are measured bit-parallel for
+what is left, and the ratio is computed for what is left then.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.85
-SLOTS = 1 << 14  # bigrams are hashed to this many slots: bounds the frequency table
-_OCCURRENCES = 1 << 20
-SALT_ROWS = 50_000  # rows of one bigram that share a join key before it is split
-WORDS = 16  # 64-bit words of a key's bigram signature
-BANDS, BAND_SIZE = 6, 3
+SALT_ROWS = 50_000  # keys of a part
+CELLS = 64  # cells that a join of some size has at least, to spread its work
+LEAST_ROWS = 2_000  # keys of a part below which it is not split to that end
+CHARACTERS, BIGRAMS = 128, 1024  # what characters and bigrams are hashed to
+WORDS = (2, 8)  # 64-bit words of bits on characters and on bigrams
+_CHOSEN_FROM = 4096  # keys that the choice of bits looks at; it steers the work, never the result
+_LOOKED_AT = 1000  # their characters it looks at
+_FEW_LEFT = 40  # survivors of a target from which on vector operations pay
+_LONGEST = 1024  # characters of a key up to which a table of characters is held for vectors
+_AT_ONCE = 8192
 _EPSILON = 1e-9
 
 
@@ -40,123 +52,315 @@ def _check(threshold: float) -> None:
         raise ValueError("the bigram bound needs a threshold above 0.8")
 
 
-def _slots(key: Column) -> Column:
-    grams = F.transform(
-        F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, F.lit(2))
-    )
-    hashed = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(SLOTS)).cast("int"))
-    return F.when(F.length(key) > 1, F.array_sort(hashed)).otherwise(F.array().cast("array<int>"))
+def unmatched(total: np.ndarray | int, threshold: float) -> np.ndarray:
+    """Characters two keys of this total length may leave unmatched."""
+    total = np.asarray(total)
+    return total - 2 * np.ceil(total * (threshold / 2) - _EPSILON).astype(np.int64)
+
+
+def _counts(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per key how often it holds each hashed character and bigram."""
+    n = np.array([len(k) for k in keys], np.int64)
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), n)
+    chars = np.bincount(row * CHARACTERS + codes % CHARACTERS, minlength=len(keys) * CHARACTERS)
+    pair = row[1:] == row[:-1]
+    slot = (codes[:-1] * 1_000_003 + codes[1:] * 8191)[pair] % 1_000_000_007 % BIGRAMS
+    grams = np.bincount(row[1:][pair] * BIGRAMS + slot, minlength=len(keys) * BIGRAMS)
+    return chars.reshape(len(keys), CHARACTERS), grams.reshape(len(keys), BIGRAMS)
+
+
+def _choose(keys: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashed values, times) of the bits on characters and on bigrams, the most telling first."""
+    sums: list[dict[tuple[int, int], int]] = [{}, {}]
+    for at in range(0, len(keys), 1000):
+        for seen, counts in zip(sums, _counts(keys[at : at + 1000]), strict=True):
+            for times in range(1, min(int(counts.max(initial=0)), 64) + 1):
+                having = (counts >= times).sum(0)
+                for value in np.flatnonzero(having):
+                    seen[int(value), times] = seen.get((int(value), times), 0) + int(having[value])
+    out = []
+    for seen, words in zip(sums, WORDS, strict=True):
+        told = sorted(seen, key=lambda bit: (abs(2 * seen[bit] - len(keys)), bit))[: words * 64]
+        told += [(0, 1 << 30)] * (words * 64 - len(told))  # bits nobody has
+        values, times = zip(*told, strict=True)
+        out.append((np.array(values), np.array(times)))
+    return out
+
+
+def _signed(bits: list[tuple[np.ndarray, np.ndarray]]):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = [k or "" for k in part.column("key").to_pylist()]
+                held = [c[:, values] >= times for c, (values, times) in zip(_counts(keys), bits, strict=True)]
+                packed = np.packbits(np.hstack(held), axis=1)
+                columns = [part.column("kid"), part.column("key"), pa.array([len(k) for k in keys], pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["kid", "key", "n", "bits"])
+
+    return sign
 
 
-def slot_order(keys: DataFrame) -> tuple[Column, Column]:
-    """Position of every slot in the order rare to frequent, and the number of bigrams at
-    every position, as two array literals.
+def profile(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Keys with all that the join needs: (kid, key, n, bits, salts).
 
-    Counting combines map-side, and the table that comes to the driver has SLOTS rows
-    whatever the data size.
+    ``salts`` holds the number of parts that so many keys are dealt to.  The count and at most
+    _CHOSEN_FROM keys, cut to _LOOKED_AT characters, come to the driver.
     """
-    used = keys.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    counts = [0] * SLOTS
-    for row in used.collect():
-        counts[row["slot"]] = row["n"]
-    by_count = sorted(range(SLOTS), key=lambda slot: (counts[slot], slot))
-    at = [0] * SLOTS
-    for position, slot in enumerate(by_count):
-        at[slot] = position
-    return _array_literal(at, "int"), _array_literal([counts[s] for s in by_count], "bigint")
-
-
-def _array_literal(values: list[int], kind: str) -> Column:
-    """Folded to one literal by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    _check(threshold)
+    looked = keys.select(F.coalesce(F.substring("key", 1, _LOOKED_AT), F.lit("")).alias("key"), F.xxhash64("kid").alias("_h"))
+    bits = _choose([r.key for r in looked.orderBy("_h").limit(_CHOSEN_FROM).collect()])
+    parts = max(math.ceil(keys.count() / SALT_ROWS), 1)
+    signed = keys.select("kid", "key").mapInArrow(_signed(bits), "kid long, key string, n int, bits binary")
+    return signed.withColumn("salts", F.array(F.lit(parts)))
+
+
+class _Side:
+    """The keys of a cell's side, ordered by length or number."""
+
+    def __init__(self, table: pa.Table, by: str):
+        self.table = table.sort_by(by)
+        self.kid = self.table.column("kid").to_numpy()
+        self.n = self.table.column("n").to_numpy()
+        self.keys = [k or "" for k in self.table.column("key").to_pylist()]
+        raw = b"".join(self.table.column("bits").to_pylist())
+        self.words = np.ascontiguousarray(np.frombuffer(raw, np.uint64).reshape(len(self.kid), sum(WORDS)).T)
+
+    def keep(self, chosen: np.ndarray) -> None:
+        self.kid, self.n, self.words = self.kid[chosen], self.n[chosen], np.ascontiguousarray(self.words[:, chosen])
+        self.keys = [self.keys[i] for i in np.flatnonzero(chosen)]
+
+
+class _Filter:
+    """Positions in ``probes`` (ordered by length) that may be similar to a target."""
+
+    def __init__(self, probes: _Side, threshold: float):
+        self.probes, self.threshold = probes, threshold
+        self.buffer = np.empty(len(probes.n), np.uint64)
+        self.differ = np.empty(len(probes.n), np.uint8)
+        self.most: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
+        longest = int(probes.n.max(initial=0))
+        self.codes = _codes(probes.keys, longest) if longest <= _LONGEST else None
+
+    def _bounds(self, n: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """First and last probe of a length that fits, what may be unmatched, and that as a byte."""
+        if n not in self.most:
+            if len(self.most) >= 64:
+                self.most.clear()
+            u = unmatched(self.probes.n.astype(np.int64) + n, self.threshold)
+            fits = np.flatnonzero((np.abs(self.probes.n - n) <= u) & (self.probes.n > 0))
+            first, last = (int(fits[0]), int(fits[-1]) + 1) if len(fits) and n else (0, 0)
+            u = u[first:last]
+            self.most[n] = first, last, u, np.clip(u, 0, 255).astype(np.uint8)
+        return self.most[n]
+
+    def near(self, key: str, word: np.ndarray) -> np.ndarray:
+        n = len(key)
+        first, last, most, most_byte = self._bounds(n)
+        if first == last:
+            return np.empty(0, np.int64)
+        words = self.probes.words
+        buffer, differ = self.buffer[: last - first], self.differ[: last - first]
+        np.bitwise_xor(words[0, first:last], word[0], out=buffer)
+        np.bitwise_count(buffer, out=differ)
+        at = np.flatnonzero(differ <= most_byte)
+        told = differ[at].astype(np.int64)
+        for w in range(1, sum(WORDS)):
+            if not len(at):
+                break
+            if w == WORDS[0]:
+                told = np.zeros(len(at), np.int64)
+            told = told + np.bitwise_count(words[w, first + at] ^ word[w])
+            kept = told <= most[at] * (1 if w < WORDS[0] else 3)
+            at, told = at[kept], told[kept]
+        return first + at
+
+    def alike(self, key: str, at: np.ndarray) -> np.ndarray:
+        """Those of the positions whose longest common subsequence with the key is long enough."""
+        if not len(at):
+            return at
+        total = self.probes.n[at].astype(np.int64) + len(key)
+        least = (total - unmatched(total, self.threshold)) // 2
+        if len(at) < _FEW_LEFT or self.codes is None:
+            masks: dict[str, int] = {}
+            for i, c in enumerate(key):
+                masks[c] = masks.get(c, 0) | 1 << i
+            common = [_subsequence(masks, len(key), self.probes.keys[j]) for j in at.tolist()]
+            return at[np.array(common) >= least]
+        codes = _codes([key], len(key))[0]
+        parts = [at[i : i + _AT_ONCE] for i in range(0, len(at), _AT_ONCE)]
+        common = np.concatenate([_subsequences(codes, self.codes[p, : int(self.probes.n[p].max())].T) for p in parts])
+        return at[common >= least]
+
+
+def _codes(keys: list[str], width: int) -> np.ndarray:
+    """A row of hashed characters per key, 255 where it has ended."""
+    n = np.array([len(k) for k in keys], np.int64)
+    out = np.full((len(keys), width), 255, np.uint8)
+    told = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(width) < n[:, None]] = told % 251
+    return out
+
+
+def _subsequence(masks: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of a key of n characters, given by their places, and another."""
+    full = open_ = (1 << n) - 1
+    for c in other:
+        mask = masks.get(c)
+        if mask:
+            met = open_ & mask
+            open_ = (open_ + met | open_ - met) & full
+    return n - open_.bit_count()
+
+
+def _subsequences(key: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The same of one key and the columns of ``others``, as 64-bit words with carry."""
+    words = -(-len(key) // 64)
+    table = np.zeros((words, 256), np.uint64)
+    place = np.arange(len(key))
+    np.bitwise_or.at(table, (place // 64, key), np.uint64(1) << (place % 64).astype(np.uint64))
+    open_ = np.full((words, others.shape[1]), ~np.uint64(0))
+    for codes in np.ascontiguousarray(others):
+        carry = None
+        for w in range(words):
+            mask, before = table[w][codes], open_[w]
+            met = before & mask
+            total = before + met
+            over = total < before
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(np.uint64) if w + 1 < words else None
+            open_[w] = total | (before ^ met)
+    last = len(key) - 64 * (words - 1)
+    if last < 64:
+        open_[-1] |= ~np.uint64((1 << last) - 1)
+    return np.bitwise_count(~open_).sum(0, dtype=np.int64)
+
+
+def _pairs_of(threshold: float):
+    """All pairs of a cell that pass; two targets of one part come out once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        on_probes = table.column("_side").to_numpy() == 0
+        probes, targets = _Side(table.filter(pa.array(on_probes)), "n"), _Side(table.filter(pa.array(~on_probes)), "kid")
+        both = probes.table.column("_once").to_numpy(zero_copy_only=False)
+        lo, hi, later, earlier = [], [], [], []
+        filtered = _Filter(probes, threshold)
+        for i, kid in enumerate(targets.kid):
+            at = filtered.near(targets.keys[i], targets.words[:, i])
+            at = at[(probes.kid[at] != kid) & (~both[at] | (probes.kid[at] > kid))]
+            for j in filtered.alike(targets.keys[i], at):
+                mine, other = (probes.kid[j], probes.keys[j]), (kid, targets.keys[i])
+                (low, first), (high, second) = (other, mine) if mine[0] > kid else (mine, other)
+                lo.append(low), hi.append(high), later.append(second), earlier.append(first)
+        arrays = [pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(later, pa.string()), pa.array(earlier, pa.string())]
+        return pa.Table.from_arrays(arrays, ["lo", "hi", "later", "earlier"])
+
+    return run
+
+
+def _lead(probes: _Side, targets: _Side | None, threshold: float) -> pa.Table:
+    """(kid, leader): the lowest target each probe is similar to.
+
+    Without targets the probes are gone through in the order of their numbers, and one that no
+    leader covers leads itself.
+    """
+    kids, leaders = [], []
+    matcher = SequenceMatcher(None)
+    own = targets is None
+    one = targets or _Side(probes.table, "kid")
+    covered = np.zeros(len(probes.kid), bool)
+    place = {k: i for i, k in enumerate(probes.kid.tolist())} if own else {}
+    filtered = _Filter(probes, threshold)
+    for i, kid in enumerate(one.kid.tolist()):
+        if own:
+            if covered[place[kid]]:
+                continue
+            covered[place[kid]] = True
+            kids.append(kid), leaders.append(kid)
+        at = filtered.near(one.keys[i], one.words[:, i])
+        at = filtered.alike(one.keys[i], at[(probes.kid[at] > kid) & ~covered[at]])
+        if len(at):
+            matcher.set_seq2(one.keys[i])
+        for j in at.tolist():
+            matcher.set_seq1(probes.keys[j])
+            if matcher.ratio() >= threshold:
+                covered[j] = True
+                kids.append(int(probes.kid[j])), leaders.append(kid)
+        if not own and covered.sum() * 2 > len(covered):  # what is covered is looked at no more
+            probes.keep(~covered)
+            covered = np.zeros(len(probes.kid), bool)
+            filtered = _Filter(probes, threshold)
+    return pa.Table.from_arrays([pa.array(kids, pa.int64()), pa.array(leaders, pa.int64())], ["kid", "leader"])
+
+
+def _nearest_of(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        on_probes = table.column("_side").to_numpy() == 0
+        probes, targets = _Side(table.filter(pa.array(on_probes)), "n"), _Side(table.filter(pa.array(~on_probes)), "kid")
+        return _lead(probes, targets, threshold)
+
+    return run
+
+
+def _loop_of(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        return _lead(_Side(table, "n"), None, threshold)
+
+    return run
+
+
+_CELL = ("kid", "key", "n", "bits")
+
+
+def _dealt(keys: DataFrame, parts: int, side: int, others: Column, cell: Callable[[Column, Column], Column], once: Column) -> DataFrame:
+    part = F.pmod(F.xxhash64("kid"), F.lit(parts)).cast("int")
+    rows = keys.withColumn("_part", part).select(*_CELL, F.lit(side).alias("_side"), once.alias("_once"), "_part", F.explode(others).alias("_other"))
+    return rows.select(*_CELL, "_side", "_once", cell(F.col("_part"), F.col("_other")).alias("_cell"))
+
+
+def _spread(rows: DataFrame, cells: int) -> DataFrame:
+    """Every cell in a task of its own, as far as hashing goes."""
+    return rows.repartition(max(cells, 1), "_cell")
+
+
+def candidates(probes: DataFrame, targets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of a probe and a target that pass every necessary condition.
 
+    Both are profiles, targets some of the probes (``is_target`` on the probe) or none.  A pair of
+    two targets comes out once: in the cell of the later part, or by number inside a part.
+    """
+    told = targets.agg(F.max(F.get("salts", F.lit(0))).alias("parts"), F.count("*").alias("n")).first()
+    parts = max(told.parts or 1, min(math.isqrt(2 * CELLS), math.ceil(told.n / LEAST_ROWS)), 1)
+    part, upto = F.col("_part"), F.lit(parts - 1)
+    left = _dealt(
+        probes, parts, 0, F.sequence(F.lit(0), F.when(F.col("is_target"), part).otherwise(upto)),
+        lambda own, other: own * parts + other, F.col("is_target"),
+    )
+    right = _dealt(targets, parts, 1, F.sequence(F.lit(0), upto), lambda own, other: other * parts + own, F.lit(True))
+    # in a cell of two parts no pair comes up twice; inside one part the number decides
+    rows = left.unionByName(right).withColumn("_once", F.col("_once") & (F.floor(F.col("_cell") / parts) == F.col("_cell") % parts))
+    return _spread(rows, parts * parts).groupBy("_cell").applyInArrow(
+        _pairs_of(threshold), "lo long, hi long, later string, earlier string"
+    )
 
-def least_shared(total: Column, threshold: float) -> Column:
-    """Bigrams two keys of this total length must share."""
-    matched = F.ceil(total * F.lit(threshold / 2) - _EPSILON)
-    return matched * 3 - total - 1
 
+def nearest(probes: DataFrame, targets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(kid, leader): the lowest-numbered target before it that a probe is similar to, for probes that have one."""
+    many, few = probes.count(), targets.count()
+    across = max(math.ceil(few / SALT_ROWS), 1)
+    parts = max(math.ceil(many / SALT_ROWS), min(math.ceil(CELLS / across), math.ceil(many / LEAST_ROWS)), 1)
+    left = _dealt(probes, parts, 0, F.sequence(F.lit(0), F.lit(across - 1)), lambda own, other: own * across + other, F.lit(False))
+    right = _dealt(targets, across, 1, F.sequence(F.lit(0), F.lit(parts - 1)), lambda own, other: other * across + own, F.lit(False))
+    found = _spread(left.unionByName(right), parts * across).groupBy("_cell").applyInArrow(_nearest_of(threshold), "kid long, leader long")
+    return found.groupBy("kid").agg(F.min("leader").alias("leader"))
 
-def profile(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Keys with all that the join needs: (kid, key, n, prefix, salts, bands, bits, w0…).
 
-    ``prefix`` are bigrams as (order, occurrence) numbers, ascending, rare first.
-    """
-    _check(threshold)
-    hashed = keys.withColumns({"slots": _slots(F.col("key")), "n": F.length("key")})
-    position, rows_at = slot_order(hashed)
-    with_order = hashed.withColumn(
-        "grams",
-        F.array_sort(
-            F.transform(
-                F.col("slots"),
-                # the occurrence number is the distance to the slot's first position
-                lambda s, i: F.element_at(position, s + 1).cast("long") * _OCCURRENCES
-                + (i - F.array_position("slots", s) + 1),
-            )
-        ),
-    )
-    ratio = threshold / (2 - threshold)
-    n = F.col("n")
-    least_total = F.greatest(n + F.ceil(n * ratio - _EPSILON), F.lit(math.ceil(1 / (1 - threshold + _EPSILON))))
-    most_total = n + F.floor(n / ratio + _EPSILON)
-    shared = F.greatest(F.ceil(least_total * (1.5 * threshold - 1) - 1 - _EPSILON), F.lit(1))
-    # different keys of a short total length are never similar: nothing to meet on
-    length = F.when(most_total * (1 - threshold) < 1 - _EPSILON, 0).otherwise(
-        F.greatest(n - shared, F.lit(0))
-    )
-    prefixed = with_order.withColumn("prefix", F.slice("grams", F.lit(1), length.cast("int")))
-    split = F.transform(
-        "prefix",
-        lambda g: F.ceil(
-            F.element_at(rows_at, (g / F.lit(_OCCURRENCES)).cast("int") + 1) / F.lit(float(SALT_ROWS))
-        ).cast("int"),
-    )
-    alone = F.array(F.xxhash64("kid"))  # a key that can meet nobody is in no group
-    return prefixed.withColumns(
-        {
-            "salts": split,
-            **signature(F.col("grams")),
-            "bands": F.when(F.size("prefix") == 0, alone).otherwise(bands(F.col("grams"))),
-        }
-    ).drop("slots", "grams")
-
-
-def signature(grams: Column) -> dict[str, Column]:
-    """A bit per bigram, hashed, in WORDS long columns, and the number of bits set."""
-    bits = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(WORDS * 64)).cast("int"))
-    distinct = F.array_distinct(bits)
-    zero = F.lit(0).cast("long")
-
-    def word(w: int) -> Column:
-        mine = F.filter(distinct, lambda b: (b >= w * 64) & (b < w * 64 + 64))
-        one = F.lit(1).cast("long")
-        return F.aggregate(
-            mine, zero, lambda seen, b: seen.bitwiseOR(F.call_function("shiftleft", one, b - w * 64))
-        )
-
-    return {"bits": F.size(distinct), **{f"w{w}": word(w) for w in range(WORDS)}}
-
-
-def _common_bits(a: str, b: str) -> Column:
-    total = F.lit(0)
-    for w in range(WORDS):
-        total = total + F.bit_count(F.col(f"{a}.w{w}").bitwiseAND(F.col(f"{b}.w{w}")))
-    return total
-
-
-def bands(grams: Column) -> Column:
-    """Signatures near copies tend to share.  They steer the work, never the result."""
-
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(seed))))
-
-    return F.array(
-        *[
-            F.xxhash64(F.lit(b), *[least(b * BAND_SIZE + r) for r in range(BAND_SIZE)])
-            for b in range(BANDS)
-        ]
-    )
+def one_by_one(block: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(kid, leader) of a block that fits a task: every key, a leader its own."""
+    return block.select(*_CELL, F.lit(0).alias("_cell")).groupBy("_cell").applyInArrow(_loop_of(threshold), "kid long, leader long")
 
 
 def _ratio_at_least(threshold: float):
@@ -177,85 +381,13 @@ def _ratio_at_least(threshold: float):
     return similar.asNondeterministic()
 
 
-def candidates(
-    probes: DataFrame,
-    targets: DataFrame,
-    threshold: float = THRESHOLD,
-    extra: Callable[[str, str], Column] | None = None,
-) -> DataFrame:
-    """Pairs of a probe and a target that pass every necessary condition.
-
-    Both are profiles; targets should be the smaller side.  A bigram held by many keys is
-    split: its probes spread over salts, its targets are repeated per salt.  A pair of
-    two targets (``is_target`` on the probe) comes out once.
-    """
-    met = F.posexplode(F.arrays_zip("prefix", "salts"))
-    left = probes.select("*", met.alias("_at", "_t")).select(
-        *probes.columns,
-        "_at",
-        F.col("_t.prefix").alias("_gram"),
-        F.pmod(F.xxhash64("kid"), F.col("_t.salts")).cast("int").alias("_salt"),
-    )
-    right = targets.select("*", met.alias("_at", "_t")).select(
-        *targets.columns,
-        "_at",
-        F.col("_t.prefix").alias("_gram"),
-        F.explode(F.sequence(F.lit(0), F.col("_t.salts") - 1)).alias("_salt"),
-    )
-    # merge: the exploded side is far larger than the file size a broadcast is decided on
-    a, b = left.alias("a"), right.hint("merge").alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    shared = least_shared(total, threshold)
-    ratio = threshold / (2 - threshold)
-    condition = (
-        (F.col("a._gram") == F.col("b._gram"))
-        & (F.col("a._salt") == F.col("b._salt"))
-        & (F.col("a.kid") != F.col("b.kid"))
-        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * ratio - _EPSILON)
-        & (~F.col("a.is_target") | (F.col("a.kid") > F.col("b.kid")))
-        # what can still be shared from here on
-        & (F.least(F.col("a.n") - F.col("a._at"), F.col("b.n") - F.col("b._at")) - 1 >= shared)
-        # the bits a key has alone are at most the bigrams it does not share
-        & (
-            _common_bits("a", "b")
-            >= shared + 1 + F.greatest(F.col("a.bits") - F.col("a.n"), F.col("b.bits") - F.col("b.n"))
-        )
-    )
-    if extra is not None:
-        condition = condition & extra("a", "b")
-    before_a = F.slice("a.prefix", F.lit(1), F.col("a._at"))
-    before_b = F.slice("b.prefix", F.lit(1), F.col("b._at"))
-    condition = (
-        condition
-        & ~F.arrays_overlap(before_a, before_b)  # met on an earlier bigram already
-        & (_edits(F.col("a.key"), F.col("b.key"), total, threshold) >= 0)
-    )
-    return a.join(b, condition).select(
-        F.least("a.kid", "b.kid").alias("lo"),
-        F.greatest("a.kid", "b.kid").alias("hi"),
-        F.when(F.col("a.kid") > F.col("b.kid"), F.col("a.key")).otherwise(F.col("b.key")).alias("later"),
-        F.when(F.col("a.kid") > F.col("b.kid"), F.col("b.key")).otherwise(F.col("a.key")).alias("earlier"),
-    )
-
-
-def _edits(a: Column, b: Column, total: Column, threshold: float) -> Column:
-    """Edit distance, or -1 as soon as it exceeds what a similar pair can have."""
-    most = F.floor(total * (1 - threshold) + _EPSILON).cast("int")
-    return F.call_function("levenshtein", a, b, most)
-
-
-def similar_pairs(
-    probes: DataFrame,
-    targets: DataFrame,
-    threshold: float = THRESHOLD,
-    extra: Callable[[str, str], Column] | None = None,
-) -> DataFrame:
+def similar_pairs(probes: DataFrame, targets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(lo, hi): verified pairs; the later key is the first argument of the ratio.
 
     Verifying costs far more than moving a pair, so pairs are spread evenly before it:
     by both ids, because one leader may be in a third of them.
     """
-    found = candidates(probes, targets, threshold, extra)
+    found = candidates(probes, targets, threshold)
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = found.repartition(parts, "lo", "hi").sortWithinPartitions("lo")
     return spread.where(_ratio_at_least(threshold)(F.col("later"), F.col("earlier"))).select("lo", "hi")

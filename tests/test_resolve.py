@@ -104,3 +104,62 @@ def test_pairs_are_spread_before_they_are_verified(spark):
     table = Scratch(spark, "test").save(profile(frame(spark, ["abcdefgh", "abcdefgi", "zzz"])), "p").withColumn("is_target", F.lit(True))
     plan = similar_pairs(table, table.drop("is_target"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
+
+
+def rows_written(spark, keys, monkeypatch):
+    """How many rows the clustering writes, all its intermediate tables together."""
+    written, save = [], Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        written.append(out.count())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(Scratch, "save", counted)
+        found = {r.kid: r.leader for r in L.assign_leaders(frame(spark, keys), Scratch(spark, "test")).collect()}
+    return found, sum(written)
+
+
+def test_near_copies_are_not_compared_with_each_other(spark, monkeypatch):
+    keys = [f"customer#{i:09d} nation {i % 3}" for i in range(0, 30_000, 10)]
+    found, written = rows_written(spark, keys, monkeypatch)
+    assert found == greedy(keys, 0.85)
+    assert written < 6 * len(keys)
+
+
+@pytest.mark.parametrize("size", [(4, 45), (60, 150)])
+def test_nearest_equals_all_pairs(spark, monkeypatch, size):
+    import gleanery.operators.similarity as S
+
+    monkeypatch.setattr(S, "SALT_ROWS", 40)
+    keys = near_copies(7, 10, 150, size) + ["", "x" * 1100, "x" * 1099 + "y"]
+    table = Scratch(spark, "test").save(profile(frame(spark, keys)), "p")
+    got = {r.kid: r.leader for r in S.nearest(table, table.where("kid % 3 <> 1")).collect()}
+    want = {}
+    for i, key in enumerate(keys):
+        for j in range(i):
+            if j % 3 != 1 and SequenceMatcher(None, key, keys[j]).ratio() >= 0.85:
+                want[i] = j
+                break
+    assert got == want and len(want) > 20
+
+
+def test_common_subsequences():
+    import gleanery.operators.similarity as S
+
+    rng = random.Random(4)
+    for n in (1, 63, 64, 65, 128, 130):
+        key = "".join(rng.choice("abcd") for _ in range(n))
+        others = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 150))) for _ in range(20)]
+        want = []
+        for other in others:
+            row = [0] * (len(other) + 1)
+            for x in key:
+                last = row[:]
+                for j, y in enumerate(other):
+                    row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+            want.append(row[-1])
+        masks = {c: sum(1 << i for i, k in enumerate(key) if k == c) for c in key}
+        assert [S._subsequence(masks, n, o) for o in others] == want
+        assert S._subsequences(S._codes([key], n)[0], S._codes(others, 150).T).tolist() == want
