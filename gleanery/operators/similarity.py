@@ -17,7 +17,7 @@ about half of some keys have are taken, because they tell most keys apart.
 Keys are dealt to parts, and a cell of the grid compares one part with another: bits by vector
 operations, one target against all probes of the cell at a time.  A cell needs the memory of
 its two parts.  All pairs meet, as an exact join at this threshold needs for keys that
-resemble nothing, at about a nanosecond each; common subsequences are measured bit-parallel for
+resemble nothing, on one 64-bit word first; common subsequences are measured bit-parallel for
 what is left, and the ratio is computed for what is left then.
 """
 
