@@ -16,7 +16,7 @@ from gleanery.functions.listing import (
     neighborhood_of,
 )
 from gleanery.functions.text import or_default, strip, text
-from gleanery.operators.order import first_wins
+from gleanery.operators.order import first_wins_wide
 from gleanery.schema import HOURS, ORDER, ORDER_COLUMNS, PLACE, conform, places_with_nulls
 from gleanery.settings import Run
 from gleanery.sources.landing import explode_items, rejects
@@ -89,14 +89,14 @@ def google_search(raw: DataFrame) -> DataFrame:
     parsed = raw.withColumn("_r", F.from_json("payload", f"results array<{_GOOGLE}>"))
     rows = explode_items(parsed, F.col("_r")["results"], "found").drop("_r")
     rows = rows.withColumn("place_id", F.col("found.place_id")).where(text(F.col("place_id")) != "")
-    return first_wins(rows, ["source", "place_id"], ORDER_COLUMNS)
+    return first_wins_wide(rows, ["source", "place_id"], ORDER_COLUMNS, "place_id")
 
 
 def google_details(raw: DataFrame) -> DataFrame:
     """(place_id, detail) from detail payloads."""
     parsed = raw.select(F.from_json("payload", f"result {_GOOGLE}")["result"].alias("detail"), "source", "seq")
     keyed = parsed.withColumn("place_id", F.col("detail.place_id")).where(text(F.col("place_id")) != "")
-    return first_wins(keyed, ["place_id"], ["seq"]).select("place_id", "detail")
+    return first_wins_wide(keyed, ["place_id"], ["seq"], "place_id").select("place_id", "detail")
 
 
 def google_places(search: DataFrame, details: DataFrame, run: Run) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.schema import MAIL, RAW
 from gleanery.settings import Run
 from gleanery.sources import mail as M
-from gleanery.sources.places import read_places
+from gleanery.sources.places import google_places, read_places
 from gleanery.sources.registry import (
     SOURCES,
     Inputs,
@@ -218,3 +218,34 @@ def test_pages_are_not_read_again_and_again(spark, tmp_path, source, scans):
     landed(spark, source, "<p>x</p>").write.parquet(path)
     plan = read_source(source, spark.read.parquet(path), RUN)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == scans
+
+
+def found_places(spark):
+    """Search results of 60 queries that share places, one of them found by all; repeated within a payload too."""
+    def result(pid, n):
+        return {"place_id": pid, "name": f"{pid} by {n}", "formatted_address": "a"}
+
+    texts = [json.dumps({"results": [result(p, n) for p in (f"p{n % 7}", "hot", f"p{n % 7}", "", None)]}) for n in range(60)]
+    details = [json.dumps({"result": result(f"p{n % 3}", f"detail {n}")}) for n in range(20)]
+    return landed(spark, "google_places", *reversed(texts)), landed(spark, "google_places/details", *details)
+
+
+def test_search_results_are_not_sorted_before_they_are_dealt(spark, tmp_path):
+    for name, rows in zip(("search", "details"), found_places(spark), strict=True):
+        rows.write.parquet(str(tmp_path / name))
+    search, details = (spark.read.parquet(str(tmp_path / name)) for name in ("search", "details"))
+    plan = google_places(search, details, RUN)._jdf.queryExecution().executedPlan().toString()
+    above = []  # (depth, operator) from the root to the line
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [a for a in above if a[0] < depth] + [(depth, line.lstrip(" :+-"))]
+        if "FileScan" in line:
+            below = [name for _, name in above]
+            dealt = max(n for n, name in enumerate(below) if name.startswith("Exchange"))
+            assert not [x for x in below[dealt:] if x.startswith(("Sort", "WindowGroupLimit"))]
+
+
+def test_first_of_each_place_wins(spark):
+    got = {r.source_id: (r.name, r.seq) for r in google_places(*found_places(spark), RUN).collect()}
+    want = {"hot": ("hot by 59", 0)} | {f"p{n % 7}": (f"p{n % 7} by {n}", 59 - n) for n in range(53, 60)}
+    assert got == {k: (f"{k} by detail {k[1]}" if k in ("p0", "p1", "p2") else v[0], v[1]) for k, v in want.items()}
