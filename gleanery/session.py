@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,18 @@ def release_all(spark: SparkSession) -> None:
     fs.delete(target, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int = 2 << 20) -> Iterator[None]:
+    """Inside the block Python workers get their rows in batches of about ``most`` bytes, however many rows that are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables of one job below the shared folder.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.session import Scratch
+from gleanery.session import Scratch, arrow_batches
 
 _ESCAPED = re.compile(rb"\\.", re.S)
 _TOKEN = re.compile(rb'\\.|["\[\]{}]', re.S)
@@ -35,6 +35,9 @@ _AFTER_LAST = re.compile(rb"\s*(?:,\s*null\s*)*")
 _NO_ITEM = re.compile(rb"\s*(?:null\s*(?:,\s*null\s*)*)?")
 _NAMED = re.compile(rb"\s*:\s*")
 
+#: Bytes of pieces or parts that a Python worker holds at a time; a longer one alone.
+_HELD = 2 << 20
+
 #: Text that is in no array of items.
 _ELSEWHERE = b""
 
@@ -219,7 +222,7 @@ def _cut(key: str):
                 cutter, at, seq = _Cutter(wanted, bool(inside), depth, base), (name, start), 0
             cutter.take(piece)
             drain()
-            if size >= 8 << 20:
+            if size >= _HELD:
                 yield batch_of(rows)
                 rows, size = [], 0
         if cutter:
@@ -243,13 +246,16 @@ def read_items(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, lis
     """
     store = Scratch(spark, "documents")
     pieces = _pieces(spark, path)
-    starts = store.save(_starts(store.save(pieces.mapInArrow(_measure, _RANGE), "ranges")), "starts")
+    with arrow_batches(spark, _HELD):
+        ranges = store.save(pieces.mapInArrow(_measure, _RANGE), "ranges")
+    starts = store.save(_starts(ranges), "starts")
     closed = starts.groupBy("file").agg(F.sum("opened").alias("depth"), (F.sum("flips") % 2).alias("inside"))
     broken = _first_files(closed.where("depth <> 0 or inside <> 0"))
     if broken:
         raise ValueError(f"brackets or quotes of a document do not close: {broken}")
     placed = pieces.join(F.broadcast(starts.drop("opened", "flips")), ["file", "start"])
-    parts = store.save(placed.select("file", "start", "inside", "depth", "base", "piece").mapInArrow(_cut(key), _PART), "parts")
+    with arrow_batches(spark, _HELD):
+        parts = store.save(placed.select("file", "start", "inside", "depth", "base", "piece").mapInArrow(_cut(key), _PART), "parts")
 
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     ends = parts.where("kind = 'end'").select("file", "start", F.last("section", True).over(before).alias("inherited"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanery.plans.snapshot import import_postings
 from gleanery.settings import Run
+from gleanery.sources import documents as D
 from gleanery.sources.documents import _cut, _measure, read_items
 
 
@@ -153,3 +154,31 @@ def test_broken_documents_fail_in_small_ranges(spark, tmp_path, ranges):
         path.write_text(text)
         with pytest.raises(ValueError):
             read_items(spark, str(path), "jobs")
+
+
+def test_workers_hold_little_however_large_a_range_is(spark, tmp_path, monkeypatch):
+    rows = [{"id": f"i{n}", "description": "x" * 3000} for n in range(8000)]
+    (tmp_path / "d.json").write_text(json.dumps({"jobs": rows}))
+    seen = str(tmp_path / "seen")
+
+    def watched(f):
+        def run(batches):
+            def told():
+                for batch in batches:
+                    with open(seen, "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return f(told())
+
+        return run
+
+    monkeypatch.setattr(D, "_measure", watched(_measure))
+    monkeypatch.setattr(D, "_cut", lambda key: watched(_cut(key)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    items, _ = D.read_items(spark, str(tmp_path / "d.json"), "jobs")
+    assert items.count() == 8000
+    with open(seen) as told:
+        sizes = [int(x) for x in told]
+    assert sum(sizes) > 2 * 8000 * 3000 and max(sizes) < 3 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before

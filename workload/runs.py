@@ -16,7 +16,7 @@ from gleanery.plans.places import places_job
 from gleanery.plans.postings import postings_run
 from gleanery.plans.snapshot import SnapshotTable, envelope, import_places, import_postings
 from gleanery.schema import PLACE, POSTING, RAW, conform
-from gleanery.session import Scratch
+from gleanery.session import Scratch, arrow_batches
 from gleanery.settings import Preferences, Run
 from gleanery.sources.places import DETAILS
 from gleanery.sources.registry import Inputs
@@ -223,7 +223,8 @@ def _json_documents(items: DataFrame, path: str, key: str | None) -> str:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array([closing if before == "," else before + closing])], ["value"])
 
-    items.select(F.to_json(F.struct("*")).alias("item")).mapInArrow(lines, "value string").write.text(path)
+    with arrow_batches(items.sparkSession):
+        items.select(F.to_json(F.struct("*")).alias("item")).mapInArrow(lines, "value string").write.text(path)
     return path
 
 
