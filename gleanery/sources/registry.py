@@ -116,8 +116,7 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def definitions(spark: SparkSession, entries: Sequence[Mapping]) -> DataFrame:
-    """Definition table from mappings; the field map may be called fields or mapping."""
+def _definition_rows(entries: Sequence[Mapping]) -> list[tuple]:
     rows = []
     for rank, entry in enumerate(e for e in entries if isinstance(e, Mapping)):
         urls = entry.get("urls") or ([entry["url"]] if entry.get("url") else [])
@@ -133,7 +132,12 @@ def definitions(spark: SparkSession, entries: Sequence[Mapping]) -> DataFrame:
                 bool(entry.get("bulk_only", False)),
             )
         )
-    return spark.createDataFrame(rows, SOURCE_DEF)
+    return rows
+
+
+def definitions(spark: SparkSession, entries: Sequence[Mapping]) -> DataFrame:
+    """Definition table from mappings; the field map may be called fields or mapping."""
+    return spark.createDataFrame(_definition_rows(entries), SOURCE_DEF)
 
 
 def active(defs: DataFrame, mode: str) -> DataFrame:
@@ -147,29 +151,36 @@ def _typed(raw: DataFrame, entries: Sequence[Mapping], kind: Callable[[str], boo
     The names are a filter of their own, so that it reaches the scan; the definitions are
     configuration read by the driver, their join side a local relation of known size.
     """
-    defs = definitions(raw.sparkSession, [e for e in entries if kind(str(e.get("type") or "").lower())])
-    names = [r.name for r in defs.select("name").collect()]
+    typed = [e for e in entries if kind(str(e.get("type") or "").lower())]
+    defs = definitions(raw.sparkSession, typed)
+    names = [row[0] for row in _definition_rows(typed)]
     chosen = raw.where(F.col("source").isin(*names)) if names else raw.where(F.lit(False))
     return chosen.join(F.broadcast(defs.select(F.col("name").alias("source"), "default_location", "default_remote")), "source")
 
 
 def _defined_rows(raw: DataFrame, entries: Sequence[Mapping], run: Run) -> list[DataFrame]:
-    """Unfinished rows of the user-defined sources, one part per type."""
+    """Unfinished rows of the user-defined sources, one part per type that is defined (one without rows if none is)."""
     place, mode = or_default(F.col("default_location"), MISSING), text(F.col("default_remote"))
-    feed = feed_rows(feed_entries(_typed(raw, entries, lambda k: k == "rss")), FeedRules(), run, place, mode)
-    rules = LdRules(company=MISSING)
-    ld = ld_rows(ld_items(_typed(raw, entries, lambda k: k == "jsonld"), rules), rules, place)
-    mappings = {
-        (e.get("name") or "user_source").strip(): e.get("fields") or e.get("mapping") or {}
-        for e in entries
-        if (e.get("type") or "").lower() == "json_api"
-    }
-    api = json_api.api_rows(
-        json_api.api_items(_typed(raw, entries, lambda k: k == "json_api")), mappings or {"": {}},
-        F.col("default_location"), mode,
-    )
-    keep = ("default_location", "default_remote")
-    return [p.drop(*keep) for p in (feed.drop("tags"), ld, api)]
+    types = {str(e.get("type") or "").lower() for e in entries}
+    parts = []
+    if "rss" in types:
+        feed = feed_rows(feed_entries(_typed(raw, entries, lambda k: k == "rss")), FeedRules(), run, place, mode)
+        parts.append(feed.drop("tags"))
+    if "jsonld" in types:
+        rules = LdRules(company=MISSING)
+        parts.append(ld_rows(ld_items(_typed(raw, entries, lambda k: k == "jsonld"), rules), rules, place))
+    if "json_api" in types or not parts:
+        mappings = {
+            (e.get("name") or "user_source").strip(): e.get("fields") or e.get("mapping") or {}
+            for e in entries
+            if (e.get("type") or "").lower() == "json_api"
+        }
+        api = json_api.api_rows(
+            json_api.api_items(_typed(raw, entries, lambda k: k == "json_api")), mappings or {"": {}},
+            F.col("default_location"), mode,
+        )
+        parts.append(api)
+    return [p.drop("default_location", "default_remote") for p in parts]
 
 
 def read_defined(raw: DataFrame, entries: Sequence[Mapping], run: Run) -> DataFrame:

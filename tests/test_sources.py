@@ -249,3 +249,12 @@ def test_first_of_each_place_wins(spark):
     got = {r.source_id: (r.name, r.seq) for r in google_places(*found_places(spark), RUN).collect()}
     want = {"hot": ("hot by 59", 0)} | {f"p{n % 7}": (f"p{n % 7} by {n}", 59 - n) for n in range(53, 60)}
     assert got == {k: (f"{k} by detail {k[1]}" if k in ("p0", "p1", "p2") else v[0], v[1]) for k, v in want.items()}
+
+
+def test_types_without_a_definition_are_not_planned(spark):
+    raw = landed(spark, "own", '[{"url": "https://x.example/1", "title": "T"}]')
+    rows = read_defined(raw, [{"name": " own ", "type": "JSON_API"}], RUN)
+    assert "Union" not in rows._jdf.queryExecution().analyzed().toString()
+    assert [r.title for r in rows.collect()] == ["T"]
+    for none in ([], [{"name": "own", "type": "other"}]):
+        assert read_defined(raw, none, RUN).count() == 0
