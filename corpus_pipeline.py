@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanery.llm import common, exact_dedup, packing, simhash, toxicity
 from gleanery.llm.queries import vocabulary
 
+#: Bytes of an Arrow batch. Workers and the JVM's buffers are kept from stage to stage, so a stage leaves less to the next ones.
+BATCH = 4 << 20
+
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.small_batches(spark, BATCH)
     return toxicity.keep_ordinary(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
@@ -33,12 +36,12 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_prints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.small_batches(spark, BATCH)
     return simhash.dedup(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.small_batches(spark, BATCH)
     # the workers come from the other stages: less text at once keeps them small
     packed = packing.pack(docs, vocabulary("word_bpe_49k.json"), at_once=4 << 20)
     return packing.write_buckets(packed, common.scratch(docs, "packing").path("sequences"))

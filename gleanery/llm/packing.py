@@ -36,6 +36,8 @@ END = 2
 REMEMBERED_BYTES = 64 << 20  # what a worker remembers of pieces and their ids
 LONGEST = 256  # characters; a longer piece is not remembered
 ENTRY_BYTES = 180  # what is taken for a remembered piece besides its text and ids
+TEXTS = 64  # turned into Python strings at a time
+BLOCK = 1 << 16  # pieces whose ids are looked up at a time
 
 # How the vocabulary cuts a word, for lower-case Latin letters, digits and ASCII signs.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x00-\x20a-zß-öø-ÿ0-9]+")
@@ -43,24 +45,41 @@ _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _CHUNKS = re.compile(r"[^\t-\r ]+")
 
 
+class _Codes(dict[str, int]):
+    """Numbers of pieces. One asked for the first time gets the next number; a very long one a number below zero, for the time being."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.long: dict[str, int] = {}
+
+    def __missing__(self, piece: str) -> int:
+        if len(piece) > LONGEST:
+            return self.long.setdefault(piece, -1 - len(self.long))
+        self[piece] = code = len(self)
+        self.new.append(piece)
+        return code
+
+
 class _Known:
     """Ids of pieces one after another, and where each piece's begin."""
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.pool, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.bytes = 0
 
     def add(self, pieces: list[str], ids: list[np.ndarray]) -> None:
-        first = len(self.sizes)
-        self.codes.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        """The ids of pieces that have numbers already, in the order of these."""
         self.pool = np.concatenate([self.pool, *ids])
         self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
         self.bytes += sum(map(len, pieces)) + 4 * sum(map(len, ids)) + ENTRY_BYTES * len(pieces)
 
-    def of(self, pieces: list[str]) -> list[np.ndarray]:
+    def of(self, pieces: list[str]) -> dict[str, np.ndarray]:
+        """The ids of those pieces that are known here."""
         ends = np.cumsum(self.sizes)
-        return [self.pool[ends[c] - self.sizes[c] : ends[c]] for c in map(self.codes.__getitem__, pieces)]
+        found = ((p, self.codes.get(p)) for p in pieces)
+        return {p: self.pool[ends[c] - self.sizes[c] : ends[c]] for p, c in found if c is not None}
 
 
 class WordIds:
@@ -101,31 +120,39 @@ class WordIds:
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids one after another, and the number of ids before each text (one more than texts)."""
-        pieces: list[str] = []
-        bounds = [0]
-        for text in texts.to_pylist():
-            pieces += self._pieces(text)
-            bounds.append(len(pieces))
+        """All texts' ids one after another, and the number of ids before each text (one more than texts).
+
+        Of the pieces only their numbers are held for all texts, and ids are looked up for ``BLOCK`` pieces at a time.
+        """
         if self.recent.bytes > REMEMBERED_BYTES // 2:
             self.older, self.recent = self.recent, _Known()
         now = self.recent
-        new = list(dict.fromkeys([p for p in pieces if p not in now.codes]))
-        again = [p for p in new if p in self.older.codes]
-        now.add(again, self.older.of(again))
-        unknown = [p for p in new if p not in now.codes]
-        now.add(short := [p for p in unknown if len(p) <= LONGEST], list(map(self._tokenized, short)))
-        if len(short) < len(unknown):  # for this batch alone
-            passing = _Known()
-            passing.codes, passing.pool, passing.sizes = dict(now.codes), now.pool, now.sizes
-            passing.add(long := [p for p in unknown if len(p) > LONGEST], list(map(self._tokenized, long)))
-            now = passing
-        codes = np.fromiter(map(now.codes.__getitem__, pieces), np.int64, len(pieces))
-        begins = np.cumsum(now.sizes) - now.sizes
-        each = now.sizes[codes]
-        after = np.concatenate([[0], np.cumsum(each)])
-        flat = now.pool[np.repeat(begins[codes] - after[:-1], each) + np.arange(after[-1])]
-        return flat, after[np.array(bounds)]
+        counts, parts = [0], [np.zeros(0, np.int32)]
+        for at in range(0, len(texts), TEXTS):
+            for text in texts.slice(at, TEXTS).to_pylist():
+                pieces = self._pieces(text)
+                parts.append(np.fromiter(map(now.codes.__getitem__, pieces), np.int32, len(pieces)))
+                counts.append(len(pieces))
+        codes, bounds = np.concatenate(parts), np.cumsum(counts)
+        del parts
+        new, long = now.codes.new, list(now.codes.long)
+        now.codes.new, now.codes.long = [], {}
+        again = self.older.of(new)
+        now.add(new, [self._tokenized(p) if (known := again.get(p)) is None else known for p in new])
+        pool, sizes = now.pool, now.sizes
+        if long:  # for this batch alone; number -1 is the last
+            extra = list(map(self._tokenized, reversed(long)))
+            pool = np.concatenate([pool, *extra])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, extra), np.int64, len(extra))])
+        begins = np.cumsum(sizes) - sizes
+        after = np.concatenate([[0], np.cumsum(sizes[codes])])
+        flat = np.empty(after[-1], "<u4")
+        for at in range(0, len(codes), BLOCK):
+            some = codes[at : at + BLOCK]
+            first, last = after[at], after[at + len(some)]
+            shift = begins[some] - after[at : at + len(some)]
+            flat[first:last] = pool[np.repeat(shift, sizes[some]) + np.arange(first, last)]
+        return flat, after[bounds]
 
 
 def lengths(n: int, most: int = MOST) -> list[int]:
@@ -172,6 +199,7 @@ def pack(
                  pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "start", "length", "doc_tokens", "ids"],
             )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), common.whole(docs[text]).alias("text"))
     cut_rows = rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")

@@ -59,6 +59,38 @@ def test_memory_is_bounded_in_bytes(monkeypatch):
     assert words.older.codes and words.recent.codes
 
 
+def test_lookup_holds_numbers_not_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = packing.WordIds(PATH)
+    texts = pa.array(["some words that are met again, " * 320] * 400)
+    words.ids(texts.slice(0, 1))
+    tracemalloc.start()
+    try:
+        flat, bounds = words.ids(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(bounds) == 401 and len(set(np.diff(bounds))) == 1
+    assert most < 10 * texts.nbytes  # 20 times when all pieces of a batch were held
+
+
+def test_long_pieces_are_for_their_batch_alone():
+    import pyarrow as pa
+
+    words = packing.WordIds(PATH)
+    whole = Tokenizer.from_file(PATH)
+    long = ["y" * 300, "-" * 400, "\u3000" * 300]
+    for texts in ([*long, "a b", long[1]], ["", "a c"], [long[2] + " b", *long[::-1]], []):
+        flat, bounds = words.ids(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(bounds) == len(texts) + 1 and not words.recent.codes.long and not words.recent.codes.new
+        assert max(map(len, words.recent.codes)) <= packing.LONGEST and len(words.recent.sizes) == len(words.recent.codes)
+
+
 def test_random_texts_equal_the_whole_tokenizer():
     import pyarrow as pa
 

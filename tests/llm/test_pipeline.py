@@ -75,6 +75,15 @@ def test_packing_and_run(stages, spark):
     assert run.exceptAll(packed.drop("sequence_id")).count() == 0 and run.count() == packed.count()
 
 
+def test_stages_with_workers_get_small_batches(stages, spark):
+    given = stages["toxicity"][0].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "exact_dedup":  # built-in expressions only
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+            stage(spark, given, SF)
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20, name
+
+
 def test_odd_rows(documents, spark):
     rows = [(1, "a b c d e"), (2, "a b  c d\ne"), (3, None), (4, ""), (None, "a b c d e"), (None, "f"), (5, "zz yy xx ww vv uu"), (5, "zz yy xx ww vv uu")]
     docs = documents(rows).withColumnRenamed("lang", "component_id").withColumnRenamed("source", "fp")
