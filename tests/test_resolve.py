@@ -163,3 +163,61 @@ def test_common_subsequences():
         masks = {c: sum(1 << i for i, k in enumerate(key) if k == c) for c in key}
         assert [S._subsequence(masks, n, o) for o in others] == want
         assert S._subsequences(S._codes([key], n)[0], S._codes(others, 150).T).tolist() == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("size", [(4, 45), (60, 150)])
+def test_parts_of_a_block_equal_the_loop(spark, monkeypatch, seed, size):
+    """Every part goes through the loop alone; keys whose leader is covered by an earlier part are settled anew."""
+    monkeypatch.setattr(L, "LEAST", 8)
+    monkeypatch.setattr(L, "FEW", 60 if seed < 3 else 1000)
+    keys = near_copies(seed, 14, 160, size)
+    again = []
+    with monkeypatch.context() as m:
+        settled = L.settled
+        m.setattr(L, "settled", lambda pairs: again.append(1) or settled(pairs))
+        got = {r.kid: r.leader for r in L.assign_leaders(frame(spark, keys), Scratch(spark, "test")).collect()}
+    assert got == greedy(keys, 0.85)
+    assert again
+
+
+def test_no_task_goes_through_a_large_block(spark, monkeypatch):
+    import gleanery.operators.similarity as S
+
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(2400)]
+    cells, parts = [], L.one_by_one
+    monkeypatch.setattr(L, "FEW", 2400)
+    monkeypatch.setattr(L, "LEAST", 200)
+
+    def counted(block, threshold, part=None, count=1):
+        cells.extend(r["count"] for r in block.groupBy(F.lit(0) if part is None else part).count().collect())
+        return parts(block, threshold, part, count)
+
+    monkeypatch.setattr(L, "one_by_one", counted)
+    got = {r.kid: r.leader for r in L.assign_leaders(frame(spark, keys), Scratch(spark, "test")).collect()}
+    assert got == {i: i for i in range(len(keys))}
+    assert max(cells) <= 220 and sum(cells) == len(keys)
+    assert S.THRESHOLD == 0.85
+
+
+@pytest.mark.parametrize("probes", [64, 1 << 16])
+def test_counts_of_characters_lose_no_pair(monkeypatch, probes):
+    """Characters by tables equal a count of all, up to levels that are not told apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    import gleanery.operators.similarity as S
+
+    monkeypatch.setattr(S, "_PROBES", probes)
+    keys = near_copies(11, 12, 200, (1, 60)) + ["", "aaaaaaaaaaaaaaaaaaaaaaaa", "é" * 300, "ab" * 900]
+    columns, bits = S._choose(keys)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(keys)), pa.int64()), pa.array(keys)], ["kid", "key"])
+    table = pa.Table.from_batches(list(S._signed(columns, bits)(iter([batch]))))
+    side, targets = S._Side(table, "n"), S._Side(table, "kid")
+    filtered = S._Filter(side, targets, 0.85)
+    near = {(int(t), int(side.kid[p])) for t, p in zip(*filtered.near(np.arange(len(keys))), strict=True)}
+    alike = {(int(t), int(side.kid[p])) for t, p in zip(*filtered.alike(*filtered.near(np.arange(len(keys)))), strict=True)}
+    similar = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if a and b and SequenceMatcher(None, b, a).ratio() >= 0.85}
+    assert similar <= alike <= near
+    assert len(near) < len(keys) ** 2 / 2
