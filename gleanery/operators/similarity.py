@@ -38,6 +38,7 @@ THRESHOLD = 0.85
 SALT_ROWS = 1 << 17  # keys of a part
 CELLS = 64  # cells that a join of some size has at least, to spread its work
 LEAST_ROWS = 12_000  # keys of a part below which it is not split to that end: a target costs some time of its own in every part
+LEAST_TOLD = 6_000  # the same of keys that are compared with each other
 LEAST_TARGETS = 500  # the same of targets, where these are dealt instead
 CHARACTERS, BIGRAMS = 128, 1024  # what characters and bigrams are hashed to
 COLUMNS, WORDS = 48, 8  # characters counted at most, and 64-bit words of bits on bigrams
@@ -269,12 +270,14 @@ class _Filter:
         counts, others = self.targets.counts.take(target[left], 0), self.probes.counts.take(probe[left], 0)
         apart = np.maximum(counts, others) - np.minimum(counts, others)
         left = left[_bytes_summed(apart) <= most[left]]
-        left = left[self._common(target[left], probe[left]) >= (total - most)[left] // 2]
+        least = (total - most) // 2
+        left = left[self._common(target[left], probe[left], least[left]) >= least[left]]
         kept = np.zeros(len(target), bool)
         kept[left] = True
         return kept
 
-    def _common(self, target: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    def _common(self, target: np.ndarray, probe: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each pair, or less than ``least`` if it is."""
         common = np.zeros(len(target), np.int64)
         words = -(-self.targets.n[target] // 64)
         plain = words > (_LONGEST // 64 if self.codes is not None else 0)
@@ -292,8 +295,8 @@ class _Filter:
             some, row = np.unique(target[at], return_inverse=True)
             n = self.targets.n[some]
             codes = _codes([self.targets.keys[i] for i in some], int(n.max()))
-            others = self.codes[probe[at], : int(self.probes.n[probe[at]].max())]
-            common[at] = _subsequences_of(codes, n, row, others.T)
+            length = self.probes.n[probe[at]]
+            common[at] = _subsequences_of(codes, n, row, self.codes[probe[at], : int(length.max())].T, length, least[at])
         return common
 
 
@@ -322,17 +325,33 @@ def _subsequences(key: np.ndarray, others: np.ndarray) -> np.ndarray:
     return _subsequences_of(key[None], np.array([len(key)]), np.zeros(others.shape[1], np.int64), others)
 
 
-def _subsequences_of(keys: np.ndarray, n: np.ndarray, row: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The same of pairs: a row of ``keys`` (so many characters of it) and a column of ``others`` each, as 64-bit words with carry."""
+def _subsequences_of(
+    keys: np.ndarray, n: np.ndarray, row: np.ndarray, others: np.ndarray, length: np.ndarray | None = None, least: np.ndarray | None = None
+) -> np.ndarray:
+    """The same of pairs: a row of ``keys`` (so many characters of it) and a column of ``others`` each, as 64-bit words with carry.
+
+    With their ``length``, a pair that can't come to ``least`` any more is given up and has 0.  Of the
+    first j characters of a column at most length - least may be left out, and what they have in
+    common with the key lies within its first j + n - least.
+    """
     words = -(-keys.shape[1] // 64)
     table = np.zeros((words, len(keys) * 256), np.uint64)
     which, place = np.nonzero(np.arange(keys.shape[1]) < n[:, None])
     bit = np.uint64(1) << (place % 64).astype(np.uint64)
     np.bitwise_or.at(table, (place // 64, which * 256 + keys[which, place]), bit)
     open_ = np.full((words, len(row)), ~np.uint64(0))
-    start = row.astype(np.int64) * 256
-    for codes in np.ascontiguousarray(others):
-        at, carry = start + codes, None
+    others, start, n, left = np.ascontiguousarray(others), row.astype(np.int64) * 256, n[row], np.arange(len(row))
+    common = np.zeros(len(row), np.int64)
+    looks = () if least is None else {len(others) * eighths // 8 for eighths in (2, 3, 4, 5, 6)}
+    for j in range(len(others)):
+        if j in looks:
+            first = _first_bits(np.minimum(j + n - least, n), words)
+            held = np.bitwise_count(~open_ & first).sum(0, dtype=np.int64)
+            kept = held >= np.minimum(j, length) - (length - least)
+            if 4 * np.count_nonzero(kept) < 3 * len(kept):
+                open_, others, start, n, left = np.ascontiguousarray(open_[:, kept]), np.ascontiguousarray(others[:, kept]), start[kept], n[kept], left[kept]
+                length, least = length[kept], least[kept]
+        at, carry = start + others[j], None
         for w in range(words):
             before = open_[w]
             met = table[w].take(at)
@@ -346,10 +365,14 @@ def _subsequences_of(keys: np.ndarray, n: np.ndarray, row: np.ndarray, others: n
                 carry = over.astype(np.uint64) if w + 1 < words else None
             before ^= met
             before |= total
-    left = np.arange(words)[:, None] * 64 + 64 - n  # places of each word that are beyond the key
-    beyond = np.where(left >= 64, ~np.uint64(0), ~(~np.uint64(0) >> np.clip(left, 0, 63).astype(np.uint64)))
-    open_ |= beyond[:, row]
-    return np.bitwise_count(~open_).sum(0, dtype=np.int64)
+    common[left] = np.bitwise_count(~open_ & _first_bits(n, words)).sum(0, dtype=np.int64)
+    return common
+
+
+def _first_bits(n: np.ndarray, words: int) -> np.ndarray:
+    """Words of which so many bits are set, from the lowest one of the first word on."""
+    held = np.clip(n - np.arange(words)[:, None] * 64, 0, 64)
+    return np.where(held > 0, ~np.uint64(0) >> np.where(held > 0, 64 - held, 0).astype(np.uint64), np.uint64(0))
 
 
 def _sides(table: pa.Table) -> tuple[_Side, _Side]:
@@ -511,7 +534,7 @@ def candidates(probes: DataFrame, targets: DataFrame, threshold: float = THRESHO
     two targets comes out once: in the cell of the later part, or by number inside a part.
     """
     n = targets.count()
-    parts = max(math.ceil(n / SALT_ROWS), min(math.isqrt(2 * CELLS), math.ceil(n / LEAST_ROWS)), 1)
+    parts = max(math.ceil(n / SALT_ROWS), min(math.isqrt(2 * CELLS), math.ceil(n / LEAST_TOLD)), 1)
     part, upto = F.col("_part"), F.lit(parts - 1)
     left = _dealt(
         probes, parts, 0, F.sequence(F.lit(0), F.when(F.col("is_target"), part).otherwise(upto)),
