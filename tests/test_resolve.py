@@ -221,3 +221,19 @@ def test_counts_of_characters_lose_no_pair(monkeypatch, probes):
     similar = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if a and b and SequenceMatcher(None, b, a).ratio() >= 0.85}
     assert similar <= alike <= near
     assert len(near) < len(keys) ** 2 / 2
+
+
+def test_a_key_that_loses_its_leader_is_settled_anew(spark, monkeypatch):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(24)]
+    keys[20] = "xxxxxxx" + keys[0][7:]  # like the first, whose part is another
+    keys[21] = keys[20][:50] + "yyyyyyy" + keys[20][57:]  # like that one only
+    keys[22] = keys[21][:30] + "z" + keys[21][31:]
+    asked, settled = [], L.settled
+    monkeypatch.setattr(L, "FEW", 1000)
+    monkeypatch.setattr(L, "LEAST", 12)
+    monkeypatch.setattr(L, "settled", lambda pairs: asked.append(1) or settled(pairs))
+    got = {r.kid: r.leader for r in L.assign_leaders(frame(spark, keys), Scratch(spark, "test")).collect()}
+    assert got == greedy(keys, 0.85)
+    assert (got[20], got[21], got[22]) == (0, 21, 21)
+    assert len(asked) > 1
